@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fxlake.session import ship_package
+
 #: Rows in one Arrow batch to Python. Texts are long, so the default of 10,000 would hold too much at once.
 BATCH_ROWS = 512
 
@@ -32,7 +34,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers hold."""
+    """Bound the Arrow batches that Python workers hold, and let the workers import this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
