@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fxlake.llm import bpe
+from fxlake.llm import bpe, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_quality": quality.op3_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
