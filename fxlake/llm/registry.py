@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fxlake.llm import bpe, media, quality
+from fxlake.llm import bpe, media, minhash, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op8_minhash": minhash.op8_minhash,
     "op4_media": media.op4_media,
     "op3_quality": quality.op3_quality,
 }
