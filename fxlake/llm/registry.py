@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fxlake.llm import bpe, media, minhash, quality
+from fxlake.llm import bpe, decontaminate, linededup, media, minhash, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
-    "op8_minhash": minhash.op8_minhash,
-    "op4_media": media.op4_media,
     "op3_quality": quality.op3_quality,
+    "op4_media": media.op4_media,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_minhash": minhash.op8_minhash,
+    "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": decontaminate.OP7_SQL,
+}
