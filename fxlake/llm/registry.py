@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from fxlake.llm import bpe, decontaminate, linededup, media, minhash, quality
+from fxlake.llm import bpe, decontaminate, licenses, linededup, media, minhash, passages, pii, quality, tokencount
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_token_counts": tokencount.op2_token_counts,
     "op3_quality": quality.op3_quality,
     "op4_media": media.op4_media,
+    "op5_pii": pii.op5_pii,
+    "op6_passages": passages.op6_passages,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_minhash": minhash.op8_minhash,
+    "op9_licenses": licenses.op9_licenses,
     "op10_fuzzy_lines": linededup.op10_fuzzy_lines,
 }
 
