@@ -11,8 +11,8 @@
    Verified links make components.
 5. Second round: pairs within one component can't change it, so only buckets that still hold several components
    matter. There, members outside the bucket's largest component meet all members, in blocks of bounded size, and
-   only pairs that survive the Bayesian test leave the task. They are verified on full sets, and the links of both
-   rounds make the final components. No candidate pair between different components is left out.
+   only pairs that survive the Bayesian test and a comparison of shortened sets leave the task. They are verified on
+   full sets, and the links of both rounds make the final components. No candidate pair between different components is left out.
 
 Null and empty texts have an empty set and are linked with nothing. Repeated rows and ties are kept; each row of
 the input gives one row. Null ids form components of their own (null).
@@ -37,9 +37,18 @@ BANDS, ROWS, BATCH = 24, 4, 16
 HASHES = BANDS * ROWS
 MISS = 1e-5
 #: Members of a bucket that one task compares at a time.
-BLOCK = 2048
-
-SIGNED = "n_shingles bigint, set_hash binary, sketch binary, bands array<bigint>, shingles binary"
+BLOCK = 1024
+
+#: Ids of texts to verify are broadcast up to so many (16 MB); beyond, the texts are shuffled to meet them.
+BROADCAST_IDS = 1_000_000
+#: Bytes of a shingle hash that full sets keep: two sets of a thousand shingles differ by chance equality with a
+#: chance below 1e-8.
+SET_BYTES = 6
+#: Bytes of a shingle hash in the second round's comparison, which the full sets confirm; links of one member with
+#: one component that are passed on for that.
+SHORT_BYTES, EACH = 4, 3
+
+SIGNED = "n_shingles bigint, set_hash binary, sketch binary, bands array<bigint>"
 _memo = WordHashes()
 
 
@@ -66,6 +75,14 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(hash_words(words_of(text), _memo)))
+
+
+def _set_hash(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
+
+
 def sign(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the figures of step 1 to each row."""
     bounded_batches(docs.sparkSession)
@@ -76,15 +93,14 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
         for texts in batches:
             rows = []
             for t in texts:
-                shingles = np.unique(shingle_hashes(hash_words(words_of(t), _memo)))
+                shingles = shingle_set(t)
                 if not len(shingles):
-                    rows.append((0, b"", b"", [], b""))
+                    rows.append((0, b"", b"", []))
                     continue
                 minima = signature(shingles, multipliers)
                 keys = [xxhash.xxh3_64_intdigest(minima[i : i + ROWS].tobytes(), i) - 2**63 for i in range(0, HASHES, ROWS)]
-                packed = shingles.astype("<u8").tobytes()
-                rows.append((len(shingles), xxhash.xxh3_128_digest(packed), (minima >> np.uint64(40)).astype(np.uint8).tobytes(), keys, packed))
-            yield pd.DataFrame(rows, columns=["n_shingles", "set_hash", "sketch", "bands", "shingles"])
+                rows.append((len(shingles), _set_hash(shingles), (minima >> np.uint64(40)).astype(np.uint8).tobytes(), keys))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_hash", "sketch", "bands"])
 
     return docs.withColumn("signed", signed(text_or_empty(text))).select(*docs.columns, "signed.*")
 
@@ -112,25 +128,59 @@ def _bayes(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(passed, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Keep pairs (a, b) whose full sets are similar enough; sets(rep, n_shingles, shingles)."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int = SET_BYTES) -> DataFrame:
+    """(rep, shingles) of the texts of wanted(rep, set_hash), computed anew from docs(doc_id, text); `width` bytes a
+    shingle. A map over batches, not a function in a projection: it runs on the joined rows only."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rep, text in zip(pdf["rep"], pdf["text"], strict=True):
+                shingles = shingle_set(text)
+                kept = shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+                rows.append((rep, _set_hash(shingles), kept.tobytes()))
+            yield pd.DataFrame(rows, columns=["rep", "set_hash", "shingles"])
+
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), text_or_empty().alias("text"))
+    made = texts.mapInPandas(sets, "rep bigint, set_hash binary, shingles binary")
+    # an id may come with several texts: only the one that stands for its class counts
+    return materialize(made.join(wanted, ["rep", "set_hash"], "left_semi").dropDuplicates(["rep"]).drop("set_hash"), "sets")
+
+
+def _read_set(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
+def _common(left: np.ndarray, right: np.ndarray) -> int:
+    both = np.concatenate([left, right])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Keep pairs (a, b) whose full sets are similar enough."""
     percent = round(threshold * 100)
-    one = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("left"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("right"))
-    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sizes = reps.select("rep", "n_shingles")
+    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    near = materialize(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "near")
+    wanted = reps.select("rep", "set_hash").join(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "rep", "left_semi")
+    sets = _full_sets(docs, materialize(wanted, "wanted"))
+    one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                common = _common(_read_set(left, SET_BYTES), _read_set(right, SET_BYTES))
+                keep.append(100 * common >= percent * ((len(left) + len(right)) // SET_BYTES - common))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return near.select("a", "b", "left", "right").mapInPandas(linked, "a bigint, b bigint")
+    return near.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInPandas(linked, "a bigint, b bigint")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -154,13 +204,16 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key", "n", "rep").mapInPandas(walked, "a bigint, b bigint, key bigint")
 
 
-def _second_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the Bayesian test.
+def _second_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components that share a bucket, pass the Bayesian test and agree on short sets.
 
     members(key, rep) of buckets with several members; labels(rep, component). Each bucket's members outside its
     largest component are the `few`; cells of (block of few, block of all) go to tasks, at most 2 x BLOCK rows each.
+    A pair is looked at in the first bucket that it shares. Rows bring their sets at SHORT_BYTES a shingle, which can
+    only make a pair look more alike, so what fails there is no link. Of the pairs of one of the few and one
+    component, the first EACH that pass leave the task: they connect the same two components.
     """
-    least = least_matches(threshold)
+    least, percent = least_matches(threshold), round(threshold * 100)
     labelled = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
     shape = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
@@ -170,13 +223,15 @@ def _second_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, th
         F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"),
         F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("rows"),
     )
-    cells = labelled.join(shape, "key").join(sketches, "rep")
+    cells = materialize(labelled.join(shape, "key"), "cells")
+    wanted = materialize(reps.select("rep", "set_hash").join(cells.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    cells = cells.join(reps.select("rep", "sketch", "bands"), "rep").join(_full_sets(docs, wanted, SHORT_BYTES), "rep")
     place = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
     every = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("columns").alias("column"), F.lit(False).alias("few"))
     few = cells.where("component <> main").select("*", place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("few"))
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells arrive sorted, few before all; one cell is held at a time."""
+        """Rows arrive sorted by cell; one cell is held at a time."""
         held: list[pd.DataFrame] = []
         cell = None
         for pdf in batches:
@@ -194,44 +249,55 @@ def _second_pairs(members: DataFrame, sketches: DataFrame, labels: DataFrame, th
             yield compare(pd.concat(held))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_few = pdf["few"].to_numpy()
+        key, is_few = pdf["key"].iloc[0], pdf["few"].to_numpy()
         reps, groups, sketches = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), _sketches(pdf["sketch"])
+        bands, sets = np.stack(pdf["bands"].to_numpy()), pdf["shingles"].to_numpy()
+        sizes = np.array([len(x) // SHORT_BYTES for x in sets])
+        band = int((bands[0] == key).argmax())
         one, two = np.flatnonzero(is_few), np.flatnonzero(~is_few)
-        out = []
+        out = set()
         for i in one:
             alive = two[groups[two] != groups[i]]
+            alive = alive[(bands[alive, :band] != bands[i, :band]).all(1)]
+            alive = alive[100 * np.minimum(sizes[alive], sizes[i]) >= percent * np.maximum(sizes[alive], sizes[i])]
             matches = np.zeros(len(alive), np.int64)
             for k, need in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
                 matches += (sketches[alive, part] == sketches[i, part]).sum(1)
                 alive, matches = alive[matches >= need], matches[matches >= need]
-                if not len(alive):
-                    break
-            out += [(min(reps[i], reps[j]), max(reps[i], reps[j])) for j in alive]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
-
-    columns = ["key", "row", "column", "few", "rep", "component", "sketch"]
+            mine, done = _read_set(sets[i], SHORT_BYTES), {}
+            for j in alive[np.argsort(-matches, kind="stable")]:
+                if done.get(groups[j], 0) < EACH:
+                    common = _common(mine, _read_set(sets[j], SHORT_BYTES))
+                    if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                        done[groups[j]] = done.get(groups[j], 0) + 1
+                        out.add((min(reps[i], reps[j]), max(reps[i], reps[j])))
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    columns = ["key", "row", "column", "few", "rep", "component", "sketch", "bands", "shingles"]
     dealt = every.select(*columns).unionByName(few.select(*columns)).repartition("key", "row", "column")
     return dealt.sortWithinPartitions("key", "row", "column").mapInPandas(met, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.85) -> DataFrame:
     """docs with n_shingles, component_id (the smallest id reachable over links, itself included) and kept."""
-    signed = sign(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text")
-    signed = materialize(signed, "signed")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = materialize(sign(docs).drop("text"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes, "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
-    sketches = reps.select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"])
-    sets = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "shingles").dropDuplicates(["rep"])
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    reps = materialize(reps.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "set_hash"]), "reps")
+    sketches = reps.select("rep", "sketch")
+    banded = reps.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     walked = materialize(_first_pairs(banded), "walked")
     pairs = walked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     left, right = (sketches.select(F.col("rep").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "left"), ("b", "right")))
-    links = materialize(_verify(_bayes(pairs.join(left, "a").join(right, "b"), threshold), sets, threshold), "links")
+    links = materialize(_verify(_bayes(pairs.join(left, "a").join(right, "b"), threshold), docs, reps, threshold), "links")
     first = connected_components(links)
     members = walked.select("key", F.col("a").alias("rep")).union(walked.select("key", F.col("b").alias("rep"))).distinct()
-    more = _verify(_second_pairs(members, sketches, first.select(F.col("node").alias("rep"), "component"), threshold), sets, threshold)
-    bridges = materialize(more, "bridges")
+    open_pairs = materialize(_second_pairs(members, docs, reps, first.select(F.col("node").alias("rep"), "component"), threshold), "open")
+    open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")  # what failed once fails again
+    bridges = materialize(_verify(open_pairs, docs, reps, threshold), "bridges")
     whole = connected_components(links.union(bridges)).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     ids = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").join(whole, "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
