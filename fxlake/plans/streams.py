@@ -1,3 +1,148 @@
-"""Streaming queries."""
+"""Streaming queries (run over all that is there, then read back), sinks and loaders, with their SQL twins."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fxlake.plans.core import _FANOUT
+from fxlake.session import ship_package
+from fxlake.sources import tables as T
+from fxlake.sources.model import NOW, catalog, interactions, oracle, table
+from fxlake.streaming import features as S
 
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(name: str, sql: str | None, f) -> None:
+    QUERIES[name] = f
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of the cluster, or a local one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Events in several files, a tenth of them a second time: what a stream with redelivery brings."""
+    path = scratch(spark, "events")
+    events = interactions(spark, sf_dir).select(*[c.split()[0] for c in S.EVENT.split(", ")])
+    again = events.where(F.col("event_id").cast("long") % 10 == 0)
+    events.unionByName(again).repartitionByRange(3, "event_time").write.parquet(path)
+    return path, scratch(spark, "stream")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    source, out = _files(spark, sf_dir)
+    S.run_available(S.dedupe_stream(S.read_interactions(spark, source), "40 days"), f"{out}/once")
+    once = spark.read.parquet(f"{out}/once/data/*").drop("batch")
+    once.write.parquet(f"{out}/clean")
+    S.run_available(S.stream_windows(S.read_interactions(spark, f"{out}/clean"), "24h", "40 days"), f"{out}/windows", "update")
+    return S.latest_of(spark.read.parquet(f"{out}/windows/data/*"), ["entity_type", "entity_id", "window_start"]).drop("batch")
+
+
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, out = _files(spark, sf_dir)
+    S.run_available(S.dedupe_stream(S.read_interactions(spark, source), "40 days"), out)
+    return spark.read.parquet(f"{out}/data/*").select("event_id", "user_id", "action")
+
+
+def stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot of each user."""
+    ship_package(spark)
+    source, out = scratch(spark, "events"), scratch(spark, "stream")
+    interactions(spark, sf_dir).select(*[c.split()[0] for c in S.EVENT.split(", ")]).repartitionByRange(3, "event_time").write.parquet(source)
+    S.run_available(S.stream_user_features(S.read_interactions(spark, source)), out)
+    rows = spark.read.parquet(f"{out}/data/*")
+    return rows.groupBy("user_id").agg(F.max("total_interactions").alias("total_interactions"), F.max("views").alias("views"), F.max("clicks").alias("clicks"), F.max("purchases").alias("purchases"), F.max("last_active").alias("last_active"))
+
+
+def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON text, some of them broken, through the parser and into two tables; rows of each."""
+    source, out = scratch(spark, "lines"), scratch(spark, "parsed")
+    n = F.col("event_id").cast("long")
+    good = F.to_json(F.struct("event_id", "user_id", "product_id", "action", "event_time", F.struct("product_category", "session_length").alias("context")))
+    value = F.when(n % 17 == 0, F.lit("{broken")).when(n % 19 == 0, F.regexp_replace(good, '"user_id":"[^"]*"', '"user_id":" "')).otherwise(good)
+    interactions(spark, sf_dir).select(value.alias("value")).write.text(source)
+    S.split_errors(S.parse_events(spark.readStream.text(source)), out)
+    kept = spark.read.parquet(f"{out}/events/*").agg(F.lit("ok").alias("outcome"), F.count("*").alias("n"))
+    return kept.unionByName(spark.read.parquet(f"{out}/dlq/*").groupBy(F.col("error").alias("outcome")).agg(F.count("*").alias("n")))
+
+
+query("stream_dedupe", oracle("interactions", "select event_id, user_id, action from interactions"), stream_dedupe)
+query(
+    "stream_windows_24h",
+    oracle("interactions", f"""{_FANOUT} select entity_type, entity_id, (start * 3600)::double as window_start, count(*) filter (where action = 'view') as views, count(*) filter (where action = 'click') as clicks,
+  count(*) filter (where action = 'add_to_cart') as add_to_carts, count(*) filter (where action = 'purchase') as purchases, count(*) as total_events
+from (select f.*, floor(event_time / 3600)::bigint - k as start from fanout f, range(24) r(k)) group by entity_type, entity_id, start"""),
+    stream_windows,
+)
+query(
+    "stream_user_features",
+    oracle("interactions", "select user_id, count(*) as total_interactions, count(*) filter (where action = 'view') as views, count(*) filter (where action = 'click') as clicks, count(*) filter (where action = 'purchase') as purchases, max(event_time) as last_active from interactions group by 1"),
+    stream_users,
+)
+query(
+    "stream_parse",
+    oracle("interactions", "select case when event_id::bigint % 17 = 0 then 'not_json' when event_id::bigint % 19 = 0 then 'missing_user_id' else 'ok' end as outcome, count(*) as n from interactions group by 1"),
+    stream_parse,
+)
+
+# ---------------------------------------------------------------- sinks and loaders
+
+
+def _early(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_id").cast("long") % 3 != 0)
+
+
+query("append_once", oracle("interactions", "select event_id from interactions where event_id::bigint % 3 = 0"), lambda s, d: (lambda e: T.append_once(e.union(e), _early(e), ["event_id"]).select("event_id"))(interactions(s, d)))
+query(
+    "upsert_latest",
+    oracle("interactions", "select product_id, max(event_time) as event_time, arg_max(event_id, (event_time, event_id)) as event_id from interactions group by 1"),
+    lambda s, d: (lambda e: T.upsert_latest(*[x.groupBy("product_id").agg(F.max_by(F.struct("event_time", "event_id"), F.struct("event_time", "event_id")).alias("r")).select("product_id", "r.*") for x in (_early(e), e)], ["product_id"], "event_time"))(interactions(s, d)),
+)
+
+
+def write_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "monthly")
+    T.write_monthly(interactions(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"))
+
+
+query("write_monthly", oracle("interactions", "select strftime(event_ts, '%Y-%m') as month, count(*) as n from interactions group by 1"), write_monthly)
+query("prune", oracle("interactions", f"select event_id from interactions where event_time >= {NOW} - 86400 * 7"), lambda s, d: T.prune(interactions(s, d), "event_time", NOW, 7).select("event_id"))
+query(
+    "evolve_additive",
+    oracle("interactions", "select event_id, null::varchar as request_id, user_id from interactions"),
+    lambda s, d: T.evolve_additive(interactions(s, d), [("event_id", "string"), ("request_id", "string"), ("user_id", "string")]),
+)
+
+
+def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second build must not run: it would give no rows."""
+    path = scratch(spark, "runs")
+    T.run_once(spark, path, "r1", lambda: catalog(spark, sf_dir).select("product_id", "category"))
+    return T.run_once(spark, path, "r1", lambda: catalog(spark, sf_dir).select("product_id", "category").where("false"))
+
+
+query("run_once", oracle("catalog", "select product_id, category from catalog"), run_once)
+query(
+    "load_interactions",
+    "select 'u' || user_id as user_id, 'p' || json_extract_string(props, '$.k') as product_id, case when event_type = 'purchase' then 'purchase' when event_type = 'signup' then 'add_to_cart' when event_type = 'click' then 'favorite' when value > 50 then 'click' else 'view' end as action, case when event_type = 'purchase' then value end as value from events",
+    lambda s, d: T.load_interactions(table(s, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), F.concat(F.lit("p"), F.get_json_object("props", "$.k")).alias("product_id"), (F.col("event_type") == "purchase").cast("string").alias("purchased"),
+        (F.col("event_type") == "signup").cast("string").alias("added_to_cart"), (F.col("event_type") == "click").cast("string").alias("liked"), F.lit("false").alias("shared"), F.lit(None).cast("string").alias("commented"),
+        (F.col("value") / 100).cast("string").alias("watch_percentage"), F.col("value").cast("string").alias("purchase_amount"))),
+)
+query(
+    "rollup_loaded_users",
+    oracle("interactions", "select 'u' || c_custkey as user_id, count(event_id) as total_interactions, coalesce(string_agg(distinct product_category, ',' order by product_category), '') as categories, max(event_time) as last_active from customer left join interactions on user_id = 'u' || c_custkey group by 1"),
+    lambda s, d: T.rollup_loaded_users(table(s, d, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id")), interactions(s, d)),
+)
