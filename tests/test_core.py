@@ -36,7 +36,7 @@ def test_twin(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
     ours = values(df.select(*columns).collect())
-    theirs = con.execute(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    theirs = con.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert ours == values(theirs)
 
 
@@ -165,4 +165,4 @@ def test_streams(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
-    assert values(df.select(*columns).collect()) == values(con.execute(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall())
+    assert values(df.select(*columns).collect()) == values(con.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall())
