@@ -345,7 +345,8 @@ def test_fuzzy_lines(spark, edge):
     out = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[1]["n_dropped"] == 0 and out[2]["text"] == "Own line two!" and out[4]["text"] == "" and out[5]["n_dropped"] == 0 and out[6]["text"] is None
     same = linededup.dedup_lines(edge)
-    assert same.columns == [*edge.columns, "n_lines", "n_dropped"] and same.count() == len(EDGE)
+    assert same.columns == [*edge.columns, "n_lines", "n_dropped"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in same.collect()))) == sorted(str(r[:2]) for r in EDGE)  # nothing repeats across ids
     assert linededup.dedup_lines(edge.where("false")).count() == 0
 
 
