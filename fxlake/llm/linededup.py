@@ -3,14 +3,15 @@
 1. Lines are cut at line feeds and normalised: lower case, every run of other characters than letters and digits
    becomes one space. Lines that normalise to nothing are always kept and never compared.
 2. Equal normalised lines are one node (its id is their 64-bit hash).
-3. Each node has a 64-bit SimHash over its words. Words are counted in 16-bit lanes of 16 integers, in runs of at
-   most 65,535 words, so that a line of any length is counted in full.
+3. Each node has a 64-bit SimHash over its words: a bit is set if more than half of the words' hashes have it.
 4. Pigeonhole: SimHashes within 3 bits agree on at least two of five blocks, so ten keys of two blocks each find
    every such pair. Within a key each node meets the smallest and its neighbour in SimHash order (linear); pairs
-   within 3 bits are verified by edit similarity >= 0.8, over characters for lines up to 2,000, over words beyond.
+   within 3 bits are verified by edit similarity >= 0.8: lengths within a fifth of the longer, and distance over
+   characters for lines up to 100 of them, over words beyond.
    Links make components.
-5. Keys that still hold several components: their nodes outside the key's largest component meet all its nodes of
-   other components. So no candidate pair is lost, and hot keys cost what lies outside their largest component.
+5. In keys of up to three nodes these are all pairs. In larger keys that still hold several components, the nodes
+   outside the key's largest component meet all its nodes of other components. So no candidate pair is lost, and hot
+   keys cost what lies outside their largest component.
 6. Of each component the first occurrence, by document id and line number, stays.
 
 Null and empty texts have no line to drop. Rows with a null id are left as they are; rows that repeat an id are
@@ -29,47 +30,38 @@ from fxlake.llm.components import connected_components
 
 MAX_BITS = 3
 SIMILARITY = 0.8
-LONG_CHARS = 2000
+#: Lines up to so many characters are compared by characters, longer ones by words.
+LONG_CHARS = 100
 #: Bit widths of the five blocks, from the lowest bit.
 BLOCKS = (13, 13, 13, 13, 12)
-LANES, LANE_WORDS = 16, 65535
 
 
-def normalized(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
-
-def _lane_sums(hashes: Column) -> Column:
-    """One struct of 16 sums a run of words; lane k of sum j counts the words whose hash has bit j + 16 k."""
-    ones = F.lit(0x0001000100010001)
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"s{j}") for j in range(LANES)])
 
-    def add(sums: Column, h: Column) -> Column:
-        return F.struct(*[(sums[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"s{j}") for j in range(LANES)])
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
-    runs = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / LANE_WORDS).cast("int"))
-    return F.transform(runs, lambda k: F.aggregate(F.slice(hashes, k * LANE_WORDS + 1, LANE_WORDS), zero, add))
 
+def normalized(line: Column) -> Column:
+    return F.array_join(words_of(line), " ")
 
-def _simhash(runs: Column, words: Column) -> Column:
-    """Bit b is set if more than half of the words have it."""
 
-    def count(bit: int) -> Column:
-        lane, field = divmod(bit, LANES)
-        of = lambda r: F.shiftrightunsigned(r[f"s{field}"], LANES * lane).bitwiseAND(F.lit(LANE_WORDS))
-        return F.when(F.size(runs) == 1, of(runs[0])).otherwise(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + of(r)))
+def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, line_no, id, simhash) of every line that can be compared.
 
-    bits = [F.when(count(b) * 2 > words, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+    Words are a row each and are counted by a hash aggregate of 32 sums in generated code. A line's words come one
+    after the other from one task, so the partial sums leave one row a line for the shuffle.
+    """
+    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
+    words = lines.select("doc_id", "line_no", F.xxhash64("words").alias("id"), F.explode("words").alias("word")).select("doc_id", "line_no", "id", F.xxhash64("word").alias("h"))
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{j}") for j in range(32)]
+    sums = words.groupBy("doc_id", "line_no", "id").agg(F.count("*").alias("n"), *lanes)
 
+    def bit(b: int) -> Column:
+        count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.when(count * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint"))
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, id, simhash) of every line that can be compared."""
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", normalized(F.col("line")).alias("norm")).where("norm <> ''")
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("norm").alias("id"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hashes"))
-    counted = hashed.select("doc_id", "line_no", "id", F.size("hashes").alias("words"), _lane_sums(F.col("hashes")).alias("runs"))
-    return counted.select("doc_id", "line_no", "id", _simhash(F.col("runs"), F.col("words")).alias("simhash"))
+    return sums.select("doc_id", "line_no", "id", reduce(Column.bitwiseOR, map(bit, range(64))).alias("simhash"))
 
 
 def _keys(simhash: Column) -> Column:
@@ -90,16 +82,23 @@ def _symbols(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """1 - distance / longer length >= similarity, over characters, or over words for long lines."""
+def comparable(norm: Column) -> list[Column]:
+    """What edit similarity needs of a line: its length, its characters if it may be short, its words if it may be long."""
+    n = F.char_length(norm)
+    return [n.alias("n"), F.when(n <= LONG_CHARS, norm).alias("chars"), F.when(n >= LONG_CHARS * SIMILARITY, _symbols(norm)).alias("words")]
+
+
+def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
+    """1 - distance / longer length >= similarity of two structs of `comparable`; lengths may differ by that as well."""
+    longer, shorter = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
 
-    def within(x: Column, y: Column) -> Column:
-        longer, shorter = F.greatest(F.char_length(x), F.char_length(y)), F.least(F.char_length(x), F.char_length(y))
-        most = F.floor(longer * (1 - similarity) + 1e-9)
-        return (longer - shorter <= most) & (F.levenshtein(x, y) <= most)
+    def within(part: str) -> Column:
+        x, y = F.col(f"{a}.{part}"), F.col(f"{b}.{part}")
+        most = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9)
+        return F.levenshtein(x, y) <= most
 
-    long = F.greatest(F.char_length(a), F.char_length(b)) > LONG_CHARS
-    return F.when(long, within(_symbols(a), _symbols(b))).otherwise(within(a, b))
+    distant = F.when(longer > LONG_CHARS, within("words")).otherwise(within("chars"))
+    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(distant)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -108,10 +107,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, te
     places = nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
     own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(places, "doc_id")
     own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
-    texts = own.select(F.col("p.id").alias("id"), normalized(F.get("lines", F.col("p.line_no"))).alias("norm")).dropDuplicates(["id"])
-    texts = materialize(texts, "line-texts")
-    one, two = (texts.select(F.col("id").alias(c), F.col("norm").alias(f"norm_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").where(edit_similar(F.col("norm_a"), F.col("norm_b"))).select("a", "b")
+    texts = own.select(F.col("p.id").alias("id"), normalized(F.get("lines", F.col("p.line_no"))).alias("norm"))
+    texts = materialize(texts.select("id", F.struct(*comparable(F.col("norm"))).alias("line")), "line-texts")
+    one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").where(edit_similar("line_a", "line_b")).select("a", "b").distinct()
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -122,7 +121,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> Da
     order = Window.partitionBy("key").orderBy("simhash", "id")
     met = keyed.select(
         "key", "id", "simhash",
-        *(f(F.struct("id", "simhash")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))),
+        *(f(F.struct("id", "simhash")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))), F.row_number().over(order).alias("place"),
     ).where("previous is not null")
     met = materialize(met, "line-met")
     pairs = None
@@ -131,7 +130,9 @@ def line_groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> Da
         pairs = some if pairs is None else pairs.union(some)
     links = materialize(_verify(pairs.where("a < b").distinct(), docs, nodes, doc_id, text), "line-links")
     labels = connected_components(links, "line-components").select(F.col("node").alias("id"), "component")
-    members = met.select("key", "id", "simhash").union(met.select("key", "leader.id", "leader.simhash")).distinct()
+    large = met.where("place > 3").select("key").distinct()
+    crowd = met.join(large, "key", "left_semi")
+    members = crowd.select("key", "id", "simhash").union(crowd.where("place = 2").select("key", "leader.id", "leader.simhash"))
     members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.component").alias("main"))
