@@ -2,7 +2,7 @@
 
 1. Lines are cut at line feeds and normalised: lower case, every run of other characters than letters and digits
    becomes one space. Lines that normalise to nothing are always kept and never compared.
-2. Equal normalised lines are one node (its id is their 64-bit hash).
+2. Equal normalised lines are one node (its id is a 64-bit hash of their words and places).
 3. Each node has a 64-bit SimHash over its words: a bit is set if more than half of the words' hashes have it.
 4. Pigeonhole: SimHashes within 3 bits agree on at least two of five blocks, so ten keys of two blocks each find
    every such pair. Within a key each node meets the smallest and its neighbour in SimHash order (linear); pairs
@@ -37,25 +37,28 @@ BLOCKS = (13, 13, 13, 13, 12)
 
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+BREAKS = r"[^\p{L}\p{N}]+"
 
 
 def normalized(line: Column) -> Column:
-    return F.array_join(words_of(line), " ")
+    return F.array_join(F.array_remove(F.split(F.lower(line), BREAKS), ""), " ")
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, line_no, id, simhash) of every line that can be compared.
 
-    Words are a row each and are counted by a hash aggregate of 32 sums in generated code. A line's words come one
-    after the other from one task, so the partial sums leave one row a line for the shuffle.
+    Words are a row each, with their place counted from the first word, and are counted by a hash aggregate of 32 sums
+    in generated code; the id is the XOR of the hashes of word and place. A line's words come one after the other from
+    one task, so the partial sums leave one row a line for the shuffle.
     """
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
-    words = lines.select("doc_id", "line_no", F.xxhash64("words").alias("id"), F.explode("words").alias("word")).select("doc_id", "line_no", "id", F.xxhash64("word").alias("h"))
+    # `row` only keeps rows that repeat an id apart; all words of a row come from one task
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.lower(text_or_empty(text)).alias("text"), F.monotonically_increasing_id().alias("row"))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # a line that starts with a break has an empty first word, which isn't counted as a place
+    words = lines.select("doc_id", "row", "line_no", F.substring("line", 1, 1).rlike(BREAKS).cast("int").alias("skip"), F.posexplode(F.split("line", BREAKS)).alias("place", "word")).where("word <> ''")
+    words = words.select("doc_id", "row", "line_no", F.xxhash64("word").alias("h"), F.xxhash64("word", F.col("place") - F.col("skip")).alias("placed"))
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{j}") for j in range(32)]
-    sums = words.groupBy("doc_id", "line_no", "id").agg(F.count("*").alias("n"), *lanes)
+    sums = words.groupBy("doc_id", "row", "line_no").agg(F.count("*").alias("n"), F.bit_xor("placed").alias("id"), *lanes)
 
     def bit(b: int) -> Column:
         count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
