@@ -5,9 +5,11 @@
 2. Equal normalised lines are one node (its id is a 64-bit hash of their words and places).
 3. Each node has a 64-bit SimHash over its words: a bit is set if more than half of the words' hashes have it.
 4. Pigeonhole: SimHashes within 3 bits agree on at least two of five blocks, so ten keys of two blocks each find
-   every such pair. Within a key each node meets the smallest and its neighbour in SimHash order (linear); pairs
-   within 3 bits are verified by edit similarity >= 0.8: lengths within a fifth of the longer, and distance over
-   characters for lines up to 100 of them, over words beyond.
+   every such pair. One changed word moves the SimHash of an ordinary line by more than that, so each node also has
+   MinHash keys: 20 bands of two minima over its word pairs (lines of WORD_CHARS or more) and 20 over its runs of five
+   characters (lines up to GRAM_CHARS; in between, both). Candidates share a key and have lengths within a fifth of
+   the longer; SimHash keys ask for 3 bits as well. Within a key each node meets the smallest and its neighbour in
+   SimHash order (linear); candidates are verified by edit similarity >= 0.8, over characters whatever the length.
    Links make components.
 5. In keys of up to three nodes these are all pairs. In larger keys that still hold several components, the nodes
    outside the key's largest component meet all its nodes of other components. So no candidate pair is lost, and hot
@@ -30,8 +32,10 @@ from fxlake.llm.components import connected_components
 
 MAX_BITS = 3
 SIMILARITY = 0.8
-#: Lines up to so many characters are compared by characters, longer ones by words.
-LONG_CHARS = 100
+#: MinHash keys of a line and minima in each. Pairs at resemblance 0.385 (two of ten words replaced) share a key with
+#: a chance of 0.96, at 0.64 (one of ten) of 0.99997.
+BANDS, MINIMA = 20, 2
+GRAM, GRAM_CHARS, WORD_CHARS = 5, 100, 40
 #: Bit widths of the five blocks, from the lowest bit.
 BLOCKS = (13, 13, 13, 13, 12)
 
@@ -79,38 +83,55 @@ def _close(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def _symbols(norm: Column) -> Column:
-    """Each word as one character, by its hash, so that edit distance counts words."""
-    code = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+def _candidates(a: str, b: str, na: str, nb: str) -> Column:
+    """Of two nodes with a common `key`: whether their lines may be similar."""
+    return _lengths_fit(na, nb) & ((F.col("key") < 0) | _close(a, b))
+
+
+def _lengths_fit(a: str, b: str) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
 
 def comparable(norm: Column) -> list[Column]:
-    """What edit similarity needs of a line: its length, its characters if it may be short, its words if it may be long."""
-    n = F.char_length(norm)
-    return [n.alias("n"), F.when(n <= LONG_CHARS, norm).alias("chars"), F.when(n >= LONG_CHARS * SIMILARITY, _symbols(norm)).alias("words")]
+    """What edit similarity needs of a line: its length and its characters."""
+    return [F.char_length(norm).alias("n"), norm.alias("chars")]
 
 
 def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
     """1 - distance / longer length >= similarity of two structs of `comparable`; lengths may differ by that as well."""
     longer, shorter = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
+    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+    within = F.call_function("levenshtein", F.col(f"{a}.chars"), F.col(f"{b}.chars"), most) >= 0  # -1 beyond `most`
+    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(within)
+
+
+def _texts(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, norm) of nodes. Texts are read from the first occurrences' documents only."""
+    places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(places, "doc_id")
+    own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
+    return own.select(F.col("p.id").alias("id"), normalized(F.get("lines", F.col("p.line_no"))).alias("norm"))
 
-    def within(part: str) -> Column:
-        x, y = F.col(f"{a}.{part}"), F.col(f"{b}.{part}")
-        most = F.floor(F.greatest(F.char_length(x), F.char_length(y)) * (1 - similarity) + 1e-9)
-        return F.levenshtein(x, y) <= most
 
-    distant = F.when(longer > LONG_CHARS, within("words")).otherwise(within("chars"))
-    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(distant)
+def _min_keys(texts: DataFrame) -> DataFrame:
+    """(id, n, keys): length and MinHash keys, which are negative, of each line."""
+    words, n = F.split("norm", " "), F.char_length("norm")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("norm"), i, F.lit(GRAM))))
+    split = texts.select("id", "norm", n.alias("n"), words.alias("words"))
+    parts = F.array(F.when(F.col("n") >= WORD_CHARS, pairs), F.when(F.col("n") <= GRAM_CHARS, runs))
+    rows = split.select("id", "n", F.posexplode(parts).alias("kind", "features")).select("id", "n", "kind", F.explode("features").alias("h"))
+    minima = [F.min(F.xxhash64("h", F.lit(j))).alias(f"m{j}") for j in range(BANDS * MINIMA)]
+    least = rows.groupBy("id", "n", "kind").agg(*minima)
+    # rows that repeat an id may give a place several texts; all of them are keys of the node
+    key = lambda b: F.xxhash64("kind", F.lit(b), *[f"m{b * MINIMA + k}" for k in range(MINIMA)]).bitwiseOR(F.lit(-(1 << 63)))
+    return least.select("id", "n", F.array(*map(key, range(BANDS))).alias("keys"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Pairs (a, b) of nodes whose lines are similar. Texts are read from the first occurrences' documents only."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(places, "doc_id")
-    own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
-    texts = own.select(F.col("p.id").alias("id"), normalized(F.get("lines", F.col("p.line_no"))).alias("norm"))
+    texts = _texts(nodes.join(wanted, "id", "left_semi"), docs, doc_id, text)
     texts = materialize(texts.select("id", F.struct(*comparable(F.col("norm"))).alias("line")), "line-texts")
     one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").where(edit_similar("line_a", "line_b")).select("a", "b").distinct()
@@ -120,30 +141,34 @@ def line_groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> Da
     """(id, keep_doc, keep_line): for each node the occurrence that stays."""
     nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("simhash").alias("simhash"))
     nodes = materialize(nodes.select("id", "first.doc_id", "first.line_no", "simhash"), "line-nodes")
-    keyed = nodes.select("id", "simhash", F.explode(_keys(F.col("simhash"))).alias("key"))
+    marks = materialize(_min_keys(_texts(nodes, docs, doc_id, text)), "line-minima")
+    least = marks.select("id", "n", F.explode("keys").alias("key")).distinct()
+    lengths = marks.groupBy("id").agg(F.min("n").alias("n"))
+    keyed = nodes.join(lengths, "id").select("id", "simhash", "n", F.explode(_keys(F.col("simhash"))).alias("key"))
+    keyed = keyed.union(least.join(nodes, "id").select("id", "simhash", "n", "key"))
     order = Window.partitionBy("key").orderBy("simhash", "id")
     met = keyed.select(
-        "key", "id", "simhash",
-        *(f(F.struct("id", "simhash")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))), F.row_number().over(order).alias("place"),
+        "key", "id", "simhash", "n",
+        *(f(F.struct("id", "simhash", "n")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))), F.row_number().over(order).alias("place"),
     ).where("previous is not null")
     met = materialize(met, "line-met")
     pairs = None
     for other in ("leader", "previous"):
-        some = met.where(_close(f"{other}.simhash", "simhash")).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b"))
+        some = met.where(_candidates(f"{other}.simhash", "simhash", f"{other}.n", "n")).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b"))
         pairs = some if pairs is None else pairs.union(some)
     links = materialize(_verify(pairs.where("a < b").distinct(), docs, nodes, doc_id, text), "line-links")
     labels = connected_components(links, "line-components").select(F.col("node").alias("id"), "component")
     large = met.where("place > 3").select("key").distinct()
     crowd = met.join(large, "key", "left_semi")
-    members = crowd.select("key", "id", "simhash").union(crowd.where("place = 2").select("key", "leader.id", "leader.simhash"))
+    members = crowd.select("key", "id", "simhash", "n").union(crowd.where("place = 2").select("key", "leader.id", "leader.simhash", "leader.n"))
     members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.component").alias("main"))
     members = members.join(main, "key")
-    few = members.where("component <> main").select("key", F.col("id").alias("a"), F.col("simhash").alias("ha"), F.col("component").alias("ca"))
-    every = members.select("key", F.col("id").alias("b"), F.col("simhash").alias("hb"), F.col("component").alias("cb"), "main")
+    few = members.where("component <> main").select("key", F.col("id").alias("a"), F.col("simhash").alias("ha"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    every = members.select("key", F.col("id").alias("b"), F.col("simhash").alias("hb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
     # Two nodes of `few` meet once (a < b); a node of the main component is only ever on the right.
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _close("ha", "hb")
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _candidates("ha", "hb", "na", "nb")
     bridging = few.join(every, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     bridging = materialize(bridging, "line-bridging")
     seen = bridging.join(pairs.where("a < b").distinct(), ["a", "b"], "left_anti")  # what failed once fails again

@@ -357,6 +357,57 @@ def test_edit_similarity(spark):
     assert all(r["want"] == r["got"] for r in df.select("want", linededup.edit_similar("a", "b").alias("got")).collect())
 
 
+def edited(words, rng, kind):
+    """The same words with one-letter typos, or with words replaced, inserted or deleted: 1, or up to a tenth."""
+    words = list(words)
+    for _ in range(rng.randint(1, max(1, len(words) // 10))):
+        at = rng.randrange(len(words))
+        if kind == "typo":
+            letter = rng.randrange(len(words[at]))
+            words[at] = words[at][:letter] + rng.choice("qxz") + words[at][letter + 1 :]
+        elif kind == "replace":
+            words[at] = "".join(rng.choices("abcdefgh", k=len(words[at])))
+        elif kind == "insert":
+            words.insert(at, "".join(rng.choices("abcdefgh", k=5)))
+        else:
+            del words[at]
+    return words
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_lines_of_ordinary_length(spark):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(3, 9))) for _ in range(800)]
+    rows, pairs = [], []
+    for k in range(240):
+        line = rng.choices(vocabulary, k=rng.randint(10, 30))
+        other = edited(line, rng, ("typo", "replace", "insert", "delete")[k % 4])
+        a, b = " ".join(line), " ".join(other)
+        if distance(a, b) <= 0.2 * max(len(a), len(b)):
+            pairs.append(2 * k + 1)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    out = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(pairs) > 200 and sum(out[i] for i in pairs) >= 0.98 * len(pairs)
+    assert not any(n for i, n in out.items() if i not in pairs)
+
+
+def test_long_lines_are_compared_by_characters(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=10)) for _ in range(30)]
+    line, typos = " ".join(words), " ".join(f"{w[:4]}z{w[5:]}" for w in words)
+    df = spark.createDataFrame([(line, typos)], "a string, b string")
+    df = df.select(*(F.struct(*linededup.comparable(F.col(c))).alias(c) for c in "ab"))
+    assert df.select(linededup.edit_similar("a", "b").alias("got")).first()["got"]
+
+
 # ---------------------------------------------------------------- components, pipeline
 
 
