@@ -437,3 +437,12 @@ def test_pipeline(spark):
         docs = linededup.materialize(out, f"test-{name}")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.where("not round_trip").count() == 0 and last.count() == docs.count()
+
+
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles in common
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, "another text of its own")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()} == {1, 3}
