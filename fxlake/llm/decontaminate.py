@@ -4,8 +4,10 @@ Texts are canonicalised into templates: numbers, names (a capitalised word after
 and units (after a number) become typed placeholders; other words are lower-cased and lose punctuation. Every
 window of five template tokens of a document is hash-joined with the windows of the benchmark items. A pair of
 document and item is a candidate if at least 0.8 of the item's windows are found. Then slots are checked: along
-the most frequent alignment, each value of the item must stand for one value of the document and the other way
-round, within a type. What passes is a leak, also where all values differ (a re-parameterised question).
+one alignment, each value of the item must stand for one value of the document and the other way round, within a
+type. Every alignment that reaches 0.8 by itself is checked, and the most frequent one in any case; if one of them
+passes, the pair is a leak, also where all values differ (a re-parameterised question). The figures are those of the
+passing alignment with most windows (the earliest, among equals).
 
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS (their number is counted first); a larger benchmark
 is joined by a shuffle on the hash. Null and empty texts, and items of fewer than five tokens, have no window and
@@ -71,32 +73,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     shifts = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"))
     pairs = shifts.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"),
-        F.max(F.struct(F.size("places").alias("n"), (-F.col("shift")).alias("back"), "places")).alias("best"),
+        F.collect_list(F.struct(F.size("places").alias("n"), (-F.col("shift")).alias("back"), "places")).alias("alignments"),
     )
-    candidates = pairs.join(totals, "item_id").where((F.col("n_matched") >= COVERAGE * F.col("n_windows")) | (F.col("n_matched") >= F.col("n_windows") - 1))
-    candidates = candidates.select("doc_id", "item_id", "n_windows", "n_matched", (-F.col("best.back")).alias("shift"), F.col("best.places").alias("places"))
+    enough = lambda n: (n >= COVERAGE * F.col("n_windows")) | (n >= F.col("n_windows") - 1)
+    candidates = pairs.join(totals, "item_id").where(enough(F.col("n_matched"))).withColumn("best", F.array_max("alignments"))
+    tried = F.filter("alignments", lambda a: enough(a["n"]) | (a["back"] == F.col("best.back")))
+    candidates = candidates.select("doc_id", "item_id", "n_windows", "n_matched", F.explode(tried).alias("tried"))
+    candidates = candidates.select("doc_id", "item_id", "n_windows", "n_matched", F.col("tried.n").alias("n"), (-F.col("tried.back")).alias("shift"), F.col("tried.places").alias("places"))
     candidates = materialize(candidates, "candidates")
     return _consistent(candidates, marked, items)
 
 
 def _consistent(candidates: DataFrame, marked: DataFrame, items: DataFrame) -> DataFrame:
-    """Candidates whose slots are consistent."""
+    """Pairs of which a candidate alignment has consistent slots."""
     token = lambda c, i: F.get(F.split(c, " "), i)
     covered = candidates.select("doc_id", "item_id", "shift", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1))))).alias("at"))
     slots = covered.join(items, "item_id").select("doc_id", "item_id", "shift", "at", token("marked", F.col("at")).alias("own"))
     slots = slots.where(F.substring("own", 1, 1).isin(NUMBER, NAME, UNIT))
     places = slots.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "at", "own")).alias("slots"))
     values = marked.join(places, "doc_id").select("doc_id", F.split("marked", " ").alias("tokens"), F.explode("slots").alias("s"))
-    values = values.select("doc_id", "s.item_id", "s.own", F.get("tokens", F.col("s.at") + F.col("s.shift")).alias("theirs"))
+    values = values.select("doc_id", "s.item_id", "s.shift", "s.own", F.get("tokens", F.col("s.at") + F.col("s.shift")).alias("theirs"))
     kind = F.substring("own", 1, 1)
-    judged = values.groupBy("doc_id", "item_id").agg(
+    judged = values.groupBy("doc_id", "item_id", "shift").agg(
         F.count("*").alias("n_slots"),
         F.sum((F.col("own") != F.col("theirs")).cast("long")).alias("n_changed"),
         F.countDistinct("own", "theirs").alias("both"),
         F.countDistinct("own").alias("own"),
         F.countDistinct(kind, "theirs").alias("theirs"),
     )
-    out = candidates.join(judged, ["doc_id", "item_id"], "left").where("both is null or (both = own and both = theirs)")
+    passed = candidates.join(judged, ["doc_id", "item_id", "shift"], "left").where("both is null or (both = own and both = theirs)")
+    first = F.max(F.struct("n", -F.col("shift"), "n_windows", "n_matched", "n_slots", "n_changed")).alias("first")
+    out = passed.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "first.*")
     return out.select(
         "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"),
         F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),

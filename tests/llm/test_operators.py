@@ -257,6 +257,15 @@ def test_decontamination(spark, edge):
     assert decontaminate.leaks(mixed, clash).count() == 0  # one value stands for two
 
 
+def test_every_alignment_is_checked(spark):
+    say = lambda a, b: f"Anna has {a} red apples in her basket and gives {b} of them to the old man who lives near the mill by the river"
+    items = spark.createDataFrame([(1, say(3, 3))], "item_id bigint, text string")
+    edited = say(3, 3).replace("river", "lake")
+    rows = [(1, f"{say(2, 5)}. Then {say(3, 3)}."), (2, f"{say(2, 5)}. Then {edited}."), (3, f"{say(2, 5)}. Then {say(4, 7)}.")]
+    out = {r["doc_id"]: r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert set(out) == {1, 2} and all(r["n_changed"] == 0 and r["n_slots"] == 2 for r in out.values())
+
+
 # ---------------------------------------------------------------- 8
 
 
