@@ -5,8 +5,8 @@ subsequence of their places are anchors, and the gaps between anchors (and the t
 aligned in the same way, down to common prefixes and suffixes. The share of the template's words that are matched
 is its coverage; a stretch with coverage of at least 0.8 is a find.
 
-A text is only aligned with templates of whose distinct words it has at least 0.8 (fewer can't reach that
-coverage). Words of the template cut it into regions; within a region, windows of one and a half template lengths,
+A text is only aligned with templates of whose words, each counted as often as the template has it, it knows at
+least 0.8 (fewer can't reach that coverage). Words of the template cut it into regions; within a region, windows of one and a half template lengths,
 half a length apart, are aligned, so that repeated notices are each found. Of overlapping finds of a template the
 one with the highest coverage stays (the first, among equals). Null and empty texts have no find; templates without words never match.
 Texts are read whole; repeated rows get equal results.
@@ -82,13 +82,14 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan_text(words: list[str], templates: dict[str, tuple[list[str], frozenset[str]]]) -> list[tuple[str, float, int, int]]:
+def scan_text(words: list[str], templates: dict[str, tuple[list[str], Counter[str]]]) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, last word) of each find."""
     have, out = set(words), []
-    for name, (template, distinct) in templates.items():
-        if not template or len(have & distinct) < COVERAGE * len(distinct):
+    for name, (template, counts) in templates.items():
+        least = COVERAGE * len(template)
+        if not template or sum(counts[w] for w in have & counts.keys()) < least:
             continue
-        places = [i for i, w in enumerate(words) if w in distinct]
+        places = [i for i, w in enumerate(words) if w in counts]
         finds = []
         start = 0
         for k in range(1, len(places) + 1):
@@ -99,10 +100,10 @@ def scan_text(words: list[str], templates: dict[str, tuple[list[str], frozenset[
             size, step = max(2, len(template) * 3 // 2), max(1, len(template) // 2)
             for at in range(low, max(low + 1, high - size + step), step):
                 part = words[at : min(high, at + size)]
-                if len(set(part) & distinct) < COVERAGE * len(distinct):
+                if sum(counts[w] for w in counts.keys() & set(part)) < least:
                     continue
                 pairs = align(part, template)
-                if len(pairs) >= COVERAGE * len(template):
+                if len(pairs) >= least:
                     finds.append((len(pairs) / len(template), -(at + pairs[0][0]), at + pairs[-1][0]))
         taken: list[tuple[int, int]] = []
         for coverage, first, last in sorted(finds, key=lambda f: (-f[0], -f[1], f[2])):
@@ -118,7 +119,7 @@ FOUND = "array<struct<license:string,coverage:double,first_word:int,last_word:in
 def scan_licenses(df: DataFrame, notices: dict[str, str] = NOTICES, text: str = "text", out: str = "licenses") -> DataFrame:
     """Add the finds of all templates in the whole text. Other columns stay."""
     bounded_batches(df.sparkSession)
-    templates = {name: (words := words_of(notice), frozenset(words)) for name, notice in notices.items()}
+    templates = {name: (words := words_of(notice), Counter(words)) for name, notice in notices.items()}
 
     @F.pandas_udf(FOUND)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

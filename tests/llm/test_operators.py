@@ -335,6 +335,18 @@ def test_licenses(spark, edge):
     assert licenses.scan_licenses(edge).count() == len(EDGE)
 
 
+def test_edited_long_notices():
+    notices = {name: licenses.words_of(n) for name, n in licenses.NOTICES.items()}
+    templates = {name: (words, licenses.Counter(words)) for name, words in notices.items()}
+    for name in ("MIT text", "ISC text", "Apache-2.0 header", "GPL-3.0 header", "MPL-2.0 header"):
+        words, counts = templates[name]
+        once = [w for w in words if counts[w] == 1]
+        out = set(once[: len(counts) // 5 + 1])  # fewer than 0.8 of the distinct words stay, more than 0.8 of all words
+        left = [w for w in words if w not in out]
+        found = [f for f in licenses.scan_text(["code", *left, "code"], templates) if f[0] == name]
+        assert len(found) == 1 and 0.8 <= len(left) / len(words) < 0.89 and found[0][1] == len(left) / len(words)
+
+
 # ---------------------------------------------------------------- 10
 
 
