@@ -234,6 +234,28 @@ def test_passages(spark, docs, edge):
     assert passages.repeated_passages(edge.where("false")).count() == 0
 
 
+def test_edited_passages(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], set()
+    for k in range(240):
+        shared = text((60, 70, 80, 95)[k % 4])
+        other, at = list(shared), rng.randrange(5, len(shared) - 5)
+        if k % 3 == 0:
+            other[at] = "replaced"
+        elif k % 3 == 1:
+            other.insert(at, "inserted")
+        else:
+            del other[at]
+        one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (shared, other))
+        assert len(one & two) >= 0.8 * len(one | two)
+        rows += [(2 * k, " ".join(text(60) + shared + text(40))), (2 * k + 1, " ".join(text(30) + other + text(70)))]
+        pairs.add((2 * k, 2 * k + 1))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in got} <= pairs and len({r["doc_a"] for r in got}) >= 0.98 * len(pairs)
+    assert all(r["n_words"] >= 50 and r["similarity"] >= 0.8 for r in got)
+
+
 # ---------------------------------------------------------------- 7
 
 
