@@ -256,6 +256,20 @@ def test_edited_passages(spark):
     assert all(r["n_words"] >= 50 and r["similarity"] >= 0.8 for r in got)
 
 
+def test_interleaved_variants_of_a_group_meet(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    # windows of one group, of two kinds: those narrow on the left share 46 places, those narrow on the right as well,
+    # but not one of each
+    rows = [(7, d, 100 - (5 if d % 2 else 50), 100, 100 + (50 if d % 2 else 5), 0) for d in range(12)]
+    windows = spark.createDataFrame(rows, "key bigint, doc bigint, l int, c int, r int, f tinyint")
+    first = passages._paired(windows.coalesce(1)).collect()
+    links = spark.createDataFrame([(r["a"], r["b"]) for r in first], "doc_a bigint, doc_b bigint")
+    found = passages._bridging(windows, links).collect()
+    edges = spark.createDataFrame([(r["a"], r["b"]) for r in [*first, *found]], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {d: d % 2 for d in range(12)}
+
+
 # ---------------------------------------------------------------- 7
 
 
