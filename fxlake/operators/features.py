@@ -85,7 +85,7 @@ def history_embeddings(rows: DataFrame, events: DataFrame, embeddings: DataFrame
 
 
 def user_encoding(features: DataFrame) -> DataFrame:
-    """Ten bounded numbers of a user for a two-tower model."""
+    """Five of the ten bounded numbers of a user for a two-tower model (M14)."""
     log = lambda c, top: F.round(F.least(F.lit(1.0), F.log1p(F.col(c)) / top), 6)
     return features.select("user_id", log("total_interactions", 10).alias("f0"), log("views", 10).alias("f1"), log("clicks", 10).alias("f2"), log("purchases", 10).alias("f3"), F.round(F.least(F.lit(1.0), F.col("avg_session_length") / 100), 6).alias("f4"))
 
