@@ -2,198 +2,218 @@
 
 1. Lines are cut at line feeds and normalised: lower case, every run of other characters than letters and digits
    becomes one space. Lines that normalise to nothing are always kept and never compared.
-2. Equal normalised lines are one node (its id is a 64-bit hash of their words and places).
-3. Each node has a 64-bit SimHash over its words: a bit is set if more than half of the words' hashes have it.
-4. Pigeonhole: SimHashes within 3 bits agree on at least two of five blocks, so ten keys of two blocks each find
-   every such pair. One changed word moves the SimHash of an ordinary line by more than that, so each node also has
-   MinHash keys: 20 bands of two minima over its word pairs (lines of WORD_CHARS or more) and 20 over its runs of five
-   characters (lines up to GRAM_CHARS; in between, both). Candidates share a key and have lengths within a fifth of
-   the longer; SimHash keys ask for 3 bits as well. Within a key each node meets the smallest and its neighbour in
-   SimHash order (linear); candidates are verified by edit similarity >= 0.8, over characters whatever the length.
-   Links make components.
-5. In keys of up to three nodes these are all pairs. In larger keys that still hold several components, the nodes
-   outside the key's largest component meet all its nodes of other components. So no candidate pair is lost, and hot
-   keys cost what lies outside their largest component.
+2. Equal normalised lines are one node (its id is a 64-bit hash of their words).
+3. Pigeonhole: the features of a line are its words, and in lines of under four words their runs of three characters
+   as well. The SKETCH longest ones (ties by hash) are its sketch, and each choice of SHARED of them is a key. An edit
+   that changes up to SKETCH - SHARED of the features leaves one key, whatever the length of the line.
+4. Nodes that share a key are candidates if their lengths are within a fifth of the longer and the SimHashes of their
+   words are within MAX_BITS bits (lines of up to SHORT characters go without SimHash). Candidates are linked if
+   their edit similarity, over all characters, is 0.8 or more.
+5. First round: in each key a node meets the key's smallest node and its neighbour, in the order of lengths (linear).
+   Links make components. Second round: where a key still holds several components, the nodes outside its largest one
+   meet all nodes of other components, in cells of at most BLOCK by BLOCK nodes that are compared inside arrays; only
+   pairs of components that are linked leave a cell. So no candidate pair between different components is left out.
 6. Of each component the first occurrence, by document id and line number, stays.
 
-Null and empty texts have no line to drop. Rows with a null id are left as they are; rows that repeat an id are
-treated alike, as one document. Columns other than the id and the text stay.
+Blocks of the SimHash itself can't serve as keys: one changed letter moves it by more than the three bits that blocks
+of a useful width allow for, unless the line is very long.
+
+Null and empty texts have no line to drop. Rows with a null id are left as they are. Rows that repeat an id and a text
+are treated alike, as one document; rows that repeat an id with other texts are documents of their own. Columns other
+than the text stay; n_lines and n_dropped take other names (`counts`) where the input has columns of these names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fxlake.llm.common import materialize, read_table, text_or_empty
+from fxlake.llm.common import materialize, read_table, release, small_enough, text_or_empty
 from fxlake.llm.components import connected_components
 
-MAX_BITS = 3
 SIMILARITY = 0.8
-#: MinHash keys of a line and minima in each. Pairs at resemblance 0.385 (two of ten words replaced) share a key with
-#: a chance of 0.96, at 0.64 (one of ten) of 0.99997.
-BANDS, MINIMA = 20, 2
-GRAM, GRAM_CHARS, WORD_CHARS = 5, 100, 40
-#: Bit widths of the five blocks, from the lowest bit.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Features of a sketch, and those of one key. Any two changed features of five leave a key.
+SKETCH, SHARED = 5, 3
+#: Greatest Hamming distance of the SimHashes of candidates. With a fifth of the words replaced they are 13 bits apart,
+#: with a deviation of three; unrelated lines are 32 apart, with a deviation of four.
+MAX_BITS, SHORT = 22, 40
+#: Nodes on either side of a cell of the second round.
+BLOCK = 512
+#: What a side of a join may have in bytes to be broadcast; it is measured, and shuffled beyond.
+BROADCAST_BYTES = 32 << 20
 
+BREAKS = r"[^\p{L}\p{N}]+"
 
 
-BREAKS = r"[^\p{L}\p{N}]+"
+def words_of(lowered: Column) -> Column:
+    return F.array_remove(F.split(lowered, BREAKS), "")
 
 
 def normalized(line: Column) -> Column:
-    return F.array_join(F.array_remove(F.split(F.lower(line), BREAKS), ""), " ")
+    return F.array_join(words_of(F.lower(line)), " ")
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, id, simhash) of every line that can be compared.
+def _feature(word: Column) -> Column:
+    """A hash whose order is that of decreasing length."""
+    length = F.least(F.char_length(word), F.lit(63)).cast("bigint")
+    return F.shiftleft(F.lit(63).cast("bigint") - length, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 7))
 
-    Words are a row each, with their place counted from the first word, and are counted by a hash aggregate of 32 sums
-    in generated code; the id is the XOR of the hashes of word and place. A line's words come one after the other from
-    one task, so the partial sums leave one row a line for the shuffle.
+
+def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, line_no, id, n, s0, s1, ...) of every line that can be compared: hash of its text, line number,
+    hash of its words, length, sketch."""
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    # rows that repeat an id and a text give the same lines twice, and the same places
+    lines = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    words = lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "row", "line_no", words_of(F.col("line")).alias("words"))
+    norm = words.select("*", F.array_join("words", " ").alias("norm"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("norm") - 2, F.lit(1))), lambda i: _feature(F.substring(F.col("norm"), i, F.lit(3))))
+    features = F.transform("words", _feature)
+    features = F.when(F.size("words") < 4, F.concat(features, runs)).otherwise(features)
+    sketch = F.slice(F.sort_array(F.array_distinct(features)), 1, SKETCH)
+    out = norm.select("doc_id", "row", "line_no", F.xxhash64("words").alias("id"), F.char_length("norm").alias("n"), sketch.alias("sketch"))
+    return out.select("doc_id", "row", "line_no", "id", "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
+
+
+def _keys() -> Column:
+    """The keys of a sketch: those of its choices that it has."""
+    return F.array_compact(F.array(*[F.when(F.col(f"s{chosen[-1]}").isNotNull(), F.xxhash64(*[f"s{i}" for i in chosen])) for chosen in combinations(range(SKETCH), SHARED)]))
+
+
+def simhashes(texts: DataFrame) -> DataFrame:
+    """(id, simhash) of texts(id, norm). A bit is set if more than half of the words' hashes have it.
+
+    Words are counted by a hash aggregate of 32 sums, each of which counts two bits.
     """
-    # `row` only keeps rows that repeat an id apart; all words of a row come from one task
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.lower(text_or_empty(text)).alias("text"), F.monotonically_increasing_id().alias("row"))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # a line that starts with a break has an empty first word, which isn't counted as a place
-    words = lines.select("doc_id", "row", "line_no", F.substring("line", 1, 1).rlike(BREAKS).cast("int").alias("skip"), F.posexplode(F.split("line", BREAKS)).alias("place", "word")).where("word <> ''")
-    words = words.select("doc_id", "row", "line_no", F.xxhash64("word").alias("h"), F.xxhash64("word", F.col("place") - F.col("skip")).alias("placed"))
+    words = texts.select("id", F.explode(F.split("norm", " ")).alias("word")).select("id", F.xxhash64("word").alias("h"))
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(0x0000000100000001))).alias(f"s{j}") for j in range(32)]
-    sums = words.groupBy("doc_id", "row", "line_no").agg(F.count("*").alias("n"), F.bit_xor("placed").alias("id"), *lanes)
+    sums = words.groupBy("id").agg(F.count("*").alias("n"), *lanes)
 
     def bit(b: int) -> Column:
         count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(count * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("bigint"))
 
-    return sums.select("doc_id", "line_no", "id", reduce(Column.bitwiseOR, map(bit, range(64))).alias("simhash"))
+    return sums.select("id", reduce(Column.bitwiseOR, map(bit, range(64))).alias("simhash"))
 
 
-def _keys(simhash: Column) -> Column:
-    """The ten keys of a SimHash: number of the pair of blocks, then the two blocks."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned(simhash, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, BLOCKS, strict=True)]
-    pairs = [(i, j) for i in range(len(BLOCKS)) for j in range(i)]
-    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for n, (i, j) in enumerate(pairs)])
+def _lengths_fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
+    """1 - distance / longer length >= similarity of two structs with n and norm. A distance of an eighth of what is
+    allowed is tried first: most links are that close, and the cost goes with the distance that is looked for."""
+    longer, shorter = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
+    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+    within = lambda d: F.call_function("levenshtein", a["norm"], b["norm"], d) >= 0  # noqa: E731  -1 beyond d
+    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(within(F.floor(most / 8).cast("int")) | within(most))
 
 
-def _candidates(a: str, b: str, na: str, nb: str) -> Column:
-    """Of two nodes with a common `key`: whether their lines may be similar."""
-    return _lengths_fit(na, nb) & ((F.col("key") < 0) | _close(a, b))
+def candidates(a: Column, b: Column) -> Column:
+    """Whether two nodes that share a key, structs with n and simhash, may be similar."""
+    near = F.bit_count(a["simhash"].bitwiseXOR(b["simhash"])) <= MAX_BITS
+    return _lengths_fit(a["n"], b["n"]) & ((F.greatest(a["n"], b["n"]) <= SHORT) | near)
 
 
-def _lengths_fit(a: str, b: str) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
+def _broadcast_if_small(df: DataFrame, bytes_a_row: Column) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, bytes_a_row, BROADCAST_BYTES) else df
 
 
-def comparable(norm: Column) -> list[Column]:
-    """What edit similarity needs of a line: its length and its characters."""
-    return [F.char_length(norm).alias("n"), norm.alias("chars")]
+def _lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, line: struct of n, norm, simhash) of the nodes wanted(id), from the documents of their first occurrences."""
+    first = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("p"))
+    places = first.groupBy("p.doc_id", "p.row").agg(F.collect_list(F.struct("p.line_no", "id")).alias("places"))
+    places = materialize(places.toDF("doc_id", "row", "places"), "line-places")
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("row", F.xxhash64("text"))
+    own = own.join(_broadcast_if_small(places, F.size("places") * 16 + 48), ["doc_id", "row"])
+    own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
+    texts = own.select("p.id", normalized(F.get("lines", F.col("p.line_no"))).alias("norm")).dropDuplicates(["id"])
+    texts = materialize(texts, "line-texts")
+    both = texts.join(simhashes(texts), "id").select("id", F.struct(F.char_length("norm").alias("n"), "norm", "simhash").alias("line"))
+    out = materialize(both, "line-candidates")
+    release(places, texts)
+    return out
 
 
-def edit_similar(a: str, b: str, similarity: float = SIMILARITY) -> Column:
-    """1 - distance / longer length >= similarity of two structs of `comparable`; lengths may differ by that as well."""
-    longer, shorter = F.greatest(f"{a}.n", f"{b}.n"), F.least(f"{a}.n", f"{b}.n")
-    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    within = F.call_function("levenshtein", F.col(f"{a}.chars"), F.col(f"{b}.chars"), most) >= 0  # -1 beyond `most`
-    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(within)
+def _first_links(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): linked nodes among those that are the first of a key or neighbours in it."""
+    some = [met.where(_lengths_fit(F.col(f"{other}.n"), F.col("n"))).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b")) for other in ("leader", "previous")]
+    one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+    pairs = some[0].union(some[1]).where("a <> b").distinct().join(one, "a").join(two, "b")
+    a, b = F.col("line_a"), F.col("line_b")
+    return pairs.where(candidates(a, b)).where(edit_similar(a, b)).select("a", "b")
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, norm) of nodes. Texts are read from the first occurrences' documents only."""
-    places = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("places"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(places, "doc_id")
-    own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
-    return own.select(F.col("p.id").alias("id"), normalized(F.get("lines", F.col("p.line_no"))).alias("norm"))
-
-
-def _min_keys(texts: DataFrame) -> DataFrame:
-    """(id, n, keys): length and MinHash keys, which are negative, of each line."""
-    words, n = F.split("norm", " "), F.char_length("norm")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("norm"), i, F.lit(GRAM))))
-    split = texts.select("id", "norm", n.alias("n"), words.alias("words"))
-    parts = F.array(F.when(F.col("n") >= WORD_CHARS, pairs), F.when(F.col("n") <= GRAM_CHARS, runs))
-    rows = split.select("id", "n", F.posexplode(parts).alias("kind", "features")).select("id", "n", "kind", F.explode("features").alias("h"))
-    minima = [F.min(F.xxhash64("h", F.lit(j))).alias(f"m{j}") for j in range(BANDS * MINIMA)]
-    least = rows.groupBy("id", "n", "kind").agg(*minima)
-    # rows that repeat an id may give a place several texts; all of them are keys of the node
-    key = lambda b: F.xxhash64("kind", F.lit(b), *[f"m{b * MINIMA + k}" for k in range(MINIMA)]).bitwiseOR(F.lit(-(1 << 63)))
-    return least.select("id", "n", F.array(*map(key, range(BANDS))).alias("keys"))
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Pairs (a, b) of nodes whose lines are similar. Texts are read from the first occurrences' documents only."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = _texts(nodes.join(wanted, "id", "left_semi"), docs, doc_id, text)
-    texts = materialize(texts.select("id", F.struct(*comparable(F.col("norm"))).alias("line")), "line-texts")
-    one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").where(edit_similar("line_a", "line_b")).select("a", "b").distinct()
-
-
-def line_groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, keep_doc, keep_line): for each node the occurrence that stays."""
-    nodes = lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("simhash").alias("simhash"))
-    nodes = materialize(nodes.select("id", "first.doc_id", "first.line_no", "simhash"), "line-nodes")
-    marks = materialize(_min_keys(_texts(nodes, docs, doc_id, text)), "line-minima")
-    least = marks.select("id", "n", F.explode("keys").alias("key")).distinct()
-    lengths = marks.groupBy("id").agg(F.min("n").alias("n"))
-    keyed = nodes.join(lengths, "id").select("id", "simhash", "n", F.explode(_keys(F.col("simhash"))).alias("key"))
-    keyed = keyed.union(least.join(nodes, "id").select("id", "simhash", "n", "key"))
-    order = Window.partitionBy("key").orderBy("simhash", "id")
-    met = keyed.select(
-        "key", "id", "simhash", "n",
-        *(f(F.struct("id", "simhash", "n")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))), F.row_number().over(order).alias("place"),
-    ).where("previous is not null")
-    met = materialize(met, "line-met")
-    pairs = None
-    for other in ("leader", "previous"):
-        some = met.where(_candidates(f"{other}.simhash", "simhash", f"{other}.n", "n")).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b"))
-        pairs = some if pairs is None else pairs.union(some)
-    links = materialize(_verify(pairs.where("a < b").distinct(), docs, nodes, doc_id, text), "line-links")
-    labels = connected_components(links, "line-components").select(F.col("node").alias("id"), "component")
-    large = met.where("place > 3").select("key").distinct()
+def _bridges(met: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): linked components, of nodes that share a key."""
+    large = met.where("place > 3").select("key").distinct()  # in smaller keys all have met
     crowd = met.join(large, "key", "left_semi")
-    members = crowd.select("key", "id", "simhash", "n").union(crowd.where("place = 2").select("key", "leader.id", "leader.simhash", "leader.n"))
+    members = crowd.select("key", "id").union(crowd.where("place = 2").select("key", "leader.id"))
     members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.component").alias("main"))
-    members = members.join(main, "key")
-    few = members.where("component <> main").select("key", F.col("id").alias("a"), F.col("simhash").alias("ha"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    every = members.select("key", F.col("id").alias("b"), F.col("simhash").alias("hb"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-    # Two nodes of `few` meet once (a < b); a node of the main component is only ever on the right.
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _candidates("ha", "hb", "na", "nb")
-    bridging = few.join(every, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bridging = materialize(bridging, "line-bridging")
-    seen = bridging.join(pairs.where("a < b").distinct(), ["a", "b"], "left_anti")  # what failed once fails again
-    seen = materialize(seen, "line-open")
-    if not seen.isEmpty():
-        more = materialize(_verify(seen, docs, nodes, doc_id, text), "line-bridges")
-        labels = connected_components(links.union(more), "line-components").select(F.col("node").alias("id"), "component")
-    grouped = nodes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keepers = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    return grouped.join(keepers, "component").select("id", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line_no").alias("keep_line"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `text` less its repeated lines, and n_lines and n_dropped. Every row stays."""
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).where("all > top.size")
+    shape = shape.select("key", F.col("top.component").alias("main"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("top.size")).alias("rows"))
+    members = members.join(shape, "key").join(texts, "id")
+    place = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
+    node = F.struct("id", "component", "line.n", "line.norm", "line.simhash")
+    few = members.where("component <> main").select("key", place("rows").alias("row"), "columns", "main", node.alias("node")).groupBy("key", "row").agg(F.first("columns").alias("columns"), F.first("main").alias("main"), F.collect_list("node").alias("few"))
+    few = few.select("key", "row", "main", "few", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    every = members.select("key", place("columns").alias("column"), node.alias("node")).groupBy("key", "column").agg(F.collect_list("node").alias("every"))
+
+    def linked(a: Column, b: Column) -> Column:
+        # two of the few meet once; a node of the main component is only ever on the right
+        apart = (a["component"] != b["component"]) & ((b["component"] == F.col("main")) | (a["id"] < b["id"]))
+        return apart & candidates(a, b) & edit_similar(a, b)
+
+    found = F.flatten(F.transform("few", lambda a: F.array_distinct(F.transform(F.filter("every", lambda b: linked(a, b)), lambda b: F.struct(F.least(a["component"], b["component"]).alias("a"), F.greatest(a["component"], b["component"]).alias("b"))))))
+    return few.join(every, ["key", "column"]).select(F.explode(found).alias("pair")).select("pair.*").distinct()
+
+
+def line_components(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) of the nodes that are linked to another one; lines are the occurrences in docs."""
+    nodes = lines.groupBy("id").agg(F.min("n").alias("n"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
+    keyed = nodes.select("id", "n", F.explode(_keys()).alias("key"))
+    order = Window.partitionBy("key").orderBy("n", "id")
+    named = [f(F.struct("id", "n")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))]
+    met = materialize(keyed.select("key", "id", "n", *named, F.row_number().over(order).alias("place")).where("previous is not null"), "line-met")
+    wanted = met.select("id").union(met.where("place = 2").select("leader.id")).distinct()
+    texts = _lines(wanted, lines, docs, doc_id, text)
+    links = materialize(_first_links(met, texts), "line-links")
+    labels = materialize(connected_components(links, "line-components").select(F.col("node").alias("id"), "component"), "line-labels")
+    bridges = materialize(_bridges(met, texts, labels), "line-bridges")
+    release(met, texts, links)
+    if bridges.isEmpty():
+        return labels
+    # an end of a bridge is a component, or a node that had no link yet
+    joined = connected_components(bridges, "line-components").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = labels.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(labels.select("component"), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    return known.union(alone)
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with `text` less its repeated lines, and the numbers of its lines and of those dropped. Every row stays."""
     lines = materialize(occurrences(docs, doc_id, text), "line-occurrences")
-    groups = line_groups(docs, lines, doc_id, text)
-    repeated = lines.join(groups, "id").where("doc_id <> keep_doc or line_no <> keep_line")
-    drops = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias("__drops"))
-    out = docs.join(drops.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    labels = line_components(docs, lines, doc_id, text)
+    placed = lines.select("id", F.struct("doc_id", "row", "line_no").alias("place")).join(labels, "id", "left").select("place", F.coalesce("component", "id").alias("component"))
+    keep = placed.groupBy("component").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    repeated = placed.join(keep, "component").where("place <> keep").select("place.*")
+    drops = repeated.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__drops"))
+    drops = materialize(drops.toDF("__doc", "__row", "__drops"), "line-drops")
+    release(lines)
+    side = _broadcast_if_small(drops, F.size("__drops") * 8 + 48)
+    whole = text_or_empty(text)
+    out = docs.join(side, (F.col(doc_id) == F.col("__doc")) & (F.xxhash64(whole) == F.col("__row")), "left")
     cut = F.split(F.col(text), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("__drops")), lambda i: F.get(cut, i))
     return out.select(
-        *[F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.size(F.split(text_or_empty(text), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(counts[0]),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 

@@ -388,8 +388,8 @@ def test_edited_long_notices():
 
 def test_simhash_is_a_majority(spark):
     texts = ["one two three", "a " * 700 + "b " * 300 + "c", "x"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["simhash"] for r in linededup.occurrences(df, "doc_id", "text").collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").select("id", linededup.normalized(F.col("text")).alias("norm"))
+    got = {r["id"]: r["simhash"] for r in linededup.simhashes(df).collect()}
     for i, t in enumerate(texts):
         hashes = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in t.split()], "w string").select(F.xxhash64("w")).collect()]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
@@ -407,11 +407,15 @@ def test_fuzzy_lines(spark, edge):
     assert linededup.dedup_lines(edge.where("false")).count() == 0
 
 
+def comparable(c):
+    return F.struct(F.char_length(c).alias("n"), F.col(c).alias("norm"))
+
+
 def test_edit_similarity(spark):
     rows = [("abcdefghij", "abcdefghix", True), ("abcdefghij", "abcdefgxyz", False), ("w " * 1499 + "w", "w " * 1399 + "v " * 100 + "v", True), ("a", "abc", False), ("w " * 40 + "x", "v " * 40 + "x", False), ("w" * 101, "w" * 70, False)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
-    df = df.select("want", F.struct(*linededup.comparable(F.col("a"))).alias("a"), F.struct(*linededup.comparable(F.col("b"))).alias("b"))
-    assert all(r["want"] == r["got"] for r in df.select("want", linededup.edit_similar("a", "b").alias("got")).collect())
+    df = df.select("want", *(comparable(c).alias(c) for c in "ab"))
+    assert all(r["want"] == r["got"] for r in df.select("want", linededup.edit_similar(F.col("a"), F.col("b")).alias("got")).collect())
 
 
 def edited(words, rng, kind):
@@ -461,8 +465,57 @@ def test_long_lines_are_compared_by_characters(spark):
     words = ["".join(rng.choices("abcdefgh", k=10)) for _ in range(30)]
     line, typos = " ".join(words), " ".join(f"{w[:4]}z{w[5:]}" for w in words)
     df = spark.createDataFrame([(line, typos)], "a string, b string")
-    df = df.select(*(F.struct(*linededup.comparable(F.col(c))).alias(c) for c in "ab"))
-    assert df.select(linededup.edit_similar("a", "b").alias("got")).first()["got"]
+    df = df.select(*(comparable(c).alias(c) for c in "ab"))
+    assert df.select(linededup.edit_similar(F.col("a"), F.col("b")).alias("got")).first()["got"]
+
+
+def test_one_letter_is_found_at_every_length(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for k in range(240):
+        line = rng.choices(vocabulary, k=(6, 10, 20, 40, 80, 150)[k % 6])
+        other = list(line)
+        at = rng.randrange(len(line))
+        letter = rng.randint(0, len(line[at]))
+        other[at] = line[at][:letter] + rng.choice("vwxyz") + line[at][letter:]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    out = {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for n in range(6):
+        assert sum(out[2 * k + 1] for k in range(n, 240, 6)) >= 39 and not any(out[2 * k] for k in range(n, 240, 6))
+
+
+def test_line_components_are_those_of_brute_force(spark, docs, monkeypatch):
+    """Every pair of lines of at least four words, one key or more in common, against the components of the operator."""
+    monkeypatch.setattr(linededup, "BLOCK", 3)
+    rng = random.Random(13)
+    base = [rng.choices(["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(300)], k=14) for _ in range(12)]
+    common = base[0][:5]
+    texts = []
+    for _ in range(260):  # variants of few lines, and unlike lines that share five words: keys with several components
+        line = edited(edited(rng.choice(base), rng, rng.choice(["replace", "insert", "delete"])), rng, "replace")
+        texts.append(" ".join([*common, *line] if rng.random() < 0.4 else line))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lines = linededup.materialize(linededup.occurrences(df, "doc_id", "text"), "test-lines")
+    sketches = {r["doc_id"]: (r["id"], {r[f"s{i}"] for i in range(linededup.SKETCH)} - {None}) for r in lines.collect()}
+    parent = {}
+    find = lambda i: i if parent.setdefault(i, i) == i else find(parent[i])
+    for i, one in enumerate(texts):
+        for j in range(i):
+            if len(sketches[i][1] & sketches[j][1]) >= linededup.SHARED and distance(one, texts[j]) <= 0.2 * max(len(one), len(texts[j])):
+                x, y = find(sketches[i][0]), find(sketches[j][0])
+                parent[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in linededup.line_components(df, lines).collect()}
+    want = {i: find(i) for i in list(parent)}
+    groups = lambda labels: {frozenset(k for k, v in labels.items() if v == c) for c in set(labels.values())}
+    assert groups({i: c for i, c in got.items()}) == {g for g in groups(want) if len(g) > 1}
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a line that stands twice\nanother line of mine", 7), (1, "something else entirely\na quite different second line", 8), (2, "A line that stands twice.\nmore of it here", 9)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int"), counts=("lines", "dropped"))
+    assert out.columns == ["doc_id", "text", "n_lines", "lines", "dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(*rows[0], 2, 0), (*rows[1], 2, 0), (2, "more of it here", 9, 2, 1)])
 
 
 # ---------------------------------------------------------------- components, pipeline
