@@ -6,9 +6,9 @@
 3. Pigeonhole: the features of a line are its words, and in lines of under four words their runs of three characters
    as well. The SKETCH longest ones (ties by hash) are its sketch, and each choice of SHARED of them is a key. An edit
    that changes up to SKETCH - SHARED of the features leaves one key, whatever the length of the line.
-4. Nodes that share a key are candidates if their lengths are within a fifth of the longer and the SimHashes of their
-   words are within MAX_BITS bits (lines of up to SHORT characters go without SimHash). Candidates are linked if
-   their edit similarity, over all characters, is 0.8 or more.
+4. Nodes that share a key are candidates if their lengths are within a fifth of the longer, the SimHashes of their
+   words are within MAX_BITS bits and no more than MAX_PIECES of their words are edited (lines of up to SHORT characters
+   need only the lengths). Candidates are linked if their edit similarity, over all characters, is 0.8 or more.
 5. First round: in each key a node meets the key's smallest node and its neighbour, in the order of lengths (linear).
    Links make components. Second round: where a key still holds several components, the nodes outside its largest one
    meet all nodes of other components, in cells of at most BLOCK by BLOCK nodes that are compared inside arrays; only
@@ -38,8 +38,10 @@ SIMILARITY = 0.8
 #: Features of a sketch, and those of one key. Any two changed features of five leave a key.
 SKETCH, SHARED = 5, 3
 #: Greatest Hamming distance of the SimHashes of candidates. With a fifth of the words replaced they are 13 bits apart,
-#: with a deviation of three; unrelated lines are 32 apart, with a deviation of four.
-MAX_BITS, SHORT = 22, 40
+#: with a deviation of three, with a tenth 9; lines that share half of their words are 21, unrelated ones 32 apart.
+MAX_BITS, SHORT = 16, 40
+#: Characters of a piece of a word (its end counts as one), and the share of pieces that candidates may differ in.
+PIECE, MAX_PIECES = 8, 0.35
 #: Nodes on either side of a cell of the second round.
 BLOCK = 512
 #: What a side of a join may have in bytes to be broadcast; it is measured, and shuffled beyond.
@@ -103,13 +105,45 @@ def _lengths_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _common_ends(a: Column, b: Column, shorter: Column) -> Column:
+    """Struct of the characters that two texts have in common at their starts (p) and, of the rest, at their ends (s).
+    Both are searched by halving steps, each a comparison of substrings."""
+    steps = F.transform(F.sequence(F.floor(F.log2(shorter)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    starts = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.substring(a, p + 1, s) == F.substring(b, p + 1, s), p + s).otherwise(p))
+    ends = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.right(a, p + s) == F.right(b, p + s), p + s).otherwise(p))
+    return _let(F.least(starts, shorter), lambda p: F.struct(p.alias("p"), F.least(ends, shorter - p).alias("s")))
+
+
+def comparable(norm: Column) -> list[Column]:
+    """What edit similarity needs of a line: its length, its characters, and its pieces, a hash of 15 bits and a half
+    each, as characters of a string (those from U+0100 to U+D7FF), so that Spark's edit distance applies to them too."""
+    places = lambda w: F.sequence(F.lit(1), F.char_length(w) + 1, F.lit(PIECE))
+    symbol = lambda piece: F.lpad(F.hex(F.pmod(F.xxhash64(piece), F.lit(0xD700)) + 0x100), 4, "0")
+    pieces = F.transform(F.split(norm, " "), lambda w: F.array_join(F.transform(places(w), lambda i: symbol(F.substring(F.concat(w, F.lit(" ")), i, F.lit(PIECE)))), ""))
+    return [F.char_length(norm).alias("n"), norm.alias("norm"), F.decode(F.unhex(F.array_join(pieces, "")), "UTF-16BE").alias("pieces")]
+
+
 def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """1 - distance / longer length >= similarity of two structs with n and norm. A distance of an eighth of what is
-    allowed is tried first: most links are that close, and the cost goes with the distance that is looked for."""
+    """1 - distance / longer length >= similarity of two structs of `comparable`.
+
+    Edit distance is dear, so what bounds it is tried first: what lies between the common start and the common end,
+    then the distance in pieces, each of which is worth PIECE characters at most. It says no beyond MAX_PIECES. The
+    distance in characters is that of the parts between the common ends.
+    """
     longer, shorter = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
     most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    within = lambda d: F.call_function("levenshtein", a["norm"], b["norm"], d) >= 0  # noqa: E731  -1 beyond d
-    return F.when(shorter < longer * similarity - 1e-9, F.lit(False)).otherwise(within(F.floor(most / 8).cast("int")) | within(most))
+    between = lambda side, ends: F.substring(side["norm"], ends["p"] + 1, side["n"] - ends["p"] - ends["s"])
+    exact = lambda ends: F.call_function("levenshtein", between(a, ends), between(b, ends), most) >= 0  # noqa: E731  -1 beyond `most`
+    pieces = F.call_function("levenshtein", a["pieces"], b["pieces"], F.floor(F.greatest(F.char_length(a["pieces"]), F.char_length(b["pieces"])) * MAX_PIECES).cast("int"))
+    # one piece more, for two unlike pieces with one hash
+    dear = lambda ends: F.when(longer <= SHORT, exact(ends)).otherwise(_let(pieces, lambda d: F.when(d < 0, F.lit(False)).otherwise(((d + 1) * PIECE <= most) | exact(ends))))
+    within = _let(_common_ends(a["norm"], b["norm"], shorter), lambda ends: (longer - ends["p"] - ends["s"] <= most) | dear(ends))
+    return F.when((shorter < longer * similarity - 1e-9) | (shorter < 1), F.lit(False)).otherwise(within)
 
 
 def candidates(a: Column, b: Column) -> Column:
@@ -132,22 +166,28 @@ def _lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, te
     own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
     texts = own.select("p.id", normalized(F.get("lines", F.col("p.line_no"))).alias("norm")).dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
-    both = texts.join(simhashes(texts), "id").select("id", F.struct(F.char_length("norm").alias("n"), "norm", "simhash").alias("line"))
+    both = texts.join(simhashes(texts), "id").select("id", F.struct(*comparable(F.col("norm")), "simhash").alias("line"))
     out = materialize(both, "line-candidates")
     release(places, texts)
     return out
 
 
+def _tasks(df: DataFrame) -> int:
+    """For joins whose rows are few, but dear: Spark would join their partitions by size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _first_links(met: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): linked nodes among those that are the first of a key or neighbours in it."""
     some = [met.where(_lengths_fit(F.col(f"{other}.n"), F.col("n"))).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b")) for other in ("leader", "previous")]
     one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    pairs = some[0].union(some[1]).where("a <> b").distinct().join(one, "a").join(two, "b")
+    tasks = _tasks(met)
+    pairs = some[0].union(some[1]).where("a <> b").distinct().join(one, "a").repartition(tasks, "b").join(two.repartition(tasks, "b"), "b")
     a, b = F.col("line_a"), F.col("line_b")
     return pairs.where(candidates(a, b)).where(edit_similar(a, b)).select("a", "b")
 
 
-def _bridges(met: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def _bridges(met: DataFrame, texts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): linked components, of nodes that share a key."""
     large = met.where("place > 3").select("key").distinct()  # in smaller keys all have met
     crowd = met.join(large, "key", "left_semi")
@@ -157,9 +197,10 @@ def _bridges(met: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     shape = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).where("all > top.size")
     shape = shape.select("key", F.col("top.component").alias("main"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("top.size")).alias("rows"))
-    members = members.join(shape, "key").join(texts, "id")
+    sketches = nodes.select("id", F.array_compact(F.array(*[f"s{i}" for i in range(SKETCH)])).alias("sketch"))
+    members = members.join(shape, "key").join(texts, "id").join(sketches, "id")
     place = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
-    node = F.struct("id", "component", "line.n", "line.norm", "line.simhash")
+    node = F.struct("id", "component", "line.n", "line.norm", "line.pieces", "line.simhash", "sketch")
     few = members.where("component <> main").select("key", place("rows").alias("row"), "columns", "main", node.alias("node")).groupBy("key", "row").agg(F.first("columns").alias("columns"), F.first("main").alias("main"), F.collect_list("node").alias("few"))
     few = few.select("key", "row", "main", "few", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
     every = members.select("key", place("columns").alias("column"), node.alias("node")).groupBy("key", "column").agg(F.collect_list("node").alias("every"))
@@ -167,24 +208,28 @@ def _bridges(met: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     def linked(a: Column, b: Column) -> Column:
         # two of the few meet once; a node of the main component is only ever on the right
         apart = (a["component"] != b["component"]) & ((b["component"] == F.col("main")) | (a["id"] < b["id"]))
-        return apart & candidates(a, b) & edit_similar(a, b)
+        # of the keys that they share, they meet in the first
+        both = lambda shared: F.xxhash64(*[F.get(shared, i) for i in range(SHARED)]) == F.col("key")
+        return apart & candidates(a, b) & _let(F.array_intersect(a["sketch"], b["sketch"]), both) & edit_similar(a, b)
 
     found = F.flatten(F.transform("few", lambda a: F.array_distinct(F.transform(F.filter("every", lambda b: linked(a, b)), lambda b: F.struct(F.least(a["component"], b["component"]).alias("a"), F.greatest(a["component"], b["component"]).alias("b"))))))
-    return few.join(every, ["key", "column"]).select(F.explode(found).alias("pair")).select("pair.*").distinct()
+    cells = few.repartition(_tasks(met), "key", "column").join(every.repartition(_tasks(met), "key", "column"), ["key", "column"])
+    return cells.select(F.explode(found).alias("pair")).select("pair.*").distinct()
 
 
 def line_components(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component) of the nodes that are linked to another one; lines are the occurrences in docs."""
-    nodes = lines.groupBy("id").agg(F.min("n").alias("n"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)])
-    keyed = nodes.select("id", "n", F.explode(_keys()).alias("key"))
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    keyed = lines.groupBy("id").agg(F.min("n").alias("n"), *[F.min(s).alias(s) for s in sketch]).select("id", "n", F.explode(_keys()).alias("key"))
     order = Window.partitionBy("key").orderBy("n", "id")
     named = [f(F.struct("id", "n")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))]
     met = materialize(keyed.select("key", "id", "n", *named, F.row_number().over(order).alias("place")).where("previous is not null"), "line-met")
     wanted = met.select("id").union(met.where("place = 2").select("leader.id")).distinct()
     texts = _lines(wanted, lines, docs, doc_id, text)
+    nodes = lines.join(wanted, "id", "left_semi").select("id", *sketch).dropDuplicates(["id"])
     links = materialize(_first_links(met, texts), "line-links")
     labels = materialize(connected_components(links, "line-components").select(F.col("node").alias("id"), "component"), "line-labels")
-    bridges = materialize(_bridges(met, texts, labels), "line-bridges")
+    bridges = materialize(_bridges(met, texts, nodes, labels), "line-bridges")
     release(met, texts, links)
     if bridges.isEmpty():
         return labels

@@ -408,7 +408,7 @@ def test_fuzzy_lines(spark, edge):
 
 
 def comparable(c):
-    return F.struct(F.char_length(c).alias("n"), F.col(c).alias("norm"))
+    return F.struct(*linededup.comparable(F.col(c)))
 
 
 def test_edit_similarity(spark):
