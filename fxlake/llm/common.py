@@ -40,14 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
+def release(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete materialised tables whose last reader has been written, and let Spark drop the shuffle files of finished
     jobs: it does so when the driver's plans of them are collected."""
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
+    if tables and shuffles:
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fxlake.llm.common import materialize
+from fxlake.llm.common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,20 +26,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of edges(a, b); the component is its smallest node. Self-edges and nulls
-    are passed over. Alternating large-star and small-star steps, each written out, until nothing changes."""
-
-    def print_of(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    current = materialize(edges.select("a", "b").where("a <> b").distinct(), name)
-    seen = print_of(current)
-    while seen[0]:
-        current = materialize(_star(_star(current, True), False), name)
-        now = print_of(current)
-        if now == seen:
-            break
-        seen = now
-    pairs = current.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return pairs.union(pairs.select("component", "component")).distinct()
+    are passed over. Alternating large-star and small-star steps, each written out, until the edges are stars."""
+    current = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    while not _settled(current):
+        last, current = current, materialize(_star(_star(current, True), False), name)
+        release(last, shuffles=False)
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select("b", "b").distinct())

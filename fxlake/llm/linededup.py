@@ -9,7 +9,7 @@
 4. Nodes that share a key are candidates if their lengths are within a fifth of the longer, the SimHashes of their
    words are within MAX_BITS bits and no more than MAX_PIECES of their words are edited (lines of up to SHORT characters
    need only the lengths). Candidates are linked if their edit similarity, over all characters, is 0.8 or more.
-5. First round: in each key a node meets the key's smallest node and its neighbour, in the order of lengths (linear).
+5. First round: in each key a node meets the key's smallest node and its neighbour, in the order of ids (linear).
    Links make components. Second round: where a key still holds several components, the nodes outside its largest one
    meet all nodes of other components, in cells of at most BLOCK by BLOCK nodes that are compared inside arrays; only
    pairs of components that are linked leave a cell. So no candidate pair between different components is left out.
@@ -221,7 +221,7 @@ def line_components(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", t
     """(id, component) of the nodes that are linked to another one; lines are the occurrences in docs."""
     sketch = [f"s{i}" for i in range(SKETCH)]
     keyed = lines.groupBy("id").agg(F.min("n").alias("n"), *[F.min(s).alias(s) for s in sketch]).select("id", "n", F.explode(_keys()).alias("key"))
-    order = Window.partitionBy("key").orderBy("n", "id")
+    order = Window.partitionBy("key").orderBy("id")
     named = [f(F.struct("id", "n")).over(order).alias(name) for name, f in (("leader", F.first), ("previous", F.lag))]
     met = materialize(keyed.select("key", "id", "n", *named, F.row_number().over(order).alias("place")).where("previous is not null"), "line-met")
     wanted = met.select("id").union(met.where("place = 2").select("leader.id")).distinct()
