@@ -256,6 +256,32 @@ def test_edited_passages(spark):
     assert all(r["n_words"] >= 50 and r["similarity"] >= 0.8 for r in got)
 
 
+def test_short_edited_passages_are_found(spark):
+    """One word changed, inserted or deleted in passages of 50 to 60 words, wherever their similarity stays at 0.8."""
+    rng = random.Random(14)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, n = [], 0
+    while n < 240:
+        shared = text((51, 54, 57, 60)[n % 4])
+        other, at = list(shared), rng.randrange(len(shared))
+        other[at : at + (n % 3 != 1)] = ["changed"] * (n % 3 != 2)
+        one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (shared, other))
+        if len(other) >= 50 and len(one & two) >= 0.8 * len(one | two):
+            rows += [(2 * n, " ".join(text(60) + shared + text(40))), (2 * n + 1, " ".join(text(30) + other + text(70)))]
+            n += 1
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["doc_a"] // 2 == r["doc_b"] // 2 for r in got) and len({r["doc_a"] for r in got}) >= 0.9 * n
+
+
+def test_passages_of_repeated_ids(spark):
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    rows = [(1, " ".join(text(90))), (1, " ".join(text(20) + shared)), (1, " ".join(text(50) + shared)), (2, " ".join(shared + text(9))), (2, None)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in got} == {(1, 2)} and {r["start_a"] for r in got} <= {20, 50} and all(r["n_words"] == 60 for r in got)
+
+
 def test_interleaved_variants_of_a_group_meet(spark, monkeypatch):
     monkeypatch.setattr(passages, "BLOCK", 3)
     # windows of one group, of two kinds: those narrow on the left share 46 places, those narrow on the right as well,
@@ -263,7 +289,7 @@ def test_interleaved_variants_of_a_group_meet(spark, monkeypatch):
     rows = [(7, d, 100 - (5 if d % 2 else 50), 100, 100 + (50 if d % 2 else 5), 0) for d in range(12)]
     windows = spark.createDataFrame(rows, "key bigint, doc bigint, l int, c int, r int, f tinyint")
     first = passages._paired(windows.coalesce(1)).collect()
-    links = spark.createDataFrame([(r["a"], r["b"]) for r in first], "doc_a bigint, doc_b bigint")
+    links = spark.createDataFrame([(r["a"], r["b"]) for r in first], "a bigint, b bigint")
     found = passages._bridging(windows, links).collect()
     edges = spark.createDataFrame([(r["a"], r["b"]) for r in [*first, *found]], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
