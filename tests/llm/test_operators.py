@@ -282,8 +282,7 @@ def test_passages_of_repeated_ids(spark):
     assert {(r["doc_a"], r["doc_b"]) for r in got} == {(1, 2)} and {r["start_a"] for r in got} <= {20, 50} and all(r["n_words"] == 60 for r in got)
 
 
-def test_interleaved_variants_of_a_group_meet(spark, monkeypatch):
-    monkeypatch.setattr(passages, "BLOCK", 3)
+def test_interleaved_variants_of_a_group_meet(spark):
     # windows of one group, of two kinds: those narrow on the left share 46 places, those narrow on the right as well,
     # but not one of each
     rows = [(7, d, 100 - (5 if d % 2 else 50), 100, 100 + (50 if d % 2 else 5), 0) for d in range(12)]
