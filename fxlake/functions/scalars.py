@@ -99,8 +99,12 @@ def is_recommendable(product: DataFrame) -> Column:
     return reduce(Column.__and__, known, F.lit(True))
 
 
+#: A currency sign or code anywhere, or a number before a currency's name. Fixed values.
+PRICE = r"[$€£¥]|usd|eur|gbp|\d+\.?\d*\s*(dollars?|euros?|pounds?)"
+
+
 def has_price_mention(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(r"[$€£¥]|\d+(\.\d+)?\s*(usd|eur|gbp|dollars?|euros?|pounds?)")
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(PRICE)
 
 
 def category_scores(text: Column) -> Column:
@@ -115,9 +119,9 @@ def category_scores(text: Column) -> Column:
 
 
 def ltr_group_key(impression: Column, request: Column, session: Column, user: Column, t: Column) -> Column:
-    """impression > request > session > user and half hour."""
+    """impression > request > session > user (or `unknown`) and half hour."""
     tag = lambda kind, c: F.when(~blank(c), F.concat(F.lit(f"{kind}:"), c))
-    return F.coalesce(tag("impression", impression), tag("request", request), tag("session", session), F.concat(F.lit("user:"), user, F.lit(":"), F.floor(t / 1800).cast("string")))
+    return F.coalesce(tag("impression", impression), tag("request", request), tag("session", session), F.concat(F.lit("user_time:"), F.when(blank(user), "unknown").otherwise(user), F.lit(":"), F.floor(F.greatest(t, F.lit(0.0)) / 1800).cast("string")))
 
 
 def reason_text(collaborative: Column, content: Column, popularity: Column, ctr: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 POPULARITY = {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0, "favorite": 2.5, "share": 1.5}
 TRENDING = {"view": 1.0, "click": 3.0, "add_to_cart": 5.0, "purchase": 10.0, "favorite": 4.0, "share": 6.0}
-SEEDS = {"click": 1.0, "add_to_cart": 2.0, "purchase": 3.0}
+SEEDS = {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0}
 
 
 def weight(weights: dict[str, float], default: float = 0.0) -> Column:
@@ -23,12 +23,12 @@ def _normalized_topk(scores: DataFrame, k: int) -> DataFrame:
 
 
 def item_popularity(events: DataFrame, k: int = 100) -> DataFrame:
-    return _normalized_topk(events.groupBy("product_id").agg(F.sum(weight(POPULARITY)).alias("raw")), k)
+    return _normalized_topk(events.groupBy("product_id").agg(F.sum(weight(POPULARITY, 1.0)).alias("raw")), k)
 
 
 def trending_scores(events: DataFrame, now: float, hours: int = 24, decay: float = 0.95, k: int = 100) -> DataFrame:
     recent = events.where((F.col("event_time") > now - 3600 * hours) & (F.col("event_time") <= now))
-    aged = weight(TRENDING) * F.pow(F.lit(decay), (F.lit(now) - F.col("event_time")) / 3600)
+    aged = weight(TRENDING, 1.0) * F.pow(F.lit(decay), (F.lit(now) - F.col("event_time")) / 3600)
     return _normalized_topk(recent.groupBy("product_id").agg(F.sum(aged).alias("raw")), k)
 
 

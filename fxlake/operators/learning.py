@@ -86,7 +86,7 @@ def build_labels(rows: DataFrame) -> DataFrame:
     error = F.when(bought & ~clicked, "purchase_without_click").when((F.col("attributed_action") == "purchase") != bought, "action_mismatch").when(F.col("attributed_value") < 0, "negative_value")
     graded = F.when(bought, 4 + F.log1p(F.coalesce("attributed_value", F.lit(0.0)))).otherwise(relevance(F.col("attributed_action")) + 1.0)
     return rows.select(
-        "observation_id", clicked.cast("int").alias("ctr"), F.when(clicked, bought.cast("int")).alias("cvr"), bought.cast("int").alias("ctcvr"), clicked.cast("int").alias("cvr_mask"),
+        "observation_id", clicked.cast("int").alias("ctr"), bought.cast("int").alias("cvr"), bought.cast("int").alias("ctcvr"), clicked.cast("int").alias("cvr_mask"),
         (bought & F.col("attributed_value").isNotNull()).cast("int").alias("value_mask"), F.coalesce("attributed_value", F.lit(0.0)).alias("value"), F.round(graded, 6).alias("relevance"), error.alias("error"),
     )
 
@@ -130,13 +130,14 @@ def auc(scored: DataFrame) -> DataFrame:
     return sums.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 
 
-def mean_ndcg(scored: DataFrame, group: str, k: int = 10) -> DataFrame:
-    """Mean NDCG over groups of several rows with some relevance; equal scores are ordered by product."""
-    w = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    ranked = scored.select(group, "relevance", w(F.desc("score"), "product_id").alias("i"), w(F.desc("relevance"), "product_id").alias("j"))
-    gain = lambda place: F.when(F.col(place) <= k, (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col(place) + 1.0)).otherwise(0.0)
-    groups = ranked.groupBy(group).agg(F.sum(gain("i")).alias("dcg"), F.sum(gain("j")).alias("ideal"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("ideal") > 0))
-    return groups.agg(F.count("*").alias("groups"), F.round(F.avg(F.col("dcg") / F.col("ideal")), 6).alias("ndcg"))
+def mean_ndcg(scored: DataFrame, group: str) -> DataFrame:
+    """Mean NDCG over groups of several rows: linear gains over the whole group, the gains of equal scores averaged; a
+    group without any relevance has 0."""
+    discount = lambda *order: 1 / F.log2(F.row_number().over(Window.partitionBy(group).orderBy(*order)) + 1.0)
+    ranked = scored.select(group, "score", "relevance", discount(F.desc("score")).alias("d"), (F.col("relevance") * discount(F.desc("relevance"))).alias("ideal"))
+    tied = ranked.groupBy(group, "score").agg((F.sum("relevance") * F.avg("d")).alias("dcg"), F.sum("ideal").alias("ideal"), F.count("*").alias("n"))
+    groups = tied.groupBy(group).agg(F.sum("dcg").alias("dcg"), F.sum("ideal").alias("ideal"), F.sum("n").alias("n")).where("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.round(F.avg(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)), 6).alias("ndcg"))
 
 
 def ltr_pairs(rows: DataFrame, group: str, gap: float = 0.5, cap: int = 2048) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: name -> (size, slide)
 WINDOWS = {"5m": ("5 minutes", "1 minute"), "1h": ("1 hour", "5 minutes"), "24h": ("24 hours", "1 hour")}
 POSITIVE = ("click", "add_to_cart", "purchase")
+#: Actions of user sequences; the candidate model's histories (POSITIVE) leave out views.
+SEQUENCE = ("view", *POSITIVE)
 
 
 def safe_ratio(n: Column, d: Column) -> Column:
@@ -119,13 +121,13 @@ def analytics_summary(events: DataFrame, now: float, hours: int = 24) -> DataFra
 def user_sequences(events: DataFrame, most: int = 200, least: int = 2) -> DataFrame:
     """The last `most` positive events of users who have at least `least`, oldest first."""
     w = Window.partitionBy("user_id").orderBy(F.desc("event_time"), F.desc("event_id"))
-    last = events.where(F.col("action").isin(*POSITIVE)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    last = events.where(F.col("action").isin(*SEQUENCE)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     out = last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_time", "event_id", "product_id", "action"))).alias("sequence"))
     return out.where(F.size("sequence") >= least)
 
 
 def eligible_users(events: DataFrame, most: int, least: int = 2) -> DataFrame:
-    out = events.where(F.col("action").isin(*POSITIVE)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_time").alias("last_active"))
+    out = events.where(F.col("action").isin(*SEQUENCE)).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_time").alias("last_active"))
     return out.where(F.col("n") >= least).orderBy(F.desc("last_active"), "user_id").limit(most)
 
 

@@ -12,6 +12,7 @@ from fxlake.sources.model import ATTRIBUTION_HOURS, CUTOFF, LATENESS_HOURS, NOW,
 
 QUERIES, ORACLE_SQL = {}, {}
 POSITIVE = "('click', 'add_to_cart', 'purchase')"
+SEQUENCE = "('view', 'click', 'add_to_cart', 'purchase')"
 
 
 def query(name: str, sql: str | None = None):
@@ -106,7 +107,7 @@ select count(*) as total_events, count(distinct user_id) as unique_users, count(
 from interactions where event_time > {NOW} - 3600 * 240 and event_time <= {NOW}"""),
 )(lambda s, d: W.analytics_summary(interactions(s, d), NOW, 240))
 
-_LAST = f"""last as (select *, row_number() over (partition by user_id order by event_time desc, event_id desc) as rn from interactions where action in {POSITIVE})"""
+_LAST = f"""last as (select *, row_number() over (partition by user_id order by event_time desc, event_id desc) as rn from interactions where action in {SEQUENCE})"""
 query(
     "user_sequences",
     oracle("interactions", f"""{_LAST}
@@ -115,7 +116,7 @@ select user_id, count(*) as n, string_agg(product_id || ':' || action, ',' order
 
 query(
     "eligible_users",
-    oracle("interactions", f"select user_id, count(*) as n, max(event_time) as last_active from interactions where action in {POSITIVE} group by 1 having count(*) >= 2 order by last_active desc, user_id limit 50"),
+    oracle("interactions", f"select user_id, count(*) as n, max(event_time) as last_active from interactions where action in {SEQUENCE} group by 1 having count(*) >= 2 order by last_active desc, user_id limit 50"),
 )(lambda s, d: W.eligible_users(interactions(s, d), 50))
 
 query(
@@ -246,7 +247,7 @@ query("run_row_count", oracle("observations", f"{_ELIGIBLE} select count(*) as r
 
 
 def _weights(weights: dict[str, float]) -> str:
-    return "case action " + " ".join(f"when '{a}' then {w}::double" for a, w in weights.items()) + " else 0.0::double end"
+    return "case action " + " ".join(f"when '{a}' then {w}::double" for a, w in weights.items()) + " else 1.0::double end"
 
 
 _TOPK = "select product_id, round(raw / (select max(raw) from s), 6) as score from s where (select max(raw) from s) > 0 order by score desc, product_id limit {k}"
@@ -254,7 +255,7 @@ _TREND = f"s as (select product_id, sum({_weights(C.TRENDING)} * pow(0.95, ({NOW
 query("item_popularity", oracle("interactions", f"s as (select product_id, sum({_weights(C.POPULARITY)}) as raw from interactions group by 1) {_TOPK.format(k=100)}"))(lambda s, d: C.item_popularity(interactions(s, d)))
 query("trending_scores", oracle("interactions", f"{_TREND} {_TOPK.format(k=100)}"))(lambda s, d: C.trending_scores(interactions(s, d), NOW))
 
-_SWING = f"""positive as (select user_id, product_id, max((event_time, event_id)) as l from interactions where action in {POSITIVE} group by 1, 2),
+_SWING = f"""positive as (select user_id, product_id, max((event_time, event_id)) as l from interactions where action in {SEQUENCE} group by 1, 2),
 a as (select * from positive qualify row_number() over (partition by user_id order by l desc, product_id) <= 30),
 b as (select user_id, product_id from a qualify row_number() over (partition by product_id order by user_id) <= 60),
 pairs as (select x.user_id as u, y.user_id as v, count(*) as n from b x join b y using (product_id) where x.user_id < y.user_id group by 1, 2 having count(*) >= 2),
@@ -264,11 +265,11 @@ raw as (select i.product_id as item_id, j.product_id as neighbor_id, sum(1.0 / (
 top as (select * from raw qualify row_number() over (partition by item_id order by round(raw, 9) desc, neighbor_id) <= 50),
 swing as (select item_id, neighbor_id, round(raw / max(raw) over (partition by item_id), 6) as score from top)"""
 query("swing_index", oracle("interactions", f"{_SWING} select * from swing"))(lambda s, d: C.swing_index(interactions(s, d), per_user=30, users_per_item=60, k=50))
-_SEEDS = f"case action when 'click' then 1.0 when 'add_to_cart' then 2.0 when 'purchase' then 3.0 end"
+_SEEDS = "case action when 'view' then 1.0 when 'click' then 2.0 when 'add_to_cart' then 3.0 when 'purchase' then 5.0 end"
 query(
     "swing_candidates",
     oracle("interactions", f"""{_SWING},
-seen as (select user_id, product_id, max(event_time) as l, max({_SEEDS})::double as w from interactions where action in {POSITIVE} and event_time <= {NOW} group by 1, 2),
+seen as (select user_id, product_id, max(event_time) as l, max({_SEEDS})::double as w from interactions where action in {SEQUENCE} and event_time <= {NOW} group by 1, 2),
 seeds as (select * from seen qualify row_number() over (partition by user_id order by l desc, product_id) <= 20),
 scored as (select user_id, neighbor_id as product_id, round(sum(w / (1 + greatest({NOW} - l, 0) / 86400 / 30) * score), 6) as score from seeds join swing on item_id = product_id group by 1, 2),
 fresh as (select * from scored anti join seen using (user_id, product_id))

@@ -72,7 +72,7 @@ query(
 
 query(
     "build_labels",
-    oracle(_ALL, f"""{_BASE} select observation_id, attributed_click as ctr, case when attributed_click = 1 then attributed_purchase end as cvr, attributed_purchase as ctcvr, attributed_click as cvr_mask,
+    oracle(_ALL, f"""{_BASE} select observation_id, attributed_click as ctr, attributed_purchase as cvr, attributed_purchase as ctcvr, attributed_click as cvr_mask,
   case when attributed_purchase = 1 and attributed_value is not null then 1 else 0 end as value_mask, coalesce(attributed_value, 0) as value,
   round(case when attributed_purchase = 1 then 4 + ln(1 + coalesce(attributed_value, 0)) else 1.0::double + case attributed_action when 'purchase' then 3 when 'add_to_cart' then 2 when 'click' then 1 else 0 end end, 6) as relevance,
   case when attributed_purchase = 1 and attributed_click <> 1 then 'purchase_without_click' when (attributed_action = 'purchase') <> (attributed_purchase = 1) then 'action_mismatch' when attributed_value < 0 then 'negative_value' end as error
@@ -114,9 +114,11 @@ t as (select sum(label * rank) as r, sum(label)::double as p, sum(1 - label)::do
 )
 query(
     "mean_ndcg",
-    oracle(_S, f"""{_SCORED}, k as (select impression_id, relevance, row_number() over (partition by impression_id order by score desc, product_id) as i, row_number() over (partition by impression_id order by relevance desc, product_id) as j from sc),
-g as (select impression_id, sum(case when i <= 10 then (pow(2, relevance) - 1) / log2(i + 1) else 0 end) as dcg, sum(case when j <= 10 then (pow(2, relevance) - 1) / log2(j + 1) else 0 end) as ideal from k group by 1 having count(*) > 1)
-select count(*) as groups, round(avg(dcg / ideal), 6) as ndcg from g where ideal > 0"""),
+    oracle(_S, f"""{_SCORED}, k as (select impression_id, score, relevance, 1 / log2(1 + row_number() over (partition by impression_id order by score desc)) as d,
+  relevance / log2(1 + row_number() over (partition by impression_id order by relevance desc)) as ideal from sc),
+t as (select impression_id, sum(relevance) * avg(d) as dcg, sum(ideal) as ideal, count(*) as n from k group by impression_id, score),
+g as (select impression_id, sum(dcg) as dcg, sum(ideal) as ideal from t group by 1 having sum(n) > 1)
+select count(*) as groups, round(avg(case when ideal > 0 then dcg / ideal else 0 end), 6) as ndcg from g"""),
     lambda s, d: L.mean_ndcg(_scored(s, d), "impression_id"),
 )
 query(

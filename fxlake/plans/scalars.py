@@ -61,7 +61,7 @@ query(
 )
 query(
     "has_price_mention",
-    r"select doc_id, regexp_matches(lower(coalesce(text, '')), '[$€£¥]|\d+(\.\d+)?\s*(usd|eur|gbp|dollars?|euros?|pounds?)') as priced from documents",
+    r"select doc_id, regexp_matches(lower(coalesce(text, '')), '[$€£¥]|usd|eur|gbp|\d+\.?\d*\s*(dollars?|euros?|pounds?)') as priced from documents",
     lambda s, d: table(s, d, "documents").select("doc_id", S.has_price_mention(F.col("text")).alias("priced")),
 )
 _HITS = " union all ".join(f"select doc_id, '{c}' as category, " + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::int" for w in words) + " as hits from documents" for c, words in sorted(S.CATEGORY_WORDS.items()))
@@ -73,7 +73,7 @@ query(
 query(
     "commerce_score",
     f"""with hits as (select doc_id, sum(hits) as hits from ({_HITS}) group by 1)
-select doc_id, round(0.4::double * least(1.0::double, hits / 10.0::double) + case when regexp_matches(lower(coalesce(text, '')), '[$€£¥]|\\d+(\\.\\d+)?\\s*(usd|eur|gbp|dollars?|euros?|pounds?)') then 0.1::double else 0 end, 6) as commerce
+select doc_id, round(0.4::double * least(1.0::double, hits / 10.0::double) + case when regexp_matches(lower(coalesce(text, '')), '[$€£¥]|usd|eur|gbp|\\d+\\.?\\d*\\s*(dollars?|euros?|pounds?)') then 0.1::double else 0 end, 6) as commerce
 from documents join hits using (doc_id)""",
     lambda s, d: table(s, d, "documents").select(
         "doc_id",
@@ -90,7 +90,7 @@ query(
 )
 query(
     "ltr_group_key",
-    oracle("interactions", "select event_id, case when event_id::bigint % 3 = 0 then 'impression:imp' || event_id when event_id::bigint % 3 = 1 then 'session:s' || user_id else 'user:' || user_id || ':' || floor(event_time / 1800)::bigint end as k from interactions"),
+    oracle("interactions", "select event_id, case when event_id::bigint % 3 = 0 then 'impression:imp' || event_id when event_id::bigint % 3 = 1 then 'session:s' || user_id else 'user_time:' || user_id || ':' || floor(event_time / 1800)::bigint end as k from interactions"),
     lambda s, d: interactions(s, d).select("event_id", S.ltr_group_key(
         F.when(F.col("event_id").cast("long") % 3 == 0, F.concat(F.lit("imp"), "event_id")), F.lit(" "),
         F.when(F.col("event_id").cast("long") % 3 == 1, F.concat(F.lit("s"), "user_id")), F.col("user_id"), F.col("event_time")).alias("k")),

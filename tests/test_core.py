@@ -166,3 +166,33 @@ def test_streams(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
     assert values(df.select(*columns).collect()) == values(con.execute(f"select {', '.join(f'{chr(34)}{c}{chr(34)}' for c in columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall())
+
+
+def test_weights_of_actions(spark):
+    """Views count in sequences and item-to-item scores; an unknown action has weight 1 in popularity and trends."""
+    rows = [("u1", "a", "view", 1.0), ("u1", "b", "view", 2.0), ("u2", "a", "view", 3.0), ("u2", "b", "purchase", 4.0), ("u3", "c", "wave", 5.0), ("u3", "c", "wave", 6.0)]
+    events = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "event_id string, user_id string, product_id string, action string, event_time double")
+    assert {(r["item_id"], r["neighbor_id"]) for r in C.swing_index(events).collect()} == {("a", "b"), ("b", "a")}
+    assert C.SEEDS == {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0}
+    for scores in (C.item_popularity(events), C.trending_scores(events, 6.0, decay=1.0)):
+        raw = {r["product_id"]: r["score"] for r in scores.collect()}
+        assert raw["c"] / raw["a"] == 1.0 and raw["b"] > raw["a"]
+    assert {r["user_id"] for r in W.user_sequences(events).collect()} == {"u1", "u2"}
+
+
+def test_ndcg_is_linear_over_whole_groups_with_averaged_ties(spark):
+    rows = [("g", 0.9, 1.0), ("g", 0.5, 3.0), ("g", 0.5, 0.0), ("z", 0.1, 0.0), ("z", 0.2, 0.0), ("one", 0.3, 2.0)]
+    got = L.mean_ndcg(spark.createDataFrame(rows, "g string, score double, relevance double"), "g").first()
+    second, third = 1 / math.log2(3), 1 / 2
+    assert got["groups"] == 2 and got["ndcg"] == round((1 + 1.5 * (second + third)) / (3 + second) / 2, 6)
+
+
+def test_labels_prices_and_group_keys(spark):
+    rows = [("a", "view", 0, 0, None), ("b", "click", 1, 0, None)]
+    labels = L.build_labels(spark.createDataFrame(rows, "observation_id string, attributed_action string, attributed_click int, attributed_purchase int, attributed_value double"))
+    assert {r["observation_id"]: (r["cvr"], r["cvr_mask"]) for r in labels.collect()} == {"a": (0, 0), "b": (0, 1)}
+    texts = [("paid in USD", True), ("5 pounds", True), ("pounds of it", False), ("12.50", False), (None, False)]
+    assert all(r["want"] == r["got"] for r in spark.createDataFrame(texts, "t string, want boolean").select("want", S.has_price_mention(F.col("t")).alias("got")).collect())
+    none = F.lit(None).cast("string")
+    keys = spark.createDataFrame([("u1", 3700.0), (None, -5.0)], "u string, t double").select(S.ltr_group_key(none, none, none, F.col("u"), F.col("t")).alias("k"))
+    assert [r["k"] for r in keys.collect()] == ["user_time:u1:2", "user_time:unknown:0"]
