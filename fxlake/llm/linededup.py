@@ -132,23 +132,24 @@ def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column
     """1 - distance / longer length >= similarity of two structs of `comparable`.
 
     Edit distance is dear, so what bounds it is tried first: what lies between the common start and the common end,
-    then the distance in pieces, each of which is worth PIECE characters at most. It says no beyond MAX_PIECES. The
-    distance in characters is that of the parts between the common ends.
+    then the distance in pieces, each of which is worth PIECE characters at most. The distance in characters is that of
+    the parts between the common ends.
     """
     longer, shorter = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
     most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
     between = lambda side, ends: F.substring(side["norm"], ends["p"] + 1, side["n"] - ends["p"] - ends["s"])
     exact = lambda ends: F.call_function("levenshtein", between(a, ends), between(b, ends), most) >= 0  # noqa: E731  -1 beyond `most`
-    pieces = F.call_function("levenshtein", a["pieces"], b["pieces"], F.floor(F.greatest(F.char_length(a["pieces"]), F.char_length(b["pieces"])) * MAX_PIECES).cast("int"))
     # one piece more, for two unlike pieces with one hash
-    dear = lambda ends: F.when(longer <= SHORT, exact(ends)).otherwise(_let(pieces, lambda d: F.when(d < 0, F.lit(False)).otherwise(((d + 1) * PIECE <= most) | exact(ends))))
-    within = _let(_common_ends(a["norm"], b["norm"], shorter), lambda ends: (longer - ends["p"] - ends["s"] <= most) | dear(ends))
+    few = F.floor(most / PIECE).cast("int") - 1
+    pieces = F.when((longer > SHORT) & (few >= 0), F.call_function("levenshtein", a["pieces"], b["pieces"], few) >= 0).otherwise(F.lit(False))
+    within = _let(_common_ends(a["norm"], b["norm"], shorter), lambda ends: (longer - ends["p"] - ends["s"] <= most) | pieces | exact(ends))
     return F.when((shorter < longer * similarity - 1e-9) | (shorter < 1), F.lit(False)).otherwise(within)
 
 
 def candidates(a: Column, b: Column) -> Column:
-    """Whether two nodes that share a key, structs with n and simhash, may be similar."""
-    near = F.bit_count(a["simhash"].bitwiseXOR(b["simhash"])) <= MAX_BITS
+    """Whether two nodes that share a key, structs of `comparable` and simhash, may be similar."""
+    most = F.floor(F.greatest(F.char_length(a["pieces"]), F.char_length(b["pieces"])) * MAX_PIECES).cast("int")
+    near = (F.bit_count(a["simhash"].bitwiseXOR(b["simhash"])) <= MAX_BITS) & (F.call_function("levenshtein", a["pieces"], b["pieces"], most) >= 0)
     return _lengths_fit(a["n"], b["n"]) & ((F.greatest(a["n"], b["n"]) <= SHORT) | near)
 
 
