@@ -44,9 +44,6 @@ BROADCAST_IDS = 1_000_000
 #: Bytes of a shingle hash that full sets keep: two sets of a thousand shingles differ by chance equality with a
 #: chance below 1e-8.
 SET_BYTES = 6
-#: Bytes of a shingle hash in the second round's comparison, which the full sets confirm; links of one member with
-#: one component that are passed on for that.
-SHORT_BYTES, EACH = 4, 3
 
 SIGNED = "n_shingles bigint, set_hash binary, sketch binary, bands array<bigint>"
 _memo = WordHashes()
@@ -205,13 +202,12 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 
 def _second_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a bucket, pass the Bayesian test and agree on short sets.
+    """Links between different components that share a bucket: pairs that pass the Bayesian test and agree on full sets.
 
     members(key, rep) of buckets with several members; labels(rep, component). Each bucket's members outside its
     largest component are the `few`; cells of (block of few, block of all) go to tasks, at most 2 x BLOCK rows each.
-    A pair is looked at in the first bucket that it shares. Rows bring their sets at SHORT_BYTES a shingle, which can
-    only make a pair look more alike, so what fails there is no link. Of the pairs of one of the few and one
-    component, the first EACH that pass leave the task: they connect the same two components.
+    A pair is looked at in the first bucket that it shares. Rows bring their full sets, so what passes is a link; of
+    the links of one of the few with one component one leaves the task, as all of them connect the same two.
     """
     least, percent = least_matches(threshold), round(threshold * 100)
     labelled = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -225,7 +221,7 @@ def _second_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, labels:
     )
     cells = materialize(labelled.join(shape, "key"), "cells")
     wanted = materialize(reps.select("rep", "set_hash").join(cells.select("rep").distinct(), "rep", "left_semi"), "wanted")
-    cells = cells.join(reps.select("rep", "sketch", "bands"), "rep").join(_full_sets(docs, wanted, SHORT_BYTES), "rep")
+    cells = cells.join(reps.select("rep", "sketch", "bands"), "rep").join(_full_sets(docs, wanted, SET_BYTES), "rep")
     place = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
     every = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("columns").alias("column"), F.lit(False).alias("few"))
     few = cells.where("component <> main").select("*", place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("few"))
@@ -252,7 +248,7 @@ def _second_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, labels:
         key, is_few = pdf["key"].iloc[0], pdf["few"].to_numpy()
         reps, groups, sketches = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), _sketches(pdf["sketch"])
         bands, sets = np.stack(pdf["bands"].to_numpy()), pdf["shingles"].to_numpy()
-        sizes = np.array([len(x) // SHORT_BYTES for x in sets])
+        sizes = np.array([len(x) // SET_BYTES for x in sets])
         band = int((bands[0] == key).argmax())
         one, two = np.flatnonzero(is_few), np.flatnonzero(~is_few)
         out = set()
@@ -265,12 +261,12 @@ def _second_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, labels:
                 part = slice(k * BATCH, (k + 1) * BATCH)
                 matches += (sketches[alive, part] == sketches[i, part]).sum(1)
                 alive, matches = alive[matches >= need], matches[matches >= need]
-            mine, done = _read_set(sets[i], SHORT_BYTES), {}
+            mine, done = _read_set(sets[i], SET_BYTES), set()
             for j in alive[np.argsort(-matches, kind="stable")]:
-                if done.get(groups[j], 0) < EACH:
-                    common = _common(mine, _read_set(sets[j], SHORT_BYTES))
+                if groups[j] not in done:
+                    common = _common(mine, _read_set(sets[j], SET_BYTES))
                     if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                        done[groups[j]] = done.get(groups[j], 0) + 1
+                        done.add(groups[j])
                         out.add((min(reps[i], reps[j]), max(reps[i], reps[j])))
         return pd.DataFrame(sorted(out), columns=["a", "b"])
 
@@ -295,9 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = materialize(_verify(_bayes(pairs.join(left, "a").join(right, "b"), threshold), docs, reps, threshold), "links")
     first = connected_components(links)
     members = walked.select("key", F.col("a").alias("rep")).union(walked.select("key", F.col("b").alias("rep"))).distinct()
-    open_pairs = materialize(_second_pairs(members, docs, reps, first.select(F.col("node").alias("rep"), "component"), threshold), "open")
-    open_pairs = open_pairs.join(pairs, ["a", "b"], "left_anti")  # what failed once fails again
-    bridges = materialize(_verify(open_pairs, docs, reps, threshold), "bridges")
+    bridges = materialize(_second_pairs(members, docs, reps, first.select(F.col("node").alias("rep"), "component"), threshold), "bridges")
     whole = connected_components(links.union(bridges)).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     ids = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left").join(whole, "rep", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
