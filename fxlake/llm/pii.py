@@ -81,8 +81,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _CANDIDATES = (
     ("phone", re.compile(r"(?<![\w.+(-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-]|\.[0-9])|(?<![\w.+-])1?[0-9]{10}(?![\w-]|\.[0-9])")),
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63})+", re.I)),
-    ("secret", re.compile(r"(?<=[=:\"' ])[A-Za-z0-9_/+-]{16,128}(?![\w/+-])")),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++)+|@[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++)+)", re.I)),
+    ("secret", re.compile(r"(?<=[=:\"' ])[A-Za-z0-9_/+-]{16,}+(?![\w/+-])")),
 )
 #: Gazetteers: words before a span that speak for a kind.
 _WORDS = {
@@ -90,6 +90,7 @@ _WORDS = {
     "email": frozenset("mail email e-mail contact write reach address".split()),
     "secret": frozenset("password passwd token secret key apikey api_key access_key pwd auth bearer".split()),
 }
+_AT = re.compile(r"[(\[]at[)\]]|@", re.I)
 _BEFORE = re.compile(r"[\w-]+")
 LABELERS = ("form", "gazetteer", "assigned", "alone", "variety")
 YES, NO, NONE = 1, -1, 0
@@ -113,13 +114,21 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
     return form, gazetteer, assigned, alone, variety
 
 
+def features(span: str, before: str, after: str) -> tuple[int, ...]:
+    """What the span classifier sees beside the votes: a step of the length, character classes, the neighbours' classes."""
+    sort = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+    has = lambda test: int(any(map(test, span)))
+    length = sum(len(span) >= n for n in (12, 16, 24, 40, 80))
+    return length, has(str.islower), has(str.isupper), has(str.isdigit), sort(before[-1:]), sort(after[:1])
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple]:
-    """(start, end, kind, *votes) of candidates that overlap neither a base span nor an earlier candidate."""
-    if not any("0" <= c <= "9" for c in text) and "at" not in text:
+    """(start, end, kind, *votes, *features) of candidates that overlap neither a base span nor an earlier candidate."""
+    if not any("0" <= c <= "9" for c in text) and not _AT.search(text):
         return []
     taken, out = [(s, e) for s, e, _ in base], []
     for kind, pattern in _CANDIDATES:
-        if kind == "email" and "(at)" not in (low := text.lower()) and "[at]" not in low:
+        if kind == "email" and not _AT.search(text):
             continue
         for m in pattern.finditer(text):
             start, end = m.span()
@@ -128,7 +137,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple]:
             if any(s < end and start < e for s, e in taken):
                 continue
             taken.append((start, end))
-            out.append((start, end, kind, *votes(kind, m[0], text[max(0, start - 40) : start], text[end : end + 2])))
+            out.append((start, end, kind, *votes(kind, m[0], (before := text[max(0, start - 40) : start]), (after := text[end : end + 2])), *features(m[0], before, after)))
     return out
 
 
@@ -137,7 +146,7 @@ FOUND = f"base array<{SPAN}>, candidates array<struct<start:int,end:int,kind:str
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `base` spans and voted `candidates` of the whole text. Other columns stay."""
+    """Add `base` spans and voted `candidates` of the whole text. Other columns stay; columns of these names are replaced."""
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf(FOUND)
@@ -153,7 +162,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
                 ))
             yield pd.DataFrame(rows, columns=["base", "candidates"])
 
-    return df.withColumn("__found", found(text_or_empty(text))).select(*df.columns, "__found.*")
+    return df.withColumn("__found", found(text_or_empty(text))).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("base", "candidates")], "__found.*")
 
 
 # ---------------------------------------------------------------- reliabilities and the span classifier
@@ -161,7 +170,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """accept: (kind, votes) that become spans; reliability: P(vote is right) of each labeler by kind."""
+    """accept: (kind, votes and features) that become spans; reliability: P(vote is right) of each labeler by kind."""
 
     accept: frozenset[tuple[str, str]]
     reliability: dict[str, tuple[float, ...]]
@@ -182,9 +191,10 @@ def expectation_maximisation(table: np.ndarray, counts: np.ndarray, rounds: int
     return posterior, accuracy
 
 
-def _classifier(table: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-    """Logistic regression on one-hot votes, each pattern weighted by its count and its posterior either way."""
-    x = np.c_[np.ones(len(table)), table == YES, table == NO].astype(float)
+def _classifier(table: np.ndarray, seen: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Logistic regression on one-hot votes and features, each pattern weighted by its count and its posterior either way."""
+    one_hot = [seen[:, [j]] == np.unique(seen[:, j]) for j in range(seen.shape[1])]
+    x = np.hstack([np.ones((len(table), 1)), table == YES, table == NO, *one_hot]).astype(float)
     w, weight = np.zeros(x.shape[1]), counts / counts.sum() * min(counts.sum(), 1e4)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -193,15 +203,18 @@ def _classifier(table: np.ndarray, counts: np.ndarray, posterior: np.ndarray) ->
 
 
 def fit(found: DataFrame) -> SpanModel:
-    """Learn from the counts of all candidates by kind and votes: at most 3 kinds x 3^5 rows come to the driver."""
+    """Learn from the counts of all candidates by kind, votes and features: at most 3 kinds x 3^5 votes x 768 features
+    come to the driver (votes follow from the form, so there are some hundreds). Reliabilities come from the votes
+    alone; the classifier then learns their posterior from votes and features."""
     rows = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().collect()
     accept, reliability = set(), {}
     for kind in sorted({r["kind"] for r in rows}):
         own = sorted((r["votes"], r["count"]) for r in rows if r["kind"] == kind)
         table, counts = np.array([[int(v) for v in x.split(",")] for x, _ in own]), np.array([n for _, n in own], float)
+        table, seen = table[:, : len(LABELERS)], table[:, len(LABELERS) :]
         posterior, accuracy = expectation_maximisation(table, counts)
         reliability[kind] = tuple(accuracy.tolist())
-        accept |= {(kind, x) for (x, _), p in zip(own, _classifier(table, counts, posterior), strict=True) if p >= 0.5}
+        accept |= {(kind, x) for (x, _), p in zip(own, _classifier(table, seen, counts, posterior), strict=True) if p >= 0.5}
     return SpanModel(frozenset(accept), reliability)
 
 
@@ -229,4 +242,4 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = materialize(find(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii")
     out = with_added(found, fit(found))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
