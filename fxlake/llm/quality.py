@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,17 +118,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[np.n
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, limit_bytes: int, text: str) -> list[tuple[int, str]]:
-    """(quality, text) of at most `rows` labelled rows, those of the smallest hashes of doc_id. Ids are chosen
-    before any text is read, so no task sends more texts than are kept."""
+    """(quality, text) of at most `rows` labelled rows, those of the smallest hashes of doc_id, and of these the first
+    whose texts fit into `limit_bytes`. Ids and sizes are chosen before a text leaves its task; of the texts of a
+    repeated id the shortest counts."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    out, total = [], 0
-    for row in sorted(found, key=lambda r: (r.doc_id, r.text)):
-        total += len(row.text)
-        if total > limit_bytes:
-            break
-        out.append((row.quality, row.text))
-    return out
+    texts = docs.select("doc_id", text_or_empty(text).alias("text"))
+    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))).alias("t"))
+    running = F.sum("t.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` rows at most
+    fitting = sized.withColumn("total", running).where(F.col("total") <= limit_bytes).select("doc_id", "quality", F.col("t.hash").alias("hash"))
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "hash"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    return [(row.quality, row.text) for row in sorted(found.collect(), key=lambda r: r.doc_id)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
