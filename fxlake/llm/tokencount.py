@@ -8,12 +8,15 @@ are added up: so boundaries are stitched across any number of blocks. The prefix
 CHUNK blocks, then chunks), so that no task holds a whole file's blocks.
 
 A file that doesn't end with a separator has a last, open document (`closed` is false) if ids are left. Empty
-files and blocks have no document. Blocks with the same file and number must not repeat.
+files and blocks have no document, null and empty texts become documents of 0 tokens, and rows that repeat are
+documents of their own. Blocks with the same file and number must not repeat.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -23,16 +26,37 @@ from pyspark.sql import functions as F
 from fxlake.llm import bpe
 from fxlake.llm.common import bounded_batches, materialize, read_table
 
-BLOCK_IDS, CHUNK = 65_536, 1024
+BLOCK_IDS, CHUNK, RUN = 65_536, 1024, 64
 
 
 def read_token_file(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, ids) of flat files of little-endian unsigned 32-bit ids, in partitions by Spark's reader of fixed-length records.
+    """(file, block, ids) of the flat files of little-endian unsigned 32-bit ids under path: a file, folder or glob.
 
-    Files must be whole blocks long: pad the last block with end-of-document ids, which close empty documents.
+    Each file numbers its blocks, and so its documents, from 0; it may have any length in whole ids (anything else is
+    an error). Spark lists the files, and runs of RUN blocks are dealt over the tasks, which read one block at a time
+    at its place: so a file of any size is read by many tasks, and a lost task reads its own runs again. Tasks open
+    files by pyarrow, which knows local, HDFS, S3 and GCS addresses.
     """
-    rows = spark.sparkContext.binaryRecords(path, 4 * block_ids).zipWithIndex().map(lambda x: (path, x[1], bytearray(x[0])))
-    return spark.createDataFrame(rows, "file string, block bigint, ids binary")
+    bounded_batches(spark)
+    size = 4 * block_ids
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    last = F.floor((F.col("length") - 1) / size).cast("bigint")
+    runs = listed.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(RUN).cast("bigint"))).alias("first"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for file, length, first in zip(pdf["path"], pdf["length"], pdf["first"], strict=True):
+                if length % 4:
+                    raise ValueError(f"{file} has {length} bytes, which are no whole ids")
+                system, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", file), safe=":/@"))
+                with system.open_input_file(name) as data:
+                    for block in range(first, min(first + RUN, -(-length // size))):
+                        yield pd.DataFrame([(file, block, data.read_at(min(size, length - block * size), block * size))], columns=["file", "block", "ids"])
+
+    return runs.repartition(tasks, "path", "first").mapInPandas(read, "file string, block bigint, ids binary")
 
 
 def pack(df: DataFrame, end_id: int, ids: str = "token_ids", block_ids: int = BLOCK_IDS) -> DataFrame:

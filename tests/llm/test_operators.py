@@ -67,6 +67,31 @@ def test_token_counts(spark):
     assert [(r["n_tokens"], r["closed"]) for r in got] == [(1, True), (2, False)]
 
 
+def test_flat_token_files(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for n, name in ((0, "empty"), (1, "a"), (12, "b"), (5003, "c d")):
+        (tmp_path / f"{name}.bin").write_bytes(rng.choice([1, 2, 99], n).astype("<u4").tobytes())
+    for size in (3, 4, 1000):
+        counted = tokencount.count_tokens(tokencount.scan(tokencount.read_token_file(spark, str(tmp_path), size), 99)).collect()
+        for path in tmp_path.iterdir():
+            ids = np.fromfile(path, "<u4").tolist()
+            plain = [len(part.split()) for part in " ".join("|" if i == 99 else "x" for i in ids).split("|")]
+            plain = plain if plain[-1] else plain[:-1]
+            own = {r["document"]: r["n_tokens"] for r in counted if r["file"].endswith(f"/{path.name}")}
+            assert own == dict(enumerate(plain))
+    (tmp_path / "odd.bin").write_bytes(b"123456")
+    with pytest.raises(Exception, match="no whole ids"):
+        tokencount.read_token_file(spark, f"{tmp_path}/odd.bin").collect()
+
+
+def test_sample_is_bounded_before_texts_are_collected(spark):
+    docs = spark.createDataFrame([(i, "é" * 50) for i in range(20)] + [(0, "longer " * 50), (0, "é" * 50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    assert len(quality._sample(docs, labels, 100, 1 << 20, "text")) == 20
+    assert [t for _, t in quality._sample(docs, labels, 100, 350, "text")] == ["é" * 50] * 3  # bytes, not characters
+    assert len(quality._sample(docs, labels, 7, 1 << 20, "text")) == 7
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -201,6 +226,10 @@ def test_pii(spark, docs, edge):
     more = spark.createDataFrame([(i, f"some words here password=ab{i}cdef12{i % 9}3456789 and more") for i in range(40)], "doc_id bigint, text string")
     found = pii.find(more)
     assert all("secret" in [s["kind"] for s in r["spans"]] for r in pii.with_added(found, pii.fit(found)).collect())
+    clash = docs.selectExpr("doc_id", "text", "1 as base", "2 as candidates", "3 as `odd.name`")
+    assert pii.find(clash).columns == ["doc_id", "text", "odd.name", "base", "candidates"]
+    long = {"secret": "token=" + "aB3" * 200, "email": "x" * 100 + "@example dot com"}
+    assert all(any(c[2] == kind and c[1] == len(text) for c in pii.candidates(text, [])) for kind, text in long.items())
     found = pii.find(edge)
     assert pii.with_added(found, pii.fit(found.where("false"))).count() == len(EDGE)
 
@@ -327,6 +356,17 @@ def test_every_alignment_is_checked(spark):
     assert set(out) == {1, 2} and all(r["n_changed"] == 0 and r["n_slots"] == 2 for r in out.values())
 
 
+def test_share_of_windows_and_repeated_documents(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id bigint, text string")  # two windows
+    half, whole = "alpha beta gamma delta epsilon other", "so alpha beta gamma delta epsilon zeta it is"
+    rows = [(1, half), (2, whole), (2, whole), (3, half), (3, whole)]
+    out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    assert sorted((r["doc_id"], r["n_matched"], r["n_slots"]) for r in out) == [(2, 2, 0), (3, 2, 0)]
+    numbers = spark.createDataFrame([(1, "Take 4 apples and 5 pears from the old basket today")], "item_id bigint, text string")
+    twice = spark.createDataFrame([(1, "Take 6 apples and 7 pears from the old basket today")] * 2, "doc_id bigint, text string")
+    assert [(r["n_slots"], r["n_changed"]) for r in decontaminate.leaks(twice, numbers).collect()] == [(2, 2)]
+
+
 # ---------------------------------------------------------------- 8
 
 
