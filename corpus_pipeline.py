@@ -27,9 +27,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group at a similarity of 0.8 (op8_minhash asks for 0.85)."""
+    """One document, that of the smallest id, of each group at a similarity of 0.8 (op8_minhash asks for 0.85). Of rows
+    that repeat an id and a text one stays; rows that repeat an id with other texts stay or go together. Rows without
+    an id stay."""
     groups = minhash.near_duplicates(docs, threshold=0.8).where("not kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
