@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Context keys that are kept, keyword lists of categories, and price marks.
 CONTEXT_KEYS = ("product_category", "session_length", "device", "platform", "page", "position", "referrer", "price", "value", "content_id", "experiment")
@@ -143,3 +146,24 @@ def run_cutoff(ts: Column, hour: int = 2) -> Column:
 def score_snapshot(scores: Column, item: Column, names: tuple[str, ...]) -> Column:
     """Nested scores (JSON) win over the item's own (JSON)."""
     return F.struct(*[F.coalesce(F.get_json_object(scores, f"$.{n}"), F.get_json_object(item, f"$.{n}")).try_cast("double").alias(n) for n in names])
+
+
+def feature_snapshot(item: Column) -> Column:
+    """Price, category, brand and candidate source of an item (JSON): its snapshot's own, else the item's."""
+    own, top = (lambda n: F.get_json_object(item, f"$.feature_snapshot.{n}")), (lambda n: F.get_json_object(item, f"$.{n}"))
+    source = F.coalesce(own("candidate_source"), top("source"), top("candidate_source"))
+    return F.struct(*[F.coalesce(own(n), top(n)).alias(n) for n in ("price", "category", "brand")], source.alias("candidate_source"))
+
+
+def training_as_of(*values: Column) -> Column:
+    """Seconds of the first value that reads as a number (timestamps as seconds since the epoch), else 0.
+
+    The callers give as_of_ts, event_time, occurred_at and timestamp, in this order.
+    """
+    return F.coalesce(*[c.try_cast("double") for c in values], F.lit(0.0))
+
+
+@F.pandas_udf(StringType())
+def normalize_text(texts: pd.Series) -> pd.Series:
+    """NFKC, case folded, runs of white space as one space. Null is the empty text. Spark has neither NFKC nor folding."""
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").casefold().split()))

@@ -226,11 +226,11 @@ r as (select count(*) as run, max(day) as last from i group by island) select co
 ORACLE_SQL["shadow_gate"] = ORACLE_SQL["shadow_gate"].replace("from interactions group by 1)", "from interactions where event_ts::date <= date '2024-01-29' group by 1)")
 query(
     "weighted_text_consensus",
-    """with t as (select source || ':' || lang as group_id, lower(trim(left(text, 40))) as norm, left(text, 40) as raw, coalesce(quality, 0) + 0.5::double as confidence, doc_id as seen from documents left join labels using (doc_id)),
+    """with t as (select source || ':' || lang as group_id, lower(trim(text)) as norm, text as raw, coalesce(quality, 0) + 0.5::double as confidence, doc_id as seen from documents left join labels using (doc_id)),
 b as (select group_id, norm, round(sum(confidence), 6) as weight, arg_max(raw, (confidence, raw)) as raw, min(seen) as first_seen, max(seen) as last_seen from t group by 1, 2)
 select * from b qualify row_number() over (partition by group_id order by weight desc, norm desc) = 1""",
     lambda s, d: L.weighted_text_consensus(table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select(
-        F.concat("source", F.lit(":"), "lang").alias("group_id"), F.lower(F.trim(F.substring("text", 1, 40))).alias("norm"), F.substring("text", 1, 40).alias("raw"), (F.coalesce("quality", F.lit(0)) + 0.5).alias("confidence"), F.col("doc_id").alias("seen"))),
+        F.concat("source", F.lit(":"), "lang").alias("group_id"), F.lower(F.trim("text")).alias("norm"), F.col("text").alias("raw"), (F.coalesce("quality", F.lit(0)) + 0.5).alias("confidence"), F.col("doc_id").alias("seen"))),
 )
 query(
     "coverage_metrics",

@@ -11,6 +11,7 @@ from fxlake.functions import scalars as S
 from fxlake.operators import candidates as C
 from fxlake.operators import learning as L
 from fxlake.operators import pit as P
+from fxlake.operators import training as M
 from fxlake.operators import windows as W
 from fxlake.streaming import features as T
 
@@ -196,3 +197,43 @@ def test_labels_prices_and_group_keys(spark):
     none = F.lit(None).cast("string")
     keys = spark.createDataFrame([("u1", 3700.0), (None, -5.0)], "u string, t double").select(S.ltr_group_key(none, none, none, F.col("u"), F.col("t")).alias("k"))
     assert [r["k"] for r in keys.collect()] == ["user_time:u1:2", "user_time:unknown:0"]
+
+
+def test_read_recommendations(spark):
+    raw = [
+        '{"user_id":"u1","impression_id":"top","metadata":{"impression_id":"i1","context":{"session_id":"s"},"displayed_items":[{"product_id":"p1","position":"3","price":5,"feature_snapshot":{"price":7},"source":"swing"},"text",7,null,{"position":1}]}}',
+        '{"impression_id":"i2","metadata":{"user_id":"u2"},"displayed_items":[{"product_id":"p2","score":1}]}',
+        '{"user_id":"u3","impression_id":"i3","displayed_items":[]}', '{"user_id":"u4","displayed_items":[{"product_id":"p"}]}', "no json", None,
+    ]
+    impressions, items = M.read_recommendations(spark.createDataFrame([(r,) for r in raw], "raw string"))
+    assert sorted((r["impression_id"], r["user_id"], r["session_id"], r["n_items"]) for r in impressions.collect()) == [("i1", "u1", "s", 1), ("i2", "u2", None, 1)]
+    one, two = sorted(items.collect(), key=lambda r: r["impression_id"])
+    assert (one["position"], one["source"], one["feature_snapshot"]["price"], one["feature_snapshot"]["candidate_source"]) == (3, "swing", "7", "swing")
+    assert (two["position"], two["source"]) == (0, None)
+
+
+def test_feature_vector(spark):
+    row = spark.createDataFrame([("o", 90000.0, 500, 0.2, 3600.0, 150.0)], "observation_id string, as_of double, total_interactions long, click_through_rate double, last_active double, price double")
+    v = M.assemble_features(row).first()["features"]
+    expected = [0.5, 0, 0, 0.2, 0, 0, 1, 1, 0, 1, math.log1p(150), 0.6, math.log(2), 1, 0, 0, 1]
+    assert len(v) == 28 and v[:17] == pytest.approx(expected, abs=1e-6) and v[18:24] == pytest.approx([1 / 24, 4 / 6, 0, 0.05, 0, 0], abs=1e-6) and v[24:] == [0, 0, 0, 0]
+    with pytest.raises(Exception, match="not finite"):
+        M.assemble_features(row.withColumn("price", F.lit(float("nan")))).collect()
+
+
+def test_bundle_hash_and_choice_of_rows(spark):
+    rows = spark.createDataFrame([(1, None), (1, "s"), (1, "t")], "n int, seq string")
+    hashes = [r["h"] for r in rows.select(M.bundle_hash({"n": F.col("n")}, {}, F.col("seq")).alias("h")).collect()]
+    assert len(set(hashes)) == 3 and hashes[0] == rows.select(M.bundle_hash({"n": F.col("n")}, {}).alias("h")).first()["h"]
+    given = spark.createDataFrame([(True,), (False,)], "has_sequence boolean")
+    choose = lambda *a: M.choose_training_rows(*a)[1]
+    assert choose(given, rows, rows, 2, 0.5) == "point_in_time" and choose(given, rows, rows, 2, 0.6) == "low_sequence_coverage"
+    assert choose(given, rows, rows, 3, 0.5) == "too_few_point_in_time_rows"
+    assert choose(None, given, rows, 2, 0.5) == "slates" and choose(None, given, rows, 3, 0.5) == "events" and choose(None, given, rows, 4, 0.5) == "too_few_rows"
+
+
+def test_text_and_times(spark):
+    texts = spark.createDataFrame([("\uff21\ufb01  Stra\u00dfe\u00a0x\n",), (None,), ("",)], "t string")
+    assert [r[0] for r in texts.select(S.normalize_text(F.col("t"))).collect()] == ["afi strasse x", "", ""]
+    one = spark.range(1).select(S.training_as_of(F.lit("x"), F.lit(None).cast("double"), F.lit("7.5"), F.lit(9)).alias("a"), S.training_as_of(F.lit("x")).alias("b")).first()
+    assert (one["a"], one["b"]) == (7.5, 0.0)
