@@ -126,7 +126,9 @@ def serving_pools(products: DataFrame, trending: DataFrame, now: float, top: int
     fresh = F.greatest(F.lit(0.0), 1 - (F.lit(now) - F.col("created_at")) / 86400 / 90)
     raw = F.coalesce("score", F.lit(0.0)) + 0.6 * F.col("rating") / 5 + 0.2 * F.log1p("num_reviews") / 5 + 0.2 * fresh
     scored = products.where("in_stock").join(trending, "product_id", "left").select("product_id", "category", F.round(raw, 6).alias("raw"))
-    pools = scored.select("product_id", "raw", F.explode(F.array(F.lit("global"), F.concat(F.lit("category:"), "category"))).alias("pool"))
-    best = Window.partitionBy("pool").orderBy(F.desc("raw"), "product_id")
-    kept = pools.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.when(F.col("pool") == "global", top).otherwise(per_category))
-    return kept.select("pool", "product_id", "rank", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("pool")), 6).alias("score"))
+    order = F.desc("raw"), "product_id"
+    whole = scored.orderBy(*order).limit(top).select(F.lit("global").alias("pool"), "product_id", "raw")
+    whole = whole.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))  # `top` rows
+    each = scored.where("category is not null").select(F.concat(F.lit("category:"), "category").alias("pool"), "product_id", "raw")
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order))).where(F.col("rank") <= per_category)
+    return whole.unionByName(each).select("pool", "product_id", "rank", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("pool")), 6).alias("score"))

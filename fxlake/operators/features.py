@@ -14,14 +14,18 @@ from fxlake.operators.windows import POSITIVE
 ACTION_SCALE = {"click": 1.0, "add_to_cart": 1.25, "purchase": 1.75}
 
 
-def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, name: str, parts: int = 256) -> DataFrame:
     """(key, name): numbers from 1 in the order of keys. Ranges of keys are numbered apart and then moved by the sizes of
-    the ranges before, so that no task sorts all keys."""
-    parts = df.select(key).distinct().withColumn("__p", F.substring(F.col(key).cast("string"), 1, 3))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a prefix
+    the ranges before, so that no task sorts all keys. The ranges' bounds are the `parts` keys of the smallest hashes, so
+    they are the same whenever a lost task runs again, and spread as the keys do, also where keys share a prefix."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    bounds = keys.orderBy(F.xxhash64(key), key).limit(parts).agg(F.sort_array(F.collect_list(key)).alias("__bounds"))
+    placed = keys.crossJoin(F.broadcast(bounds))  # one row of at most `parts` keys
+    placed = placed.select(key, F.size(F.filter("__bounds", lambda x: x <= F.col(key))).alias("__p"))
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
+    starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a range
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(key))
-    return parts.withColumn("i", inside).join(starts, "__p").select(key, (F.col("start") + F.col("i")).alias(name))
+    return placed.withColumn("i", inside).join(F.broadcast(starts), "__p").select(key, (F.col("start") + F.col("i")).alias(name))
 
 
 def next_item_samples(sequences: DataFrame, ids: DataFrame, most: int = 20) -> DataFrame:
@@ -70,18 +74,25 @@ def history_embeddings(rows: DataFrame, events: DataFrame, embeddings: DataFrame
     """Per row and positive action: count, coverage and dot product with the candidate of the scaled mean of the last n
     earlier products' unit vectors. Earlier means strictly before the row's time."""
     e = events.where(F.col("action").isin(*POSITIVE)).select("user_id", "action", "event_time", "event_id", F.col("product_id").alias("past"))
-    near = rows.select("row_id", "user_id", "as_of").join(e, "user_id").where(F.col("event_time") < F.col("as_of"))
-    w = Window.partitionBy("row_id", "action").orderBy(F.desc("event_time"), F.desc("event_id"))
-    last = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    own = Window.partitionBy("user_id", "action").orderBy("event_time", "event_id")
+    e = e.withColumn("i", F.row_number().over(own) - 1)
+    each = rows.select("row_id", "user_id", "as_of", F.explode(F.array(*map(F.lit, POSITIVE))).alias("action"))
+    # the number of events before a row, by one ordered pass over both; at equal times rows come first
+    none = F.lit(None).cast(rows.schema["row_id"].dataType)
+    both = each.select("user_id", "action", F.col("as_of").alias("t"), "row_id", F.lit(0).alias("event")).unionByName(e.select("user_id", "action", F.col("event_time").alias("t"), none.alias("row_id"), F.lit(1).alias("event")))
+    before = F.sum("event").over(Window.partitionBy("user_id", "action").orderBy("t", "event").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = both.withColumn("c", before).where("event = 0 and c > 0").select("row_id", "user_id", "action", "c")
+    # the last n of them lie in one or two blocks of n events
+    block = lambda i: F.floor(i / n)
+    blocks = counted.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("c") - n, F.lit(0))), block(F.col("c") - 1))))
+    last = blocks.join(e.select("user_id", "action", "i", "past", block(F.col("i")).alias("block")), ["user_id", "action", "block"]).where((F.col("i") < F.col("c")) & (F.col("i") >= F.col("c") - n))
     unit = embeddings.select(F.col("product_id").alias("past"), l2_normalize(F.col("vector")).alias("v"))
-    known = last.join(unit, "past", "left")
-    counts = known.groupBy("row_id", "action").agg(F.count("*").alias("n"), F.count("v").alias("with_vector"))
-    places = known.where("v is not null").select("row_id", "action", F.posexplode("v").alias("i", "x")).groupBy("row_id", "action", "i").agg(F.avg("x").alias("x"))
-    means = places.groupBy("row_id", "action").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     candidate = rows.select("row_id", F.col("product_id").alias("past")).join(unit, "past", "left").select("row_id", F.col("v").alias("c"))
+    known = last.select("row_id", "action", "past").join(unit, "past", "left").join(candidate, "row_id", "left")
+    # the dot product with the mean is the mean of the dot products
+    out = known.groupBy("row_id", "action").agg(F.count("*").alias("n"), F.count("v").alias("with_vector"), F.avg(dot(F.col("v"), F.col("c"))).alias("m"))
     scale = reduce(lambda tail, x: F.when(F.col("action") == x[0], F.lit(x[1])).otherwise(tail), ACTION_SCALE.items(), F.lit(1.0))
-    out = counts.join(means, ["row_id", "action"], "left").join(candidate, "row_id", "left")
-    return out.select("row_id", "action", "n", F.round(F.col("with_vector") / F.col("n"), 6).alias("coverage"), F.round(scale * dot(F.col("mean"), F.col("c")), 6).alias("match"))
+    return out.select("row_id", "action", "n", F.round(F.col("with_vector") / F.col("n"), 6).alias("coverage"), F.round(scale * F.col("m"), 6).alias("match"))
 
 
 def user_encoding(features: DataFrame) -> DataFrame:
