@@ -256,15 +256,15 @@ query("item_popularity", oracle("interactions", f"s as (select product_id, sum({
 query("trending_scores", oracle("interactions", f"{_TREND} {_TOPK.format(k=100)}"))(lambda s, d: C.trending_scores(interactions(s, d), NOW))
 
 _SWING = f"""positive as (select user_id, product_id, max((event_time, event_id)) as l from interactions where action in {SEQUENCE} group by 1, 2),
-a as (select * from positive qualify row_number() over (partition by user_id order by l desc, product_id) <= 30),
-b as (select user_id, product_id from a qualify row_number() over (partition by product_id order by user_id) <= 60),
+a as (select * from positive qualify row_number() over (partition by user_id order by l desc, product_id) <= 100),
+b as (select user_id, product_id from a qualify row_number() over (partition by product_id order by user_id) <= 500),
 pairs as (select x.user_id as u, y.user_id as v, count(*) as n from b x join b y using (product_id) where x.user_id < y.user_id group by 1, 2 having count(*) >= 2),
 raw as (select i.product_id as item_id, j.product_id as neighbor_id, sum(1.0 / (5.0::double + n)) as raw
   from pairs join b i on i.user_id = u join b i2 on i2.user_id = v and i2.product_id = i.product_id join b j on j.user_id = u join b j2 on j2.user_id = v and j2.product_id = j.product_id
   where i.product_id <> j.product_id group by 1, 2),
-top as (select * from raw qualify row_number() over (partition by item_id order by round(raw, 9) desc, neighbor_id) <= 50),
+top as (select * from raw qualify row_number() over (partition by item_id order by round(raw, 9) desc, neighbor_id) <= 100),
 swing as (select item_id, neighbor_id, round(raw / max(raw) over (partition by item_id), 6) as score from top)"""
-query("swing_index", oracle("interactions", f"{_SWING} select * from swing"))(lambda s, d: C.swing_index(interactions(s, d), per_user=30, users_per_item=60, k=50))
+query("swing_index", oracle("interactions", f"{_SWING} select * from swing"))(lambda s, d: C.swing_index(interactions(s, d), per_user=100, users_per_item=500, k=100))
 _SEEDS = "case action when 'view' then 1.0 when 'click' then 2.0 when 'add_to_cart' then 3.0 when 'purchase' then 5.0 end"
 query(
     "swing_candidates",
@@ -274,7 +274,7 @@ seeds as (select * from seen qualify row_number() over (partition by user_id ord
 scored as (select user_id, neighbor_id as product_id, round(sum(w / (1 + greatest({NOW} - l, 0) / 86400 / 30) * score), 6) as score from seeds join swing on item_id = product_id group by 1, 2),
 fresh as (select * from scored anti join seen using (user_id, product_id))
 select user_id, product_id, score, row_number() over (partition by user_id order by score desc, product_id) as rank from fresh qualify rank <= 40"""),
-)(lambda s, d: C.swing_candidates(C.swing_index(interactions(s, d), per_user=30, users_per_item=60, k=50), interactions(s, d), NOW))
+)(lambda s, d: C.swing_candidates(C.swing_index(interactions(s, d), per_user=100, users_per_item=500, k=100), interactions(s, d), NOW))
 
 
 def _sources(spark, sf_dir):
