@@ -142,7 +142,12 @@ def mean_ndcg(scored: DataFrame, group: str) -> DataFrame:
 
 def ltr_pairs(rows: DataFrame, group: str, gap: float = 0.5, cap: int = 2048) -> DataFrame:
     """Pairs of a group whose relevance differs by at least `gap`, in order of places, the first `cap` of a group."""
-    a = rows.select(group, F.col("position").alias("high"), F.col("relevance").alias("rh"))
+    # how many rows each one is above, and how many pairs stand before its own, without forming a pair
+    grade = F.round(F.col("relevance") * 1_000_000).cast("bigint")
+    below = F.count("*").over(Window.partitionBy(group).orderBy(grade).rangeBetween(Window.unboundedPreceding, -round(gap * 1_000_000)))
+    before = F.coalesce(F.sum("lows").over(Window.partitionBy(group).orderBy("position").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = rows.select(group, "position", "relevance").withColumn("lows", below).where("lows > 0").withColumn("before", before).where(F.col("before") < cap)
+    a = counted.select(group, F.col("position").alias("high"), F.col("relevance").alias("rh"))
     b = rows.select(group, F.col("position").alias("low"), F.col("relevance").alias("rl"))
     pairs = a.join(b, group).where(F.col("rh") - F.col("rl") >= gap)
     return pairs.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("high", "low"))).where(F.col("rn") <= cap).select(group, "high", "low")

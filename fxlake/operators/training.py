@@ -79,7 +79,7 @@ def training_matrix(rows: DataFrame, least: int = 20) -> DataFrame:
     kept = assemble_features(rows).select("observation_id", "impression_id", "bucket", "features").join(labels.drop("error"), "observation_id")
     values = kept.where("value_mask = 1").select(F.col("observation_id").alias("row_id"), "bucket", F.col("business_value").alias("value"))
     scaled = L.transform_values(values, L.value_stats(values, least)).select(F.col("row_id").alias("observation_id"), "z")
-    groups = X.dense_ids(kept, "impression_id", "group_id")
+    groups = X.dense_ids(rows, "impression_id", "group_id")
     out = kept.join(scaled, "observation_id", "left").join(groups, "impression_id")
     return out.withColumn("value", F.coalesce("z", F.lit(0.0))).drop("z")
 

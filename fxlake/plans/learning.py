@@ -124,8 +124,8 @@ select count(*) as groups, round(avg(case when ideal > 0 then dcg / ideal else 0
 query(
     "ltr_pairs",
     oracle(_S, f"""{_LTR}, p as (select a.impression_id, a.position as high, b.position as low from ltr a join ltr b using (impression_id) where a.relevance - b.relevance >= 0.5)
-select impression_id, high, low from p qualify row_number() over (partition by impression_id order by high, low) <= 20"""),
-    lambda s, d: L.ltr_pairs(ltr(s, d), "impression_id", cap=20),
+select impression_id, high, low from p qualify row_number() over (partition by impression_id order by high, low) <= 2048"""),
+    lambda s, d: L.ltr_pairs(ltr(s, d), "impression_id"),
 )
 query(
     "masked_losses",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from fxlake.functions import scalars as S
 from fxlake.operators import candidates as C
+from fxlake.operators import features as X
 from fxlake.operators import learning as L
 from fxlake.operators import pit as P
 from fxlake.operators import training as M
@@ -237,3 +238,18 @@ def test_text_and_times(spark):
     assert [r[0] for r in texts.select(S.normalize_text(F.col("t"))).collect()] == ["afi strasse x", "", ""]
     one = spark.range(1).select(S.training_as_of(F.lit("x"), F.lit(None).cast("double"), F.lit("7.5"), F.lit(9)).alias("a"), S.training_as_of(F.lit("x")).alias("b")).first()
     assert (one["a"], one["b"]) == (7.5, 0.0)
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7, 100])
+def test_pairs_up_to_a_cap(spark, cap):
+    rows = [("a", i, (i * 7) % 4) for i in range(8)] + [("b", 1, 2), ("b", 2, 2)]
+    plain = sorted((i, j) for g, i, x in rows for h, j, y in rows if g == h == "a" and x - y >= 0.5)[:cap]
+    out = L.ltr_pairs(spark.createDataFrame(rows, "g string, position int, relevance int"), "g", cap=cap).collect()
+    assert sorted((r["high"], r["low"]) for r in out) == plain
+
+
+def test_dense_ids_of_keys_that_share_a_prefix(spark):
+    keys = [f"imp{i:04d}" for i in range(500)] * 2 + [None]
+    out = X.dense_ids(spark.createDataFrame([(k,) for k in keys], "k string"), "k", "i", parts=7).collect()
+    assert {r["k"]: r["i"] for r in out} == {f"imp{i:04d}": i + 1 for i in range(500)} and len(out) == 500
+    assert X.dense_ids(spark.createDataFrame([], "k string"), "k", "i").count() == 0
