@@ -121,14 +121,21 @@ def diversity_filter(candidates: DataFrame, cap: int = 3, least: int = 10, by: s
     return listed.where(keep).drop("__n", "__c", "__q")
 
 
-def serving_pools(products: DataFrame, trending: DataFrame, now: float, top: int = 300, per_category: int = 150) -> DataFrame:
-    """Products by trend, rating, reviews and freshness: the global pool and a pool for each category, each normalised."""
-    fresh = F.greatest(F.lit(0.0), 1 - (F.lit(now) - F.col("created_at")) / 86400 / 90)
-    raw = F.coalesce("score", F.lit(0.0)) + 0.6 * F.col("rating") / 5 + 0.2 * F.log1p("num_reviews") / 5 + 0.2 * fresh
-    scored = products.where("in_stock").join(trending, "product_id", "left").select("product_id", "category", F.round(raw, 6).alias("raw"))
+def serving_pools(products: DataFrame, trending: DataFrame, now: float, top: int = 300, per_category: int = 150, clusters: DataFrame | None = None, per_cluster: int = 150) -> DataFrame:
+    """pool, product_id, rank, score: products by trend, rating, reviews and freshness. The pools are `global`, one for each
+    category ('unknown' without one) and, with `clusters` (product_id, cluster), one for each content cluster, each
+    normalised by its own highest score."""
+    age = F.greatest(F.lit(0.0), (F.lit(now) - F.coalesce("created_at", F.lit(now))) / 86400)
+    raw = F.coalesce("score", F.lit(0.0)) + 0.6 * F.coalesce("rating", F.lit(0.0)) / 5 + 0.2 * F.log1p(F.coalesce("num_reviews", F.lit(0))) / 5 + 0.2 / (1 + age / 30)
+    scored = products.join(trending, "product_id", "left").select("product_id", F.coalesce("category", F.lit("unknown")).alias("category"), F.round(raw, 6).alias("raw"))
     order = F.desc("raw"), "product_id"
     whole = scored.orderBy(*order).limit(top).select(F.lit("global").alias("pool"), "product_id", "raw")
-    whole = whole.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))  # `top` rows
-    each = scored.where("category is not null").select(F.concat(F.lit("category:"), "category").alias("pool"), "product_id", "raw")
-    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order))).where(F.col("rank") <= per_category)
-    return whole.unionByName(each).select("pool", "product_id", "rank", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("pool")), 6).alias("score"))
+    pools = whole.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order)))  # `top` rows
+    each = [(scored.select(F.concat(F.lit("category:"), "category").alias("pool"), "product_id", "raw"), per_category)]
+    if clusters is not None:
+        own = clusters.where("cluster is not null").select("product_id", F.concat(F.lit("cluster:"), F.col("cluster").cast("string")).alias("pool"))
+        each.append((scored.join(own, "product_id").select("pool", "product_id", "raw"), per_cluster))
+    for rows, most in each:
+        pools = pools.unionByName(rows.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy(*order))).where(F.col("rank") <= most))
+    highest = F.max("raw").over(Window.partitionBy("pool"))
+    return pools.select("pool", "product_id", "rank", F.round(F.col("raw") / F.when(highest == 0, 1.0).otherwise(highest), 6).alias("score"))

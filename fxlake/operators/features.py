@@ -51,12 +51,10 @@ def new_item_candidates(eligible: DataFrame, now: float, days: int = 30, confide
 
 
 def random_fallback(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
-    """n items for each user in the order of a hash, the same on every run. Users draw from one of 64 hash classes of
-    items, so a user meets a 64th of the catalog and not all of it."""
-    u = users.select("user_id", F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(64)).alias("c"))
-    i = items.select("product_id", F.pmod(F.xxhash64("product_id", F.lit(seed)), F.lit(64)).alias("c"))
-    w = Window.partitionBy("user_id").orderBy(F.xxhash64("user_id", "product_id", F.lit(seed)), "product_id")
-    return u.join(i, "c").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("user_id", "product_id", "rank")
+    """n different items for each user (all, if there are fewer), drawn from the whole catalog by hash, the same on every run."""
+    from fxlake.operators.generation import draw
+
+    return draw(users.select("user_id", F.lit(n).alias("need")), items.select("product_id"), seed)
 
 
 def sample_negatives(positives: DataFrame, external: DataFrame, quotas: dict[str, int], seed: int) -> DataFrame:

@@ -143,37 +143,6 @@ def keep_recent(events: DataFrame, per_user: int = 1000, per_action: int = 200)
     return out.where((F.col("a") <= per_user) & (F.col("b") <= per_action)).drop("a", "b")
 
 
-def behavior_sequences(observations: DataFrame, events: DataFrame, n: int = 60, days: int = 30) -> DataFrame:
-    """Before each observation, for each positive action: the last n products, left-padded, with a mask.
-
-    An event counts if it happened in the `days` before and was available by then.
-    """
-    o, e = observations.select("observation_id", "user_id", "as_of"), events.where(F.col("action").isin(*POSITIVE)).select("user_id", "product_id", "action", "event_time", "available_at", "event_id")
-    near = o.join(e, "user_id").where((F.col("event_time") >= F.col("as_of") - 86400 * days) & (F.col("event_time") < F.col("as_of")) & (F.col("available_at") <= F.col("as_of")))
-    w = Window.partitionBy("observation_id", "action").orderBy(F.desc("event_time"), F.desc("event_id"))
-    last = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).groupBy("observation_id", "action").agg(F.sort_array(F.collect_list(F.struct("event_time", "event_id", "product_id"))).alias("s"))
-    every = o.select("observation_id").withColumn("action", F.explode(F.array(*map(F.lit, POSITIVE))))
-    ids = F.coalesce(F.transform("s", lambda x: x["product_id"]), F.array().cast("array<string>"))
-    out = every.join(last, ["observation_id", "action"], "left").withColumn("ids", ids)
-    return out.select(
-        "observation_id", "action", F.concat(F.array_repeat(F.lit(""), n - F.size("ids")), "ids").alias("product_ids"),
-        F.concat(F.array_repeat(F.lit(0), n - F.size("ids")), F.array_repeat(F.lit(1), F.size("ids"))).alias("mask"),
-    )
-
-
-def check_behavior_sequences(sequences: DataFrame, n: int = 60) -> DataFrame:
-    """Rows that break the contract, with the first reason: known action, length, mask, padding on the left."""
-    pairs = F.slice(F.col("mask"), 1, n - 1), F.slice(F.col("mask"), 2, n - 1)
-    reason = F.coalesce(
-        F.when(~F.col("action").isin(*POSITIVE), "unknown_action"),
-        F.when((F.size("product_ids") != n) | (F.size("mask") != n), "wrong_length"),
-        F.when(~F.forall("mask", lambda m: m.isin(0, 1)), "mask_not_binary"),
-        F.when(~F.forall(F.zip_with(*pairs, lambda a, b: a <= b), lambda ok: ok), "not_left_padded"),
-        F.when(~F.forall(F.zip_with("product_ids", "mask", lambda p, m: (p == "") == (m == 0)), lambda ok: ok), "mask_mismatch"),
-    )
-    return sequences.withColumn("error", reason).where("error is not null")
-
-
 def keyset_page(df: DataFrame, after: tuple[float, str], n: int) -> DataFrame:
     t, i = after
     later = (F.col("event_time") > t) | ((F.col("event_time") == t) & (F.col("event_id") > i))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fxlake.operators import candidates as C
+from fxlake.operators import features as X
 from fxlake.operators import pit as P
+from fxlake.operators import sequences as B
 from fxlake.operators import windows as W
 from fxlake.sources.model import ATTRIBUTION_HOURS, CUTOFF, LATENESS_HOURS, NOW, VERSION, catalog, interactions, item_history, observations, oracle, table
 
@@ -133,29 +135,61 @@ query(
 where a <= 40 and b <= 10"""),
 )(lambda s, d: W.keep_recent(interactions(s, d), 40, 10).select("event_id", "user_id", "action"))
 
-query(
-    "behavior_sequences",
-    oracle("interactions observations", f"""
-  near as (select o.observation_id, i.action, i.product_id, i.event_time, i.event_id,
+_NEAR = f"""near as (select o.observation_id, o.as_of, o.product_id as candidate, i.action, i.product_id, i.event_time, i.event_id,
       row_number() over (partition by o.observation_id, i.action order by i.event_time desc, i.event_id desc) as rn
     from observations o join interactions i on i.user_id = o.user_id and i.event_time >= o.as_of - 86400 * 30 and i.event_time < o.as_of and i.available_at <= o.as_of
     where i.action in {POSITIVE}),
-  last as (select observation_id, action, count(*) as n, string_agg(product_id, ',' order by event_time, event_id) as ids from near where rn <= 20 group by 1, 2)
-select observation_id, a as action, repeat(',', (20 - coalesce(n, 0))::int) || coalesce(ids, '') as product_ids, coalesce(n, 0) as n
-from observations cross join (values ('click'), ('add_to_cart'), ('purchase')) v(a) left join last using (observation_id) where last.action = a
-union all select observation_id, a, repeat(',', 20), 0 from observations cross join (values ('click'), ('add_to_cart'), ('purchase')) v(a)
-where not exists (select 1 from last l where l.observation_id = observations.observation_id and l.action = a)"""),
+  last as (select observation_id, action, count(*) as n, string_agg(product_id, ',' order by event_time, event_id) as ids, string_agg(event_id, ',' order by event_time, event_id) as events,
+    string_agg(round(event_time)::bigint, ',' order by event_time, event_id) as times from near where rn <= 20 group by 1, 2),
+  every as (select observation_id, as_of, product_id, a as action from observations cross join (values ('click'), ('add_to_cart'), ('purchase')) v(a))"""
+_sequences = lambda s, d: B.behavior_sequences(observations(s, d), interactions(s, d), 20)
+query(
+    "behavior_sequences",
+    oracle("interactions observations", f"""{_NEAR} select observation_id, action, repeat(',', (20 - coalesce(n, 0))::int - (n is null)::int) || coalesce(ids, '') as product_ids, coalesce(n, 0) as n,
+  repeat('0,', (20 - coalesce(n, 0))::int - (n is null)::int) || coalesce(times, '0') as event_times, coalesce(events, '') as event_ids from every left join last using (observation_id, action)"""),
 )(
-    lambda s, d: W.behavior_sequences(observations(s, d), interactions(s, d), 20).select(
-        "observation_id", "action",
-        F.concat(F.repeat(F.lit(","), F.size(F.filter("mask", lambda m: m == 0))), F.array_join(F.filter("product_ids", lambda p: p != ""), ",")).alias("product_ids"),
-        F.size(F.filter("mask", lambda m: m == 1)).cast("long").alias("n"),
+    lambda s, d: _sequences(s, d).select(
+        "observation_id", "action", F.array_join("product_ids", ",").alias("product_ids"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n"),
+        F.array_join(F.transform("event_times", lambda t: F.round(t).cast("long").cast("string")), ",").alias("event_times"), F.array_join("event_ids", ",").alias("event_ids"),
     )
 )
 
-query("check_behavior_sequences", "select cast(null as varchar) as observation_id, cast(null as varchar) as error where false")(
-    lambda s, d: W.check_behavior_sequences(W.behavior_sequences(observations(s, d), interactions(s, d), 20), 20).select("observation_id", "error")
-)
+
+def _spoiled_sequences(spark, sf_dir) -> DataFrame:
+    """Sequences of which five in eleven are broken, each in its own way; empty ones can only lose their padding."""
+    rows = _sequences(spark, sf_dir).withColumn("kind", F.pmod(F.substring_index("observation_id", ":", 1).cast("long"), F.lit(11)))
+    some = F.array_contains("mask", 1)
+    return rows.where(some).withColumns({
+        "action": F.when(F.col("kind") == 0, "view").otherwise(F.col("action")), "product_ids": F.when(F.col("kind") == 1, F.slice("product_ids", 1, 19)).otherwise(F.col("product_ids")),
+        "mask": F.when(F.col("kind") == 2, F.array_repeat(F.lit(2), 20)).when(F.col("kind") == 3, F.concat(F.slice("mask", 1, 19), F.array(F.lit(0)))).otherwise(F.col("mask")),
+        "event_times": F.when(F.col("kind") == 4, F.transform("event_times", lambda t: F.when(t > 0, F.col("as_of")).otherwise(t))).when(F.col("kind") == 5, F.transform(F.reverse("event_times"), lambda t: t)).otherwise(F.col("event_times")),
+    })
+
+
+query(
+    "check_behavior_sequences",
+    oracle("interactions observations", f"""{_NEAR}, kinds as (select l.*, l.observation_id.split(':')[1]::bigint % 11 as kind, (select count(distinct event_time) from near where near.observation_id = l.observation_id and near.action = l.action and rn <= 20) as distinct_times from last l)
+select observation_id, case when kind = 0 then 'unknown_action' when kind = 1 then 'wrong_length' when kind = 2 then 'mask_not_binary' when kind = 3 and n = 1 then 'mask_mismatch' when kind = 3 then 'not_left_padded'
+  when kind = 4 then 'outside_window' when n < 20 then 'padding_not_empty' when distinct_times > 1 then 'not_in_order' end as error from kinds
+where kind < 5 or kind = 5 and (n < 20 or distinct_times > 1)"""),
+)(lambda s, d: B.check_behavior_sequences(_spoiled_sequences(s, d), 20).select("observation_id", "error"))
+_ITEMS = "ids as (select product_id, dense_rank() over (order by product_id) as item from (select distinct product_id from interactions where action = 'purchase'))"
+query(
+    "sequence_inputs",
+    oracle("interactions observations", f"""{_NEAR}, {_ITEMS}, seen as (select near.*, coalesce(item, 0) as item, ln(1 + (as_of - event_time) / 86400) as recency from near left join ids using (product_id) where rn <= 20),
+sums as (select observation_id, action, count(*) as n, count(*) filter (where item > 0) as k, min(recency) filter (where item > 0) as least, string_agg(item, ',' order by event_time, event_id) as items,
+  string_agg(case when item > 0 then round(recency * 1000)::bigint else 0 end, ',' order by event_time, event_id) as days from seen group by 1, 2),
+parts as (select e.observation_id, e.action, coalesce(c.item, 0) as candidate, repeat('0,', (20 - coalesce(n, 0))::int - (n is null)::int) || coalesce(items, '0') as items, repeat('0,', (20 - coalesce(n, 0))::int - (n is null)::int) || coalesce(days, '0') as days,
+  case when c.item is null then [0, 0, 0, 0] else [coalesce(n, 0) * 1000, round(coalesce(k / n, 0) * 1000)::bigint, round(coalesce(least, 0) * 1000)::bigint, (n is not null)::int * 1000] end as four
+  from every e left join sums using (observation_id, action) left join ids c on c.product_id = e.product_id)
+select observation_id, max(candidate) as candidate, string_agg(items, ';' order by list_position(['click', 'add_to_cart', 'purchase'], action)) as items, string_agg(days, ';' order by list_position(['click', 'add_to_cart', 'purchase'], action)) as days,
+  string_agg(array_to_string(four, ','), ',' order by list_position(['click', 'add_to_cart', 'purchase'], action)) as summary from parts group by 1"""),
+)(lambda s, d: (lambda r, t: r.select(
+    "observation_id", "candidate", F.array_join(F.transform("items", lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("items"), F.array_join(F.transform("recency", t), ";").alias("days"), t(F.col("summary")).alias("summary"),
+))(
+    B.sequence_inputs(observations(s, d), _sequences(s, d), X.dense_ids(interactions(s, d).where("action = 'purchase'"), "product_id", "item"), 20),
+    lambda x: F.array_join(F.transform(x, lambda v: F.round(v * 1000).cast("long").cast("string")), ","),
+))
 
 query(
     "keyset_page",
@@ -320,15 +354,21 @@ quota as (select user_id, 3 + sum(greatest(0, 3 - k)) as q from rounds group by
 select user_id, product_id, rank from listed left join quota using (user_id) where n <= 10 or c <= case when category is null then coalesce(q, 3) else 3 end"""),
 )(lambda s, d: C.diversity_filter(_ranked(s, d).join(catalog(s, d).select("product_id", "category"), "product_id", "left")).select("user_id", "product_id", "rank"))
 
-query(
-    "serving_pools",
-    oracle("interactions catalog", f"""trend as (with {_TREND} {_TOPK.format(k=100)}),
-scored as (select product_id, category, round(coalesce(score, 0) + 0.6::double * rating / 5 + 0.2::double * ln(1 + num_reviews) / 5 + 0.2::double * greatest(0, 1 - ({NOW} - created_at) / 86400 / 90), 6) as raw
-  from catalog left join trend using (product_id) where in_stock),
-pools as (select product_id, raw, 'global' as pool from scored union all select product_id, raw, 'category:' || category from scored),
-kept as (select *, row_number() over (partition by pool order by raw desc, product_id) as rank from pools qualify rank <= case when pool = 'global' then 300 else 150 end)
-select pool, product_id, rank, round(raw / max(raw) over (partition by pool), 6) as score from kept"""),
-)(lambda s, d: C.serving_pools(catalog(s, d), C.trending_scores(interactions(s, d), NOW), NOW))
+_POOLS = f"""trend as (with {_TREND} {_TOPK.format(k=100)}),
+scored as (select product_id, category, part_key % 7 as cluster, round(coalesce(score, 0) + 0.6::double * rating / 5 + 0.2::double * ln(1 + num_reviews) / 5 + 0.2::double / (1 + greatest(0, ({NOW} - created_at) / 86400) / 30), 6) as raw
+  from catalog left join trend using (product_id)),
+pools as (select product_id, raw, 'global' as pool from scored union all select product_id, raw, 'category:' || category from scored union all select product_id, raw, 'cluster:' || cluster from scored),
+kept as (select *, row_number() over (partition by pool order by raw desc, product_id) as rank from pools qualify rank <= case when pool = 'global' then 300 else 150 end),
+served as (select pool, product_id, rank, round(raw / max(raw) over (partition by pool), 6) as score from kept)"""
+
+
+def serving_pools(spark, sf_dir) -> DataFrame:
+    """Pools whose clusters are made from the product's number (`assign_clusters` gives them elsewhere)."""
+    clusters = catalog(spark, sf_dir).select("product_id", (F.col("part_key") % 7).alias("cluster"))
+    return C.serving_pools(catalog(spark, sf_dir), C.trending_scores(interactions(spark, sf_dir), NOW), NOW, clusters=clusters)
+
+
+query("serving_pools", oracle("interactions catalog", f"{_POOLS} select * from served"))(serving_pools)
 
 # ---------------------------------------------------------------- vectors
 

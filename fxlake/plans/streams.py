@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,8 +25,13 @@ def query(name: str, sql: str | None, f) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder in the folder that the cluster shares; only a local master may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

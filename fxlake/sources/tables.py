@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fxlake.sources import files
+
 
 def append_once(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `new` to append: one for each key that the target doesn't have."""
@@ -34,11 +36,11 @@ def evolve_additive(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 
 def run_once(spark: SparkSession, path: str, run_id: str, build) -> DataFrame:
-    """Write build() under its run id unless rows of the run are there; read the run back."""
+    """Write build() under its run id unless the run has ended before; read the run back. A folder without the mark of an
+    ended job is what a broken run has left: it is written anew."""
     target = f"{path}/run_id={run_id}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("errorifexists").parquet(target)
+    if not files.exists(spark, f"{target}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
