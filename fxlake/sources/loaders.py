@@ -12,23 +12,24 @@ def decode_embedding(text: Column, dim: int) -> Column:
 
     Signs, exponents and fractions are taken from the bits, so it is all done by functions of the JVM.
     """
-    known = F.regexp_replace(text, r"[^A-Za-z0-9+/=]", "")  # base64 readers pass over other characters
-    bits = F.hex(F.try_to_binary(known, F.lit("base64")))
-    whole = F.length(bits) % 8 == 0
-
-    def one(i: Column) -> Column:
-        byte = lambda k: F.substring(bits, 8 * i + 2 * k + 1, F.lit(2))
-        word = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
-        sign = F.when(word >= 1 << 31, -1.0).otherwise(1.0)
-        power, fraction = F.shiftright(word, 23).bitwiseAND(F.lit(0xFF).cast("long")), word.bitwiseAND(F.lit(0x7FFFFF).cast("long"))
+    letters = F.regexp_replace(text, r"[^A-Za-z0-9+/=]", "")  # base64 readers pass over other characters
+    bits = F.hex(F.try_to_binary(letters, F.lit("base64")))
+
+    def word(b: Column, i: Column) -> Column:
+        byte = lambda k: F.substring(b, 8 * i + 2 * k + 1, F.lit(2))
+        return F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
+
+    def value(w: Column) -> Column:
+        power, fraction = F.shiftright(w, 23).bitwiseAND(F.lit(0xFF).cast("long")), w.bitwiseAND(F.lit(0x7FFFFF).cast("long"))
         normal = (1 + fraction / float(1 << 23)) * F.pow(F.lit(2.0), (power - 127).cast("double"))
         special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
         size = F.when(power == 255, special).when(power == 0, fraction * F.pow(F.lit(2.0), F.lit(-149.0))).otherwise(normal)
-        return (sign * size).cast("float")
+        return (F.when(w >= 1 << 31, -1.0).otherwise(1.0) * size).cast("float")
 
-    n = F.length(bits) / 8
-    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i < n, one(i)).otherwise(F.lit(0.0).cast("float")))
-    return F.coalesce(F.when(whole & (n > 0), values), F.array_repeat(F.lit(0.0).cast("float"), dim))
+    # the bits are an array of one element, so that they are made once and not for each place
+    known = F.transform(F.array(bits), lambda b: F.when((F.length(b) > 0) & (F.length(b) % 8 == 0), F.transform(F.sequence(F.lit(0), F.least(F.lit(dim), (F.length(b) / 8).cast("int")) - 1), lambda i: word(b, i))))
+    found = F.transform(F.coalesce(F.element_at(known, 1), F.array().cast("array<bigint>")), value)
+    return F.slice(F.concat(found, F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
