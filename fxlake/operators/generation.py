@@ -112,7 +112,7 @@ def generate_candidates(
     named = lambda c: F.array_join(F.transform(F.sort_array(F.collect_set(F.struct(order.alias("o"), F.col("source").alias("s")))), lambda x: x["s"]), "+").alias(c)
     merged = rows.withColumn("kind", kind).groupBy(pair).agg(*[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(f"{k}_score") for k in WEIGHTS], named("sources"))
     merged = merged.unionByName(random_candidates(everyone, merged, seen, products, caps["random"], target, seed), allowMissingColumns=True)
-    merged = merged.withColumn("combined_score", F.round(reduce(Column.__add__, [F.coalesce(f"{k}_score", F.lit(0.0)) * w for k, w in WEIGHTS.items()]), 6))
+    merged = merged.withColumn("combined_score", reduce(Column.__add__, [F.coalesce(f"{k}_score", F.lit(0.0)) * w for k, w in WEIGHTS.items()]))
     if diversity is not None:
         listed = rank_topk(merged.join(products.select("product_id", "category").dropDuplicates(["product_id"]), "product_id", "left"), 1 << 30)
         merged = diversity_filter(listed, diversity).drop("category", "rank")

@@ -144,9 +144,9 @@ every as (select user_id, product_id, 'cf' as source, 1 as o, 'cf' as kind, scor
   union all select user_id, product_id, source, list_position(['trending_pool', 'category_pool', 'cluster_pool'], source) + 4, 'popularity', score from probed
   union all select e.user_id, f.product_id, 'new_item', 8, 'cf', score from everyone e cross join fresh f anti join seen s on s.user_id = e.user_id and s.product_id = f.product_id),
 steps as (select user_id, product_id, source, o, max(score) filter (where kind = 'cf') as a, max(score) filter (where kind = 'content') as b, max(score) filter (where kind = 'popularity') as c from every group by 1, 2, 3, 4),
-merged as (select user_id, product_id, string_agg(source, '+' order by o) as sources, round(0.4::double * coalesce(max(a), 0) + 0.3::double * coalesce(max(b), 0) + 0.3::double * coalesce(max(c), 0), 6) as combined_score from steps group by 1, 2)
-select user_id, product_id, sources, combined_score, row_number() over (partition by user_id order by combined_score desc, product_id) as rank from merged qualify rank <= 500"""),
-    lambda s, d: _generated(s, d, caps={"random": 0}, diversity=None).select("user_id", "product_id", "sources", "combined_score", "rank"),
+merged as (select user_id, product_id, string_agg(source, '+' order by o) as sources, 0.4::double * coalesce(max(a), 0) + 0.3::double * coalesce(max(b), 0) + 0.3::double * coalesce(max(c), 0) as combined_score from steps group by 1, 2)
+select user_id, product_id, sources, round(combined_score + 1e-9::double, 6) as combined_score, row_number() over (partition by user_id order by merged.combined_score desc, product_id) as rank from merged qualify rank <= 500"""),
+    lambda s, d: _generated(s, d, caps={"random": 0}, diversity=None).select("user_id", "product_id", "sources", F.round(F.col("combined_score") + 1e-9, 6).alias("combined_score"), "rank"),  # no halves
 )
 query(
     "random_candidates",
