@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Context keys that are kept, keyword lists of categories, and price marks.
-CONTEXT_KEYS = ("product_category", "session_length", "device", "platform", "page", "position", "referrer", "price", "value", "content_id", "experiment")
+#: The parts of a request's context that are kept with an impression.
+CONTEXT_KEYS = ("session_id", "surface", "device", "time_of_day", "location", "priority", "demo_mode", "content_id", "category", "request_category", "recommendation_count")
+#: Keyword lists of categories.
 CATEGORY_WORDS = {
     "electronics": ("phone", "laptop", "camera", "tablet", "headphones"),
     "fashion": ("dress", "shirt", "shoes", "jacket", "bag"),
@@ -51,9 +52,30 @@ def accept_event(event_time: Column, received: Column, oldest_days: int = 30, ah
     ])
 
 
-def bounded_context(context: Column, most_chars: int = 512) -> Column:
-    """A map<string,string> cut to the known keys and to 512 characters a value."""
-    return F.transform_values(F.map_filter(context, lambda k, v: k.isin(*CONTEXT_KEYS) & v.isNotNull()), lambda k, v: F.substring(v, 1, most_chars))
+def bounded_context(context: Column, most_chars: int = 512, most_items: int = 20) -> Column:
+    """JSON text of a context cut to CONTEXT_KEYS, which come sorted: texts to 512 characters, lists to their first 20 items,
+    of which objects and lists go. Objects, nulls and anything that is no JSON object give nothing."""
+    j = F.try_parse_json(context)
+    kind = lambda text: F.substring(text, 1, 1)
+    cut = lambda text: canonical_text(F.substring(text, 1, most_chars))
+
+    def scalar(x: Column) -> Column:
+        text = F.to_json(x)
+        return F.when(kind(text) == '"', cut(F.try_variant_get(x, "$", "string"))).otherwise(text)
+
+    parts = []
+    for key in sorted(CONTEXT_KEYS):
+        text, items = F.to_json(F.try_variant_get(j, f"$.{key}", "variant")), F.try_variant_get(j, f"$.{key}", "array<variant>")
+        kept = F.filter(F.transform(F.slice(items, 1, most_items), lambda x: F.coalesce(scalar(x), F.lit("null"))), lambda t: ~kind(t).isin("{", "["))
+        listed = F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]"))
+        value = F.when(kind(text) == '"', cut(F.try_variant_get(j, f"$.{key}", "string"))).when(kind(text) == "[", listed).when((kind(text) != "{") & (text != "null"), text)
+        parts.append(F.concat(F.lit(f'"{key}":'), value))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def canonical_text(c: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
 def deterministic_id(*parts: Column) -> Column:
@@ -127,11 +149,13 @@ def ltr_group_key(impression: Column, request: Column, session: Column, user: Co
     return F.coalesce(tag("impression", impression), tag("request", request), tag("session", session), F.concat(F.lit("user_time:"), F.when(blank(user), "unknown").otherwise(user), F.lit(":"), F.floor(F.greatest(t, F.lit(0.0)) / 1800).cast("string")))
 
 
-def reason_text(collaborative: Column, content: Column, popularity: Column, ctr: Column) -> Column:
-    return (
-        F.when(collaborative >= 0.7, "Users with similar taste liked this").when(content >= 0.7, "Similar to what you are watching")
-        .when(popularity >= 0.7, "Popular right now").when(ctr >= 0.1, "Often clicked").otherwise("Recommended for you")
-    )
+def reason_text(collaborative: Column, content: Column, popularity: Column, ctr: Column, cvr: Column) -> Column:
+    """Why a product is recommended: the first score above its bound. Nulls are below."""
+    reasons = [
+        (collaborative > 0.5, "users with similar interests liked this"), (content > 0.5, "matches the video content you're viewing"), (popularity > 0.5, "trending among other users"),
+        (ctr > 0.7, "high engagement product"), (cvr > 0.3, "frequently purchased"),
+    ]
+    return F.concat(F.lit("Based on your preferences - "), F.coalesce(*[F.when(test, F.lit(text)) for test, text in reasons], F.lit("recommended for you")))
 
 
 def daily_run_id(ts: Column, hour: int = 2) -> Column:

@@ -48,28 +48,29 @@ def feedback_interval(observations: DataFrame, interactions: DataFrame, hours: i
     """
     span = hours * 3600
     o = observations.select("observation_id", "user_id", "product_id", "as_of")
-    i = interactions.where(F.col("available_at") <= cutoff).select("user_id", "product_id", "action", "session_length", "event_time", "available_at", F.col("event_id").alias("source_event_id"), F.floor(F.col("event_time") / span).alias("__b"))
+    context = F.col("context_json") if "context_json" in interactions.columns else F.lit(None).cast("string")
+    i = interactions.where(F.col("available_at") <= cutoff).select("user_id", "product_id", "action", context.alias("context_json"), "event_time", "available_at", F.col("event_id").alias("source_event_id"), F.floor(F.col("event_time") / span).alias("__b"))
     buckets = o.withColumn("__b", F.explode(F.sequence(F.floor(F.col("as_of") / span), F.floor((F.col("as_of") + span) / span))))
     found = buckets.join(i, ["user_id", "product_id", "__b"]).where((F.col("event_time") >= F.col("as_of")) & (F.col("event_time") <= F.col("as_of") + span))
-    found = found.select("observation_id", "action", "session_length", "event_time", "available_at", "source_event_id")
+    found = found.select("observation_id", "action", "context_json", "event_time", "available_at", "source_event_id")
     return o.select("observation_id").join(found, "observation_id", "left")
 
 
 def attribution(feedback: DataFrame) -> DataFrame:
-    """Per observation: strongest action, click and purchase flags, and the latest purchase's value."""
+    """Per observation: strongest action, click and purchase flags, and the value in the latest purchase's context with its key."""
     rank = F.when(F.col("action") == "purchase", 3).when(F.col("action") == "add_to_cart", 2).when(F.col("action") == "click", 1).otherwise(0)
     bought = F.col("action") == "purchase"
-    latest = F.max(F.when(bought, F.struct("event_time", "available_at", "source_event_id", "session_length")))
+    latest = F.max(F.when(bought, F.struct("event_time", "available_at", "source_event_id", "context_json")))
     out = feedback.groupBy("observation_id").agg(F.max(rank).alias("r"), F.max(F.when(rank > 0, 1).otherwise(0)).alias("attributed_click"), F.max(F.when(bought, 1).otherwise(0)).alias("attributed_purchase"), latest.alias("l"))
     action = F.when(F.col("r") == 3, "purchase").when(F.col("r") == 2, "add_to_cart").when(F.col("r") == 1, "click").otherwise("view")
-    return out.select("observation_id", action.alias("attributed_action"), "attributed_click", "attributed_purchase", F.col("l.session_length").alias("attributed_value"), F.when(F.col("l").isNotNull(), "value").alias("attributed_value_source"))
+    value, source = first_numeric(F.col("l.context_json"))
+    return out.select("observation_id", action.alias("attributed_action"), "attributed_click", "attributed_purchase", value.alias("attributed_value"), source.alias("attributed_value_source"))
 
 
 def first_numeric(json: Column, keys: tuple[str, ...] = VALUE_KEYS) -> tuple[Column, Column]:
-    """The first key's value that reads as a number, and that key."""
-    read = {k: F.get_json_object(json, f"$.{k}").try_cast("double") for k in keys}
-    source = reduce(lambda tail, k: F.when(read[k].isNotNull(), F.lit(k)).otherwise(tail), reversed(keys), F.lit(None).cast("string"))
-    return F.coalesce(*read.values()), source
+    """The first key's value that reads as a number, and the first key that is there at all, whatever its value."""
+    texts = {k: F.get_json_object(json, f"$.{k}") for k in keys}
+    return F.coalesce(*[t.try_cast("double") for t in texts.values()]), F.coalesce(*[F.when(t.isNotNull(), F.lit(k)) for k, t in texts.items()])
 
 
 def scored_base(observations: DataFrame, user_history: DataFrame, item_history: DataFrame, interactions: DataFrame, *, version: str, cutoff: float, attribution_hours: int, lateness_hours: int) -> DataFrame:

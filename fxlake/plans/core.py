@@ -213,8 +213,15 @@ def user_history(spark, sf_dir) -> DataFrame:
     return W.running_user_features(interactions(spark, sf_dir)).withColumn("version", F.lit(VERSION))
 
 
+def valued(spark, sf_dir) -> DataFrame:
+    """Interactions whose context has a value under one of several keys, beside others that don't read as numbers, or none."""
+    n, value = F.col("event_id").cast("long") % 4, F.col("session_length")
+    context = F.when(n == 0, F.to_json(F.struct(F.lit("n/a").alias("margin"), value.alias("value")))).when(n == 1, F.to_json(F.struct(value.alias("price")))).when(n == 2, F.to_json(F.struct(value.alias("profit"), F.lit(1).alias("price")))).otherwise("{}")
+    return interactions(spark, sf_dir).withColumn("context_json", context)
+
+
 def pit_base(spark, sf_dir) -> DataFrame:
-    return P.scored_base(observations(spark, sf_dir), user_history(spark, sf_dir), item_history(spark, sf_dir), interactions(spark, sf_dir), **PIT)
+    return P.scored_base(observations(spark, sf_dir), user_history(spark, sf_dir), item_history(spark, sf_dir), valued(spark, sf_dir), **PIT)
 
 
 _ELIGIBLE = f"eligible as (select * from observations where version = '{VERSION}' and as_of <= {CUTOFF} - {(ATTRIBUTION_HOURS + LATENESS_HOURS) * 3600})"
@@ -247,7 +254,8 @@ ranked as (select observation_id, max(case action when 'purchase' then 3 when 'a
     max(case when action in {POSITIVE} then 1 else 0 end) as attributed_click, max(case when action = 'purchase' then 1 else 0 end) as attributed_purchase,
     max((event_time, available_at, source_event_id, session_length)) filter (where action = 'purchase') as l from fed group by 1),
 labels as (select observation_id, case r when 3 then 'purchase' when 2 then 'add_to_cart' when 1 then 'click' else 'view' end as attributed_action,
-    attributed_click, attributed_purchase, l[4] as attributed_value, case when l is not null then 'value' end as attributed_value_source from ranked)"""
+    attributed_click, attributed_purchase, case when l[3]::bigint % 4 <> 3 then l[4] end as attributed_value,
+    case l[3]::bigint % 4 when 0 then 'margin' when 1 then 'price' when 2 then 'profit' end as attributed_value_source from ranked)"""
 
 
 def _eligible(spark, sf_dir):
@@ -258,7 +266,7 @@ query("feedback_interval", oracle("interactions observations", f"{_ELIGIBLE}, {_
     lambda s, d: P.feedback_interval(_eligible(s, d), interactions(s, d), ATTRIBUTION_HOURS, CUTOFF).select("observation_id", "action", "source_event_id")
 )
 query("attribution", oracle("interactions observations", f"{_ELIGIBLE}, {_FEEDBACK} select * from labels"))(
-    lambda s, d: P.attribution(P.feedback_interval(_eligible(s, d), interactions(s, d), ATTRIBUTION_HOURS, CUTOFF))
+    lambda s, d: P.attribution(P.feedback_interval(_eligible(s, d), valued(s, d), ATTRIBUTION_HOURS, CUTOFF))
 )
 
 _BASE = f"""{_RUNNING}, {_ELIGIBLE}, {_FEEDBACK}, {_asof('bu', 'eligible', 'history', 'user_id')}, {_asof('bi', 'eligible', 'item_history', 'product_id')},

@@ -34,10 +34,17 @@ query(
     oracle("interactions", f"select event_id, case when event_time < {NOW} - 20 * 86400 then 'too_old' when event_time > {NOW} + 300 then 'too_far_ahead' end as error from interactions"),
     lambda s, d: interactions(s, d).select("event_id", S.accept_event(F.col("event_time"), F.lit(NOW), 20).alias("error")),
 )
+def _context():
+    return F.concat(
+        F.lit('{"page": 3, "session_id": "'), F.repeat(F.col("event_type"), 100), F.lit('", "surface": null, "device": {"a": 1}, "location": ["x", {"y": 1}, null, '), F.col("event_id").cast("string"),
+        F.lit(', [2]], "demo_mode": '), F.when(F.col("event_id") % 2 == 0, "true").otherwise("0.50"), F.lit(', "content_id": "c\\n'), F.get_json_object("props", "$.k"), F.lit('"}'),
+    )
+
+
 query(
     "bounded_context",
-    "select event_id, substr(json_extract_string(props, '$.k'), 1, 1) as position from events",
-    lambda s, d: table(s, d, "events").select("event_id", S.bounded_context(F.create_map(F.lit("position"), F.get_json_object("props", "$.k"), F.lit("unknown"), F.lit("x")), 1)["position"].alias("position")),
+    r"""select event_id, '{"content_id":"c\n' || json_extract_string(props, '$.k') || '","demo_mode":' || case when event_id % 2 = 0 then 'true' else '0.5' end || ',"location":["x",null,' || event_id || '],"session_id":"' || substr(repeat(event_type, 100), 1, 512) || '"}' as context from events""",
+    lambda s, d: table(s, d, "events").select("event_id", S.bounded_context(_context()).alias("context")),
 )
 query(
     "deterministic_id",
@@ -97,9 +104,9 @@ query(
 )
 query(
     "reason_text",
-    oracle("observations", """select observation_id, case when collaborative_score >= 0.7::double then 'Users with similar taste liked this' when content_similarity_score >= 0.7::double then 'Similar to what you are watching'
-  when popularity_score >= 0.7::double then 'Popular right now' when 0.05 >= 0.1 then 'Often clicked' else 'Recommended for you' end as reason from observations"""),
-    lambda s, d: observations(s, d).select("observation_id", S.reason_text(F.col("collaborative_score"), F.col("content_similarity_score"), F.col("popularity_score"), F.lit(0.05)).alias("reason")),
+    oracle("observations", """select observation_id, 'Based on your preferences - ' || case when collaborative_score > 0.5::double then 'users with similar interests liked this' when content_similarity_score > 0.5::double then 'matches the video content you''re viewing'
+  when popularity_score > 0.5::double then 'trending among other users' when split_part(observation_id, ':', 1)::bigint % 10 > 7 then 'high engagement product' when split_part(observation_id, ':', 1)::bigint % 7 > 3 then 'frequently purchased' else 'recommended for you' end as reason from observations"""),
+    lambda s, d: (lambda n: observations(s, d).select("observation_id", S.reason_text(F.col("collaborative_score"), F.col("content_similarity_score"), F.col("popularity_score"), n % 10 / 10.0, n % 7 / 10.0).alias("reason")))(F.substring_index("observation_id", ":", 1).cast("long")),
 )
 query(
     "daily_run_id",

@@ -116,7 +116,7 @@ both_ as (select bucket, value from vals union all select '*', value from vals),
 stats as (select bucket, round(max(clip), 6) as clip, round(avg(ln(1 + least(value, clip))), 6) as mean, round(stddev_pop(ln(1 + least(value, clip))), 6) as std from both_ join limits using (bucket) group by 1),
 g as (select * from stats where bucket = '*')
 select observation_id, features, k.bucket, attributed_click as ctr, attributed_purchase as cvr, attributed_click as cvr_mask, coalesce(k.value, 0) as business_value, dense_rank() over (order by impression_id) as group_id,
-  case when attributed_purchase = 1 and k.value is not null then round((ln(1 + least(k.value, coalesce(s.clip, g.clip))) - coalesce(s.mean, g.mean)) / case when coalesce(s.std, g.std) > 1e-6 then coalesce(s.std, g.std) else 1 end, 4) else 0 end as value
+  case when attributed_purchase = 1 and k.value is not null then round(round((ln(1 + least(k.value, coalesce(s.clip, g.clip))) - coalesce(s.mean, g.mean)) / case when coalesce(s.std, g.std) > 1e-6 then coalesce(s.std, g.std) else 1 end, 6), 4) else 0 end as value
 from k left join stats s on s.bucket = k.bucket left join g on true"""),
     lambda s, d: _matrix(s, d).select("observation_id", T.as_text("features").alias("features"), "bucket", "ctr", "cvr", "cvr_mask", "business_value", "group_id", F.round("value", 4).alias("value")),
 )

@@ -75,6 +75,30 @@ def test_feedback_bounds(spark):
     assert P.feedback_interval(obs, events.where("false"), 1, 9000.0).first()["action"] is None
 
 
+def test_attributed_value_and_its_key(spark):
+    """The value is the first that reads as a number; its source is the first key that is there."""
+    rows = ['{"margin": "n/a", "value": "2.5", "price": 9}', '{"price": 3}', '{"value": null, "gmv": 4}', '{"profit": "x"}', "{}", None, "no json"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, j string").select("i", *[c.alias(n) for c, n in zip(P.first_numeric(F.col("j")), ("v", "k"))]).orderBy("i").collect()
+    assert [(r["v"], r["k"]) for r in got] == [(2.5, "margin"), (3.0, "price"), (4.0, "gmv"), (None, "profit"), (None, None), (None, None), (None, None)]
+    fed = spark.createDataFrame([("o", "purchase", '{"price": 1}', 1.0, 1.0, "a"), ("o", "purchase", '{"margin": "?", "gmv": 7}', 2.0, 2.0, "b"), ("o", "click", '{"price": 99}', 3.0, 3.0, "c")], "observation_id string, action string, context_json string, event_time double, available_at double, source_event_id string")
+    assert tuple(P.attribution(fed).first()) == ("o", "purchase", 1, 1, 7.0, "margin")
+
+
+def test_impression_context_and_reasons(spark):
+    long = "x" * 600
+    cases = {
+        '{"session_id": "s", "page": 1, "device": {"a": 1}, "surface": null, "priority": 2, "demo_mode": false}': '{"demo_mode":false,"priority":2,"session_id":"s"}',
+        '{"location": [1, "a", [2], {"b": 3}, null, true]}': '{"location":[1,"a",null,true]}', f'{{"category": "{long}"}}': f'{{"category":"{long[:512]}"}}', f'{{"category": ["{long}"]}}': f'{{"category":["{long[:512]}"]}}',
+        '{"category": [%s]}' % ", ".join(map(str, range(30))): '{"category":[%s]}' % ",".join(map(str, range(20))), "[1]": "{}", "{": "{}", '{"content_id": "a\\"b\\n"}': '{"content_id":"a\\"b\\n"}',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    assert {r["j"]: r["c"] for r in df.select("j", S.bounded_context(F.col("j")).alias("c")).collect()} == cases
+    rows = [(0.6, 0.9, 0.9, 0.9, 0.9), (0.5, 0.6, 0.9, 0.9, 0.9), (None, 0.5, 0.6, 0.9, 0.9), (None, None, 0.5, 0.8, 0.9), (0.0, 0.0, 0.0, 0.7, 0.4), (0.0, 0.0, 0.0, 0.7, 0.3)]
+    got = [r["t"] for r in spark.createDataFrame(rows, "a double, b double, c double, d double, e double").select(S.reason_text(*map(F.col, "abcde")).alias("t")).collect()]
+    words = ["users with similar interests liked this", "matches the video content you're viewing", "trending among other users", "high engagement product", "frequently purchased", "recommended for you"]
+    assert got == [f"Based on your preferences - {w}" for w in words]
+
+
 def test_canonical_json(spark):
     row = spark.range(1).select(*[S.canonical_number(F.lit(x)).alias(n) for n, x in (("a", 42.0), ("b", 1e-7), ("c", -0.0), ("d", 10.5), ("e", 100.0))], S.canonical_json({"b": (F.lit('q"é'), "string"), "a": (F.lit(None).cast("double"), "number")}).alias("j")).first()
     assert [row[c] for c in "abcde"] == ["42", "0.0000001", "0", "10.5", "100"]
