@@ -40,10 +40,19 @@ def swing_index(events: DataFrame, alpha: float = 5.0, per_user: int = 100, user
     kept = positive.withColumn("rn", F.row_number().over(recent)).where(F.col("rn") <= per_user)
     first = Window.partitionBy("product_id").orderBy("user_id")
     kept = kept.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= users_per_item).select("user_id", "product_id")
-    left, right = kept.select(F.col("user_id").alias("u"), "product_id"), kept.select(F.col("user_id").alias("v"), "product_id")
-    pairs = left.join(right, "product_id").where("u < v").groupBy("u", "v").agg(F.collect_set("product_id").alias("items"), F.count("*").alias("n")).where(F.col("n") >= common)
-    ordered = pairs.select(F.explode("items").alias("item_id"), "items", "n").select("item_id", F.explode("items").alias("neighbor_id"), "n").where("item_id <> neighbor_id")
-    scores = ordered.groupBy("item_id", "neighbor_id").agg(F.sum(1.0 / (alpha + F.col("n"))).alias("raw"))
+    from fxlake.operators.features import dense_ids
+
+    # whole numbers from here on; each pair of users and of items once, mirrored after the sums
+    users, items = dense_ids(kept, "user_id", "u"), dense_ids(kept, "product_id", "i")
+    numbered = kept.join(users, "user_id").join(items, "product_id").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"))
+    pairs = numbered.join(numbered.select(F.col("u").alias("v"), "i"), "i").where("u < v").groupBy("u", "v").agg(F.collect_list("i").alias("items")).where(F.size("items") >= common)
+    each = pairs.select(F.posexplode("items").alias("place", "a"), "items", (1.0 / (alpha + F.size("items"))).alias("w"))
+    once = each.select("a", F.explode(F.slice("items", F.col("place") + 2, F.size("items"))).alias("b"), "w")
+    sums = once.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("raw"))
+    scores = sums.unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "raw"))
+    for column, name in (("a", "item_id"), ("b", "neighbor_id")):
+        scores = scores.join(items.select(F.col("i").alias(column), F.col("product_id").alias(name)), column)
+    scores = scores.select("item_id", "neighbor_id", "raw")
     best = Window.partitionBy("item_id").orderBy(F.desc(F.round("raw", 9)), "neighbor_id")
     top = scores.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
     most = F.max("raw").over(Window.partitionBy("item_id"))
