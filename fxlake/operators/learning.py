@@ -35,11 +35,16 @@ def impression_negatives(slates: DataFrame, feedback: DataFrame, weight: float =
     return slates.join(feedback.select(*keys).distinct(), keys, "left_anti").select("user_id", "product_id", F.lit("impression").alias("source"), F.lit(weight).alias("weight"), F.lit(True).alias("exposed"))
 
 
-def rejected_negatives(slates: DataFrame, feedback: DataFrame, products: int, n: int = 5, weight: float = 0.15) -> DataFrame:
-    """The candidates that a slate turned down (here the next part keys), less what the user is positive about."""
-    key = F.substring("product_id", 2, 20).cast("long")
-    rejected = slates.select("user_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("p"), ((key + i) % products).cast("string")))).alias("product_id")).distinct()
-    return rejected.join(feedback.select("user_id", "product_id").distinct(), ["user_id", "product_id"], "left_anti").select("user_id", "product_id", F.lit("rejected").alias("source"), F.lit(weight).alias("weight"), F.lit(False).alias("exposed"))
+def rejected_negatives(impressions: DataFrame, feedback: DataFrame, weight: float = 0.15, most: int = 50) -> DataFrame:
+    """The candidates that an impression's context (JSON text) names as rejected by the ranker: its first `most` entries, of
+    which those that are no object or have no product are passed over; one row for an impression, user and product, without
+    those with positive feedback on the impression."""
+    listed = F.slice(F.try_variant_get(F.try_parse_json("context"), "$.rejected_candidate_items", "array<variant>"), 1, most)
+    rows = impressions.select("impression_id", "user_id", F.explode(listed).alias("x")).where(F.to_json("x").startswith("{"))
+    rows = rows.select("impression_id", "user_id", F.trim(F.try_variant_get("x", "$.product_id", "string")).alias("product_id")).where("product_id <> ''").distinct()
+    keys = ["impression_id", "user_id", "product_id"]
+    rows = rows.join(feedback.select(*keys).distinct(), keys, "left_anti")
+    return rows.select("user_id", "product_id", F.lit("rejected").alias("source"), F.lit(weight).alias("weight"), F.lit(False).alias("exposed"))
 
 
 def all_negatives(*sources: DataFrame) -> DataFrame:

@@ -35,10 +35,23 @@ def ltr(spark, sf_dir) -> DataFrame:
 
 query("ltr_samples", oracle(_S, f"{_LTR} select impression_id, user_id, product_id, position, round(combined_score, 6) as combined_score, action, value, relevance from ltr"), lambda s, d: ltr(s, d).withColumn("combined_score", F.round("combined_score", 6)))
 _NEG = """imp as (select user_id, product_id, 'impression' as source, 0.25::double as weight, true as exposed from slates s anti join feedback f using (impression_id, product_id, user_id))"""
-_REJ = """rej as (select distinct s.user_id, 'p' || ((substr(s.product_id, 2)::bigint + k) % (select count(*) from part)) as product_id from slates s, range(1, 6) r(k)),
-rejected as (select user_id, product_id, 'rejected' as source, 0.15::double as weight, false as exposed from rej anti join feedback using (user_id, product_id))"""
+_REJ = """rej as (select distinct impression_id, user_id, product_id from (select impression_id, user_id, 'p' || ((substr(s.product_id, 2)::bigint + k) % 97) as product_id,
+  row_number() over (partition by impression_id, user_id order by position, s.product_id, k) as rn from slates s, range(1, 13) r(k)) where rn <= 48),
+rejected as (select user_id, product_id, 'rejected' as source, 0.15::double as weight, false as exposed from rej anti join feedback using (impression_id, user_id, product_id))"""
 _neg = lambda s, d: L.impression_negatives(slates(s, d), slate_feedback(s, d))
-_rej = lambda s, d: L.rejected_negatives(slates(s, d), slate_feedback(s, d), table(s, d, "part").count())
+
+
+def _rejecting(spark, sf_dir) -> DataFrame:
+    """Impressions whose context names twelve rejected products for each one shown, after an entry that is no object and one
+    without a product: beyond four products shown, some fall behind the first 50."""
+    key = F.substring("product_id", 2, 20).cast("long")
+    rows = slates(spark, sf_dir).select("impression_id", "user_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(F.lit("p"), ((key + k) % 97).cast("string")))).alias("k", "other"), "position", "product_id")
+    listed = rows.groupBy("impression_id", "user_id").agg(F.sort_array(F.collect_list(F.struct("position", "product_id", "k", "other"))).alias("l"))  # an order's items
+    items = F.array_join(F.transform("l", lambda x: F.concat(F.lit('{"product_id":" '), x["other"], F.lit('","position":1}'))), ",")
+    return listed.select("impression_id", "user_id", F.concat(F.lit('{"device":"web","rejected_candidate_items":["none",{"product_id":" "},'), items, F.lit("]}")).alias("context"))
+
+
+_rej = lambda s, d: L.rejected_negatives(_rejecting(s, d), slate_feedback(s, d))
 query("impression_negatives", oracle(_S, f"{_NEG} select * from imp"), _neg)
 query("rejected_negatives", oracle(_S, f"{_REJ} select * from rejected"), _rej)
 query("all_negatives", oracle(_S, f"{_NEG}, {_REJ} select source, count(*) as n, sum(weight) as weight from (select * from imp union all select * from rejected) group by 1"), lambda s, d: L.all_negatives(_neg(s, d), _rej(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight")))

@@ -277,3 +277,15 @@ def test_dense_ids_of_keys_that_share_a_prefix(spark):
     out = X.dense_ids(spark.createDataFrame([(k,) for k in keys], "k string"), "k", "i", parts=7).collect()
     assert {r["k"]: r["i"] for r in out} == {f"imp{i:04d}": i + 1 for i in range(500)} and len(out) == 500
     assert X.dense_ids(spark.createDataFrame([], "k string"), "k", "i").count() == 0
+
+
+def test_rejected_candidates_by_hand(spark):
+    many = ",".join(f'{{"product_id": "m{i}"}}' for i in range(60))
+    rows = [
+        ("i1", "u1", '{"rejected_candidate_items": [{"product_id": "p1"}, {"product_id": "p1"}, {"product_id": "p2"}, "p3", {"product_id": " "}, {}]}'), ("i2", "u1", '{"rejected_candidate_items": [{"product_id": "p2"}]}'),
+        ("i3", "u2", f'{{"rejected_candidate_items": [{many}]}}'), ("i4", "u3", '{"rejected_candidate_items": "p1"}'), ("i5", "u3", None), ("i6", "u3", "{"),
+    ]
+    liked = spark.createDataFrame([("i1", "u1", "p2")], "impression_id string, user_id string, product_id string")
+    got = L.rejected_negatives(spark.createDataFrame(rows, "impression_id string, user_id string, context string"), liked).collect()
+    assert sorted((r["user_id"], r["product_id"]) for r in got if r["user_id"] == "u1") == [("u1", "p1"), ("u1", "p2")]  # p2 of the other impression
+    assert {r["product_id"] for r in got if r["user_id"] == "u2"} == {f"m{i}" for i in range(50)} and len(got) == 52 and {(r["weight"], r["exposed"]) for r in got} == {(0.15, False)}
