@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fxlake.functions.scalars import stable_hash_bucket
 from fxlake.operators.candidates import dot, l2_normalize
 from fxlake.operators.windows import POSITIVE
 
@@ -68,22 +69,35 @@ def sample_negatives(positives: DataFrame, external: DataFrame, quotas: dict[str
     return once.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= quota).drop("rn")
 
 
+def last_positive(rows: DataFrame, events: DataFrame, n: int, bucket_seconds: int = 86400) -> DataFrame:
+    """(row_id, action, i, past, event_time): the last n products of each positive action before a row's time, strictly.
+    i numbers a user's events of an action by event_time and event_id.
+
+    Events and rows are ordered together, first inside a time bucket, then over buckets, so a hot user is spread over
+    its buckets. A row meets the one or two blocks of n numbered events that hold its last n, not the whole history.
+    """
+    e = events.where(F.col("action").isin(*POSITIVE)).select("user_id", "action", F.col("event_time").alias("t"), "event_id", F.col("product_id").alias("past"), F.lit(1).alias("event"))
+    each = rows.select("row_id", "user_id", F.col("as_of").alias("t"), F.explode(F.array(*map(F.lit, POSITIVE))).alias("action"), F.lit(0).alias("event"))
+    both = e.unionByName(each, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("t") / bucket_seconds))
+    keys = ["user_id", "action", "bucket"]
+    # the number of events up to here; at equal times rows come first
+    inside = F.sum("event").over(Window.partitionBy(*keys).orderBy("t", "event", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("n").over(Window.partitionBy("user_id", "action").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = both.groupBy(*keys).agg(F.sum("event").alias("n")).select(*keys, F.coalesce(before, F.lit(0)).alias("start"))
+    counted = both.withColumn("inside", inside).join(starts, keys).withColumn("c", F.col("start") + F.col("inside"))
+    # the last n of them lie in one or two blocks of n events
+    block = lambda i: F.floor(i / n)
+    numbered = counted.where("event = 1").select("user_id", "action", "past", F.col("t").alias("event_time"), (F.col("c") - 1).alias("i")).withColumn("block", block(F.col("i")))
+    asked = counted.where("event = 0 and c > 0").select("row_id", "user_id", "action", "c")
+    asked = asked.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("c") - n, F.lit(0))), block(F.col("c") - 1))))
+    near = asked.join(numbered, ["user_id", "action", "block"]).where((F.col("i") < F.col("c")) & (F.col("i") >= F.col("c") - n))
+    return near.select("row_id", "action", "i", "past", "event_time")
+
+
 def history_embeddings(rows: DataFrame, events: DataFrame, embeddings: DataFrame, n: int = 20) -> DataFrame:
     """Per row and positive action: count, coverage and dot product with the candidate of the scaled mean of the last n
     earlier products' unit vectors. Earlier means strictly before the row's time."""
-    e = events.where(F.col("action").isin(*POSITIVE)).select("user_id", "action", "event_time", "event_id", F.col("product_id").alias("past"))
-    own = Window.partitionBy("user_id", "action").orderBy("event_time", "event_id")
-    e = e.withColumn("i", F.row_number().over(own) - 1)
-    each = rows.select("row_id", "user_id", "as_of", F.explode(F.array(*map(F.lit, POSITIVE))).alias("action"))
-    # the number of events before a row, by one ordered pass over both; at equal times rows come first
-    none = F.lit(None).cast(rows.schema["row_id"].dataType)
-    both = each.select("user_id", "action", F.col("as_of").alias("t"), "row_id", F.lit(0).alias("event")).unionByName(e.select("user_id", "action", F.col("event_time").alias("t"), none.alias("row_id"), F.lit(1).alias("event")))
-    before = F.sum("event").over(Window.partitionBy("user_id", "action").orderBy("t", "event").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = both.withColumn("c", before).where("event = 0 and c > 0").select("row_id", "user_id", "action", "c")
-    # the last n of them lie in one or two blocks of n events
-    block = lambda i: F.floor(i / n)
-    blocks = counted.withColumn("block", F.explode(F.sequence(block(F.greatest(F.col("c") - n, F.lit(0))), block(F.col("c") - 1))))
-    last = blocks.join(e.select("user_id", "action", "i", "past", block(F.col("i")).alias("block")), ["user_id", "action", "block"]).where((F.col("i") < F.col("c")) & (F.col("i") >= F.col("c") - n))
+    last = last_positive(rows, events, n)
     unit = embeddings.select(F.col("product_id").alias("past"), l2_normalize(F.col("vector")).alias("v"))
     candidate = rows.select("row_id", F.col("product_id").alias("past")).join(unit, "past", "left").select("row_id", F.col("v").alias("c"))
     known = last.select("row_id", "action", "past").join(unit, "past", "left").join(candidate, "row_id", "left")
@@ -93,10 +107,52 @@ def history_embeddings(rows: DataFrame, events: DataFrame, embeddings: DataFrame
     return out.select("row_id", "action", "n", F.round(F.col("with_vector") / F.col("n"), 6).alias("coverage"), F.round(scale * F.col("m"), 6).alias("match"))
 
 
-def user_encoding(features: DataFrame) -> DataFrame:
-    """Five of the ten bounded numbers of a user for a two-tower model (M14)."""
-    log = lambda c, top: F.round(F.least(F.lit(1.0), F.log1p(F.col(c)) / top), 6)
-    return features.select("user_id", log("total_interactions", 10).alias("f0"), log("views", 10).alias("f1"), log("clicks", 10).alias("f2"), log("purchases", 10).alias("f3"), F.round(F.least(F.lit(1.0), F.col("avg_session_length") / 100), 6).alias("f4"))
+def user_encoding(users: DataFrame, now: float) -> DataFrame:
+    """(user_id, side): ten numbers of a user for a two-tower model. Nulls and missing columns have the defaults below; a
+    user without a last activity was active now."""
+    get = lambda name, default: F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in users.columns else F.lit(default)
+    flag = lambda test: F.when(test, 1.0).otherwise(0.0)
+    total, ctr, cvr = get("total_interactions", 0.0), get("click_through_rate", 0.0), get("conversion_rate", 0.0)
+    categories = F.coalesce(F.array_size("preferred_categories"), F.lit(0)) if "preferred_categories" in users.columns else F.lit(0)
+    hours = F.greatest((F.lit(now) - get("last_active", now)) / 3600, F.lit(0.0))
+    numbers = [F.log1p(total), get("avg_session_length", 0.0) / 3600, get("price_sensitivity", 0.5), ctr, cvr, categories / 10, F.least(hours / 720, F.lit(1.0)), flag(total > 100), flag(cvr > 0.05), flag(ctr > 0.1)]
+    return users.select("user_id", F.array(*[F.nanvl(x.cast("float"), F.lit(0.0).cast("float")) for x in numbers]).alias("side"))
+
+
+def item_encoding(products: DataFrame, now: float) -> DataFrame:
+    """(product_id, side): eight numbers of a product for a two-tower model; category and brand by hash bucket."""
+    get = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in products.columns else F.lit(default)
+    tags = F.coalesce(F.array_size("tags"), F.lit(0)) if "tags" in products.columns else F.lit(0)
+    age = F.greatest((F.lit(now) - get("created_at", now)) / 86400, F.lit(0.0))
+    bucket = lambda name, n: stable_hash_bucket(get(name, "unknown"), n) / n
+    numbers = [F.log1p(get("price", 0.0)), get("rating", 3.0) / 5, F.log1p(get("num_reviews", 0)), F.when(get("in_stock", True), 1.0).otherwise(0.0), F.least(age / 365, F.lit(1.0)), tags / 10, bucket("category", 64), bucket("brand", 128)]
+    return products.select("product_id", F.array(*[F.nanvl(x.cast("float"), F.lit(0.0).cast("float")) for x in numbers]).alias("side"))
+
+
+#: Weight of a sample by action; actions without an entry weigh 1.
+SAMPLE_WEIGHTS = {"view": 1.0, "click": 2.0, "add_to_cart": 3.0, "purchase": 5.0, "favorite": 2.5, "share": 1.5}
+
+
+def two_tower_tables(events: DataFrame, products: DataFrame, embeddings: DataFrame, users: DataFrame, negatives: DataFrame, dim: int, now: float, weights: dict[str, float] = SAMPLE_WEIGHTS) -> dict[str, DataFrame]:
+    """What a two-tower model trains on. `users`: number and side numbers of every user of events and negatives; `items`:
+    number, vector and side numbers of every product of events, negatives and catalog (zeros without a vector of `dim`
+    numbers, defaults without a catalog row); `samples`: (user, item, weight) of each event; `negatives`: theirs, by number.
+    Numbers are dense, from 1, in the order of ids; rows without user or product are passed over."""
+    known = lambda df: df.where("coalesce(user_id, '') <> '' and coalesce(product_id, '') <> ''")
+    e, neg = known(events), known(negatives)
+    user_ids = dense_ids(e.select("user_id").union(neg.select("user_id")), "user_id", "user")
+    item_ids = dense_ids(e.select("product_id").union(neg.select("product_id")).union(products.select("product_id")), "product_id", "item")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    vectors = embeddings.where(F.size("vector") == dim).select("product_id", F.col("vector").cast("array<float>").alias("v"))
+    facts = item_encoding(item_ids.select("product_id").join(products, "product_id", "left"), now)
+    items = item_ids.join(vectors, "product_id", "left").join(facts, "product_id").select("item", "product_id", F.coalesce("v", zeros).alias("vector"), "side")
+    sides = user_encoding(user_ids.select("user_id").join(users, "user_id", "left"), now)
+    weight = reduce(lambda tail, x: F.when(F.col("action") == x[0], F.lit(x[1])).otherwise(tail), weights.items(), F.lit(1.0))
+    number = lambda df: df.join(user_ids, "user_id").join(item_ids, "product_id")
+    return {
+        "users": user_ids.join(sides, "user_id").select("user", "user_id", "side"), "items": items,
+        "samples": number(e).select("user", "item", weight.alias("weight")), "negatives": number(neg).select("user", "item", *[c for c in neg.columns if c not in ("user_id", "product_id")]),
+    }
 
 
 def missing_artifacts(jobs: DataFrame, artifacts: DataFrame, schema: int) -> DataFrame:

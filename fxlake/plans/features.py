@@ -72,11 +72,50 @@ dots as (select k.row_id, k.action, avg(list_sum(list_transform(list_zip(k.v, c.
 select row_id, action, n, round(k / n, 6) as coverage, round(case action when 'click' then 1.0::double when 'add_to_cart' then 1.25::double else 1.75::double end * m, 6) as match from counts left join dots using (row_id, action)"""),
     lambda s, d: X.history_embeddings(_history_rows(s, d), interactions(s, d), table(s, d, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("product_id"), F.col("embedding").alias("vector"))),
 )
+_numbers = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 10_000).cast("bigint").cast("string")), ",")
+_list = lambda parts: f"array_to_string(list_transform([{', '.join(f'({p})::double' for p in parts)}], lambda x: round(x::float::double * 10000)::bigint), ',')"
+_flag = lambda test: f"case when {test} then 1 else 0 end"
+_bucket = lambda c, n: f"(('0x' || substr(sha256({c}), 1, 16))::uhugeint % {n})::int / {n}"
+_USERS = f"""seen as (select user_id, count(distinct product_category) filter (where trim(coalesce(product_category, '')) <> '') as k from interactions group by 1),
+g as (select user_id, count(*) as t, count(*) filter (where action = 'view') as v, count(*) filter (where action = 'click') as c, count(*) filter (where action = 'purchase') as p, round(coalesce(avg(session_length), 0), 6) as m, max(event_time) as last from interactions group by 1),
+r as (select *, round(least(1.0::double, c / greatest(v, 1)::double), 6) as ctr, round(least(1.0::double, p / greatest(c, 1)::double), 6) as cvr from g join seen using (user_id)),
+user_sides as (select user_id, {_list(["ln(1 + t)", "m / 3600", "0.5", "ctr", "cvr", "least(k, 10) / 10", f"least(1, greatest(0, ({NOW} - last) / 3600) / 720)", _flag("t > 100"), _flag("cvr > 0.05"), _flag("ctr > 0.1")])} as side from r)"""
+_ITEMS = f"item_sides as (select product_id, {_list(['ln(1 + price)', 'rating / 5', 'ln(1 + num_reviews)', _flag('in_stock'), f'least(1, greatest(0, ({NOW} - created_at) / 86400) / 365)', '0', _bucket('category', 64), _bucket('brand', 128)])} as side from catalog)"
+query("user_encoding", oracle("interactions", f"{_USERS} select * from user_sides"), lambda s, d: X.user_encoding(W.user_features(interactions(s, d)), NOW).select("user_id", _numbers("side").alias("side")))
+query("item_encoding", oracle("catalog", f"{_ITEMS} select * from item_sides"), lambda s, d: X.item_encoding(catalog(s, d), NOW).select("product_id", _numbers("side").alias("side")))
+
+
+def _two_tower(spark, sf_dir) -> dict[str, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("product_id"), F.col("embedding").alias("vector"))
+    events = interactions(spark, sf_dir)
+    return X.two_tower_tables(events, catalog(spark, sf_dir), vectors, W.user_features(events), _neg(spark, sf_dir), 64, NOW)
+
+
+_NUMBERED = """tt_users as (select user_id, dense_rank() over (order by user_id) as "user" from (select user_id from interactions union select user_id from imp) where user_id <> ''),
+tt_items as (select product_id, dense_rank() over (order by product_id) as item from (select product_id from interactions union select product_id from imp union select product_id from catalog) where product_id <> '')"""
+query(
+    "two_tower_items",
+    oracle("interactions catalog slates feedback", f"""{_NEG}, {_NUMBERED}, {_ITEMS}, blank as (select {_list(["0", "3.0 / 5", "0", "1", "0", "0", _bucket("'unknown'", 64), _bucket("'unknown'", 128)])} as side)
+select item, t.product_id, array_to_string(list_transform(coalesce(embedding, list_transform(range(64), lambda x: 0)), lambda x: round(x::double * 10000)::bigint), ',') as vector, coalesce(s.side, blank.side) as side
+from tt_items t left join embeddings e on 'p' || vec_id = t.product_id left join item_sides s on s.product_id = t.product_id cross join blank"""),
+    lambda s, d: _two_tower(s, d)["items"].select("item", "product_id", _numbers("vector").alias("vector"), _numbers("side").alias("side")),
+)
+query(
+    "two_tower_users",
+    oracle("interactions slates feedback catalog", f"""{_NEG}, {_NUMBERED}, {_USERS}, blank as (select {_list(["0", "0", "0.5", "0", "0", "0", "0", "0", "0", "0"])} as side)
+select "user", t.user_id, coalesce(s.side, blank.side) as side from tt_users t left join user_sides s on s.user_id = t.user_id cross join blank"""),
+    lambda s, d: _two_tower(s, d)["users"].select("user", "user_id", _numbers("side").alias("side")),
+)
+query(
+    "two_tower_samples",
+    oracle("interactions slates feedback catalog", f"""{_NEG}, {_NUMBERED} select "user", item, case action when 'click' then 2.0 when 'add_to_cart' then 3.0 when 'purchase' then 5.0 else 1.0 end::double as weight
+from interactions join tt_users using (user_id) join tt_items using (product_id)"""),
+    lambda s, d: _two_tower(s, d)["samples"],
+)
 query(
-    "user_encoding",
-    oracle("interactions", f"""g as (select user_id, count(*) as t, count(*) filter (where action = 'view') as v, count(*) filter (where action = 'click') as c, count(*) filter (where action = 'purchase') as p, avg(session_length) as m from interactions group by 1)
-select user_id, {', '.join(f"round(least(1.0::double, ln(1 + {x}) / 10), 6) as f{i}" for i, x in enumerate("tvcp"))}, round(least(1.0::double, m / 100), 6) as f4 from g"""),
-    lambda s, d: X.user_encoding(interactions(s, d).groupBy("user_id").agg(F.count("*").alias("total_interactions"), *[F.count_if(F.col("action") == a).alias(n) for a, n in (("view", "views"), ("click", "clicks"), ("purchase", "purchases"))], F.avg("session_length").alias("avg_session_length"))),
+    "two_tower_negatives",
+    oracle("interactions slates feedback catalog", f"""{_NEG}, {_NUMBERED} select "user", item, imp.source, 0.25::double as weight, true as exposed from imp join tt_users using (user_id) join tt_items using (product_id)"""),
+    lambda s, d: _two_tower(s, d)["negatives"],
 )
 query(
     "missing_artifacts",

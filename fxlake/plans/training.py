@@ -131,3 +131,19 @@ from base where reason is null"""),
         F.when(F.col("attributed_action") != "view", F.col("attributed_action")),
     ).alias("bundle_hash")),
 )
+
+
+def _chosen(spark, sf_dir) -> DataFrame:
+    """Point-in-time rows, four of five of which have a sequence, against a coverage of three quarters."""
+    n = F.substring_index("observation_id", ":", 1).cast("long")
+    rows = pit_base(spark, sf_dir).where("reason is null").withColumn("has_sequence", n % 5 != 0)
+    kept, reason = T.choose_training_rows(rows, slates(spark, sf_dir), interactions(spark, sf_dir), 10, 0.75)
+    return kept.select("observation_id", "has_sequence", F.lit(reason).alias("reason"))
+
+
+query(
+    "choose_training_rows",
+    oracle("interactions observations item_history", f"""{_BASE}, k as (select observation_id, split_part(observation_id, ':', 1)::bigint % 5 <> 0 as has_sequence from base where reason is null)
+select *, 'point_in_time' as reason from k where (select count(*) >= 10 and avg(has_sequence::int) >= 0.75 from k)"""),
+    _chosen,
+)
