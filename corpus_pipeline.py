@@ -13,17 +13,18 @@ from fxlake.llm.common import materialize, read_table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold."""
+    """Documents whose score reaches the threshold. Null and empty texts have one score, so they stay or go together;
+    rows that repeat an id are scored each by its text."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that stand elsewhere. A document all of whose lines do goes; n_chars is counted anew."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, counts=("__n_lines", "__n_dropped"))
     left = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    out = out.where(left | (F.col("n_dropped") == 0))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.where(left | (F.col("__n_dropped") == 0))
+    return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,15 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Rows without an id and without text stay; rows that repeat an id go
+    together if one of them has a passage."""
     found = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids (little-endian unsigned 32-bit) and whether they decode to the text."""
+    """doc_id, n_tokens, token_ids (little-endian unsigned 32-bit) and whether they decode to the text, for every row; a
+    null text is an empty one."""
     path, pattern = bpe.default_vocabulary()
     ranks = bpe.read_ranks(spark, path)
     both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
@@ -61,7 +64,8 @@ STAGES = [
     ("tokens", tokenize),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier and the tokenizer are beyond SQL. Tests: `near_duplicates` against brute force over all pairs, `quality`
+#: against its operator's scores, `lines` against hand cases, `tokens` by round trip, every stage on the edge table.
 ORACLE_SQL = None
 
 
