@@ -2,14 +2,17 @@
 
 A template is aligned with a stretch of text: words that are unique in both are matched, the longest increasing
 subsequence of their places are anchors, and the gaps between anchors (and the text near the outer ones) are
-aligned in the same way, down to common prefixes and suffixes. The share of the template's words that are matched
-is its coverage; a stretch with coverage of at least 0.8 is a find.
+aligned in the same way, down to common prefixes and suffixes. A gap without unique words takes all pairs of equal
+words, whose longest increasing subsequence is the gap's longest common subsequence. The share of the template's
+words that are matched is its coverage; a stretch of at most SPREAD template lengths with coverage of at least 0.8 is a find.
 
 A text is only aligned with templates of whose words, each counted as often as the template has it, it knows at
-least 0.8 (fewer can't reach that coverage). Words of the template cut it into regions; within a region, windows of one and a half template lengths,
-half a length apart, are aligned, so that repeated notices are each found. Of overlapping finds of a template the
-one with the highest coverage stays (the first, among equals). Null and empty texts have no find; templates without words never match.
-Texts are read whole; repeated rows get equal results.
+least 0.8 (fewer can't reach that coverage). Words that the template doesn't have can't match, so windows are cut over
+the others alone: any number of foreign words may stand between two words of a find, as long as the whole stretch
+keeps to SPREAD. Windows of one and a half template lengths, half a length apart, find repeated notices each; where a
+text repeats the template's own words in between, windows of three lengths do. Of overlapping finds of a template the
+one with the highest coverage stays (the first, among equals); templates that are like each other are each found.
+Null and empty texts have no find; templates without words never match. Texts are read whole; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from fxlake.llm.common import bounded_batches, read_table, text_or_empty
 from fxlake.llm.license_texts import NOTICES
 
 COVERAGE = 0.8
-#: Words of text that may stand between two words of one find.
-SLACK = 6
+#: Template lengths that a find may stretch over, foreign words included.
+SPREAD = 3
+#: Lengths of windows, in template lengths, over the words that the template has.
+WINDOWS = (1.5, 3)
 _WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -53,6 +58,15 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _common(text: list[str], a: int, b: int, template: list[str], c: int, d: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: increasing among all pairs of equal words, a word's later places first."""
+    there: dict[str, list[int]] = {}
+    for j in range(d - 1, c - 1, -1):
+        there.setdefault(template[j], []).append(j)
+    pairs = [(i, j) for i in range(a, b) for j in there.get(text[i], ())]
+    return [pairs[k] for k in increasing([j for _, j in pairs])]
+
+
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Matched places (in the text, in the template), increasing in both."""
     out: list[tuple[int, int]] = []
@@ -69,19 +83,30 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             continue
         once = {w for w, n in Counter(text[a:b]).items() if n == 1} & {w for w, n in Counter(template[c:d]).items() if n == 1}
         if not once:
+            out += _common(text, a, b, template, c, d)
             continue
         at = {text[i]: i for i in range(a, b) if text[i] in once}
         pairs = [(at[template[j]], j) for j in range(c, d) if template[j] in once]
         anchors = [pairs[k] for k in increasing([i for i, _ in pairs])]
         out += anchors
-        reach = lambda n: 2 * n + SLACK  # noqa: E731  an open end only looks near its anchor
         first, last = anchors[0], anchors[-1]
-        todo.append((max(a, first[0] - reach(first[1] - c)) if open_left else a, first[0], c, first[1], open_left, False))
-        todo.append((last[0] + 1, min(b, last[0] + 1 + reach(d - last[1] - 1)) if open_right else b, last[1] + 1, d, False, open_right))
+        todo.append((a, first[0], c, first[1], open_left, False))
+        todo.append((last[0] + 1, b, last[1] + 1, d, False, open_right))
         todo += [(i + 1, k, j + 1, m, False, False) for (i, j), (k, m) in zip(anchors, anchors[1:], strict=False)]
     return sorted(out)
 
 
+def _densest(places: list[int], most: int) -> tuple[int, int]:
+    """[first, end) of the most places that lie within `most` words of text, the first such."""
+    best, low = (0, 0), 0
+    for high in range(1, len(places) + 1):
+        while places[high - 1] - places[low] >= most:
+            low += 1
+        if high - low > best[1] - best[0]:
+            best = (low, high)
+    return best
+
+
 def scan_text(words: list[str], templates: dict[str, tuple[list[str], Counter[str]]]) -> list[tuple[str, float, int, int]]:
     """(template, coverage, first word, last word) of each find."""
     have, out = set(words), []
@@ -90,23 +115,21 @@ def scan_text(words: list[str], templates: dict[str, tuple[list[str], Counter[st
         if not template or sum(counts[w] for w in have & counts.keys()) < least:
             continue
         places = [i for i, w in enumerate(words) if w in counts]
+        own = [words[i] for i in places]
         finds = []
-        start = 0
-        for k in range(1, len(places) + 1):
-            if k < len(places) and places[k] - places[k - 1] <= SLACK:
-                continue
-            low, high = places[start], places[k - 1] + 1
-            start = k
-            size, step = max(2, len(template) * 3 // 2), max(1, len(template) // 2)
-            for at in range(low, max(low + 1, high - size + step), step):
-                part = words[at : min(high, at + size)]
-                if sum(counts[w] for w in counts.keys() & set(part)) < least:
+        step = max(1, len(template) // 2)
+        for size in (max(2, int(len(template) * times)) for times in WINDOWS):
+            for at in range(0, max(1, len(own) - size + step), step):
+                part = own[at : at + size]
+                # as often as the template has them: more can't match
+                if sum((Counter(part) & counts).values()) < least:
                     continue
-                pairs = align(part, template)
-                if len(pairs) >= least:
-                    finds.append((len(pairs) / len(template), -(at + pairs[0][0]), at + pairs[-1][0]))
+                matched = [places[at + i] for i, _ in align(part, template)]
+                first, end = _densest(matched, SPREAD * len(template))
+                if end - first >= least:
+                    finds.append(((end - first) / len(template), -matched[first], matched[end - 1]))
         taken: list[tuple[int, int]] = []
-        for coverage, first, last in sorted(finds, key=lambda f: (-f[0], -f[1], f[2])):
+        for coverage, first, last in sorted(finds, key=lambda f: (-f[0], f[2] + f[1], -f[1], f[2])):
             if all(last < s or -first > e for s, e in taken):
                 taken.append((-first, last))
                 out.append((name, coverage, -first, last))

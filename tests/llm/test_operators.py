@@ -448,6 +448,55 @@ def test_edited_long_notices():
         assert len(found) == 1 and 0.8 <= len(left) / len(words) < 0.89 and found[0][1] == len(left) / len(words)
 
 
+def _templates():
+    return {name: (words, licenses.Counter(words)) for name, n in licenses.NOTICES.items() if (words := licenses.words_of(n))}
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            row[j], left = (left + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def test_insertions_of_any_length_are_found():
+    """Foreign words and words of the template itself, inserted at one place or at several."""
+    rng, templates = random.Random(21), _templates()
+    for n in (1, 5, 6, 7, 10, 20, 40):
+        for name, (words, counts) in templates.items():
+            if len(words) < 30:
+                continue
+            for foreign in (True, False):
+                if not foreign and n > len(words) // 4:
+                    continue
+                text = list(words)
+                for _ in range(1 if n % 2 else 2):
+                    at = rng.randrange(1, len(text))
+                    text[at:at] = [f"z{i}" if foreign else rng.choice(words) for i in range(n // (1 if n % 2 else 2))]
+                found = [f for f in licenses.scan_text(["code"] * 9 + text + ["code"] * 9, templates) if f[0] == name]
+                assert len(found) == 1, (n, name, foreign)
+                assert found[0][1] >= _lcs(text, words) / len(words) - (0 if foreign else 0.05)
+
+
+def test_replaced_words_against_the_longest_common_subsequence():
+    rng, templates = random.Random(22), _templates()
+    words = templates["MIT text"][0]
+    for _ in range(100):
+        text = list(words)
+        for i in rng.sample(range(len(words)), 30):
+            text[i] = rng.choice(("zz", rng.choice(words)))
+        expected = _lcs(text, words) >= licenses.COVERAGE * len(words)
+        assert expected == any(f[0] == "MIT text" for f in licenses.scan_text(text, templates))
+
+
+def test_scattered_words_are_no_notice():
+    words = licenses.words_of(licenses.NOTICES["ISC text"])
+    far = [x for w in words for x in (w, "z", "z", "z")]  # four times as long
+    assert not [f for f in licenses.scan_text(far, _templates()) if f[0] == "ISC text"]
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -614,6 +663,44 @@ def test_pipeline(spark):
     assert last.where("not round_trip").count() == 0 and last.count() == docs.count()
 
 
+def test_every_stage_takes_the_edge_table(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names; and the same table without rows."""
+    import corpus_pipeline
+
+    clash = ("score", "n_lines", "n_dropped", "kept", "component_id", "n_tokens", "fold", "quality", "id", "text_b")
+    docs = spark.createDataFrame(EDGE, SCHEMA).select("doc_id", "text", F.lit("s").alias("source"), F.lit("en").alias("lang"), F.char_length("text").alias("n_chars"), *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "tokens":
+            assert len(rows) == len(EDGE) and all(r["round_trip"] for r in rows)
+        else:
+            assert out.columns == docs.columns and all(r[c] == i for r in rows for i, c in enumerate(clash))
+            assert {r["doc_id"] for r in rows} <= {e[0] for e in EDGE}
+            if name != "quality":
+                assert None in {r["doc_id"] for r in rows}  # rows without an id stay
+        assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_lines_stage_is_the_operator(spark, docs):
+    """Of brute force over equal lines, each line stays once; no document goes that has a line left."""
+    import corpus_pipeline
+
+    rows = [(1, "the quick brown fox jumps\nonly here"), (2, "The quick, brown fox jumps!"), (3, "the quick brown fox jumps\nand this one too")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.char_length("text"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 3: ("and this one too", 16)}
+
+
+def test_quality_stage_is_the_threshold(spark):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score(docs, quality.fit(docs, labels), out="q")
+    want = {r["doc_id"] for r in scored.collect() if r["q"] >= quality.THRESHOLD}
+    assert {r["doc_id"] for r in corpus_pipeline.reject_low_quality(spark, docs, SF).collect()} == want
+
+
 def test_pipeline_drops_copies_at_four_fifths(spark):
     import corpus_pipeline
 
