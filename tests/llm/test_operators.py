@@ -302,6 +302,47 @@ def test_short_edited_passages_are_found(spark):
     assert all(r["doc_a"] // 2 == r["doc_b"] // 2 for r in got) and len({r["doc_a"] for r in got}) >= 0.9 * n
 
 
+def test_edited_passages_beside_equal_ones():
+    rng = random.Random(16)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    equal, edited = text(70), text(60)
+    other = [*edited[:30], "changed", *edited[31:]]
+    one, two = text(20) + equal + text(30) + edited + text(9), text(5) + equal + text(40) + other + text(7)
+    got = passages.passages_between(passages.Sorted(" ".join(one)), passages.Sorted(" ".join(two)), [(120, 145, -5), (20, 86, -15)])
+    assert [(f[0], f[2], f[1] - f[0] + 4) for f in got] == [(20, 5, 70), (120, 115, 60)] and got[0][4] == 1 and 0.8 <= got[1][4] < 1
+
+
+@pytest.mark.parametrize("most", [1, 97, 5000, 1 << 21])
+def test_equal_runs_don_t_depend_on_slices(monkeypatch, most):
+    """Repeated tokens: all maximal equal runs of brute force, whatever the matches held at a time."""
+    monkeypatch.setattr(passages, "SLICE_MATCHES", most)
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(3)}" for _ in range(60)]
+    shared = [f"s{i}" for i in range(55)]
+    one, two = (" ".join([*words, *shared, *words, *extra]) for extra in (["x"], words))
+    a, b = (passages.Sorted(t).elements for t in (one, two))
+    want = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= passages.MIN_ELEMENTS:
+                    want.add((i, i + n, j, j + n, 1.0))
+    got = passages.equal_runs(passages._matches_by_slices(a, b, np.argsort(b, kind="stable")))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1
+
+
+def test_long_texts_of_repeated_tokens_keep_their_equal_run():
+    rng = random.Random(18)
+    noise = lambda n: [f"w{rng.randrange(2)}" for _ in range(n)]
+    shared = [f"s{i}" for i in range(60)]
+    for n in (2000, 3000):
+        one, two = (passages.Sorted(" ".join(["w0 w1"] * (n // 2) + shared + noise(50))) for _ in range(2))
+        assert any(f[1] - f[0] >= 56 and f[0] <= n and f[1] >= n + 56 for f in passages.passages_between(one, two, [(0, 50, 2)]))
+
+
 def test_passages_of_repeated_ids(spark):
     rng = random.Random(15)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
