@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fxlake.llm.common import bounded_batches, read_table, text_or_empty
+from fxlake.llm.common import bounded_batches, materialize, read_table, release, text_or_empty
 
 FOLDS = 5
 
@@ -117,17 +118,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[np.n
     return w, means, scales
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int, limit_bytes: int, text: str) -> list[tuple[int, str]]:
-    """(quality, text) of at most `rows` labelled rows, those of the smallest hashes of doc_id, and of these the first
-    whose texts fit into `limit_bytes`. Ids and sizes are chosen before a text leaves its task; of the texts of a
-    repeated id the shortest counts."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def _samples(docs: DataFrame, parts: dict[str, tuple[DataFrame, int]], limit_bytes: int, text: str) -> dict[str, list[tuple[int, str]]]:
+    """(quality, text) of each part's sample. A part is (labelled rows, most rows): those of the smallest hashes of doc_id,
+    and of these the first whose texts fit into `limit_bytes`. Ids and sizes are chosen before a text leaves its task; of
+    the texts of a repeated id the shortest counts. All parts share one scan for the sizes and one for the texts."""
+    chosen = reduce(DataFrame.unionByName, [labels.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("part", F.lit(part)) for part, (labels, rows) in parts.items()])
     texts = docs.select("doc_id", text_or_empty(text).alias("text"))
-    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))).alias("t"))
-    running = F.sum("t.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `rows` rows at most
-    fitting = sized.withColumn("total", running).where(F.col("total") <= limit_bytes).select("doc_id", "quality", F.col("t.hash").alias("hash"))
-    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "hash"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    return [(row.quality, row.text) for row in sorted(found.collect(), key=lambda r: r.doc_id)]
+    keys = ["part", "doc_id", "quality"]
+    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy(*keys).agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))).alias("t"))
+    running = F.sum("t.size").over(Window.partitionBy("part").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over a part's rows at most
+    fitting = sized.withColumn("total", running).where(F.col("total") <= limit_bytes).select(*keys, F.col("t.hash").alias("hash"))
+    fitting = materialize(fitting, "quality-sample")
+    found = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(fitting), ["doc_id", "hash"]).groupBy(*keys).agg(F.min("text").alias("text"))
+    out: dict[str, list[tuple[int, str]]] = {part: [] for part in parts}
+    for row in sorted(found.collect(), key=lambda r: r.doc_id):
+        out[row.part].append((row.quality, row.text))
+    release(fitting, shuffles=False)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), text: str = "text") -> Model:
@@ -138,8 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.withColumn("fold", fold(F.col("doc_id")))
     words = known.where(F.col("fold").between(1, 3))
-    texts = {q: [t for _, t in _sample(docs, words.where(F.col("quality") == q).drop("fold"), settings.rows, settings.sample_bytes, text)] for q in (0, 1)}
-    calibration = _sample(docs, known.where("fold = 4").drop("fold"), settings.calibration_rows, settings.sample_bytes, text)
+    parts = {"bad": (words.where("quality = 0"), settings.rows), "good": (words.where("quality = 1"), settings.rows), "calibration": (known.where("fold = 4"), settings.calibration_rows)}
+    samples = _samples(docs, parts, settings.sample_bytes, text)
+    texts = {q: [t for _, t in samples[part]] for q, part in ((0, "bad"), (1, "good"))}
+    calibration = samples["calibration"]
     seen = Counter(line for group in texts.values() for t in group for line in set(t.split("\n")))
     labelled = [q for q, _ in calibration] or [q for q in texts for _ in texts[q]]
     prior = float(np.mean(labelled)) if labelled else 0.5

@@ -87,9 +87,11 @@ def test_flat_token_files(spark, tmp_path):
 def test_sample_is_bounded_before_texts_are_collected(spark):
     docs = spark.createDataFrame([(i, "é" * 50) for i in range(20)] + [(0, "longer " * 50), (0, "é" * 50)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
-    assert len(quality._sample(docs, labels, 100, 1 << 20, "text")) == 20
-    assert [t for _, t in quality._sample(docs, labels, 100, 350, "text")] == ["é" * 50] * 3  # bytes, not characters
-    assert len(quality._sample(docs, labels, 7, 1 << 20, "text")) == 7
+    sample = lambda rows, most: quality._samples(docs, {"one": (labels, rows), "odd": (labels.where("quality = 1"), 5)}, most, "text")
+    assert len(sample(100, 1 << 20)["one"]) == 20
+    assert [t for _, t in sample(100, 350)["one"]] == ["é" * 50] * 3  # bytes, not characters
+    assert len(sample(7, 1 << 20)["one"]) == 7
+    assert len(sample(7, 1 << 20)["odd"]) == 5 and len(sample(7, 350)["odd"]) == 3  # each part has the bounds to itself
 
 
 # ---------------------------------------------------------------- 3
