@@ -12,13 +12,14 @@ from pyspark.sql.types import StringType
 
 #: The parts of a request's context that are kept with an impression.
 CONTEXT_KEYS = ("session_id", "surface", "device", "time_of_day", "location", "priority", "demo_mode", "content_id", "category", "request_category", "recommendation_count")
-#: Keyword lists of categories.
+#: The words by which a text names a category.
 CATEGORY_WORDS = {
-    "electronics": ("phone", "laptop", "camera", "tablet", "headphones"),
-    "fashion": ("dress", "shirt", "shoes", "jacket", "bag"),
-    "beauty": ("makeup", "skin", "lipstick", "cream"),
-    "home": ("kitchen", "sofa", "lamp", "chair"),
-    "sports": ("fitness", "yoga", "running", "ball"),
+    "electronics": ("electronics", "phone", "smartphone", "headphone", "headphones", "earbud", "earbuds", "laptop", "camera", "tablet", "speaker", "手機", "耳機", "筆電", "電腦", "电脑", "相機", "相机", "平板", "音響"),
+    "fashion": ("clothing", "shirt", "dress", "shoes", "sneakers", "jacket", "bag", "watch", "jewelry", "衣服", "上衣", "洋裝", "连衣裙", "鞋", "球鞋", "外套", "包包", "手錶", "手表", "珠寶", "珠宝"),
+    "home": ("furniture", "kitchen", "home decor", "sofa", "chair", "家具", "廚房", "厨房", "家飾", "家饰", "沙發", "沙发", "椅子"),
+    "beauty": ("cosmetics", "skincare", "perfume", "makeup", "化妝品", "化妆品", "保養", "保养", "香水", "彩妝", "彩妆"),
+    "books": ("book", "books", "novel", "書", "书", "小說", "小说"),
+    "toys": ("toy", "gaming", "game", "玩具", "遊戲", "游戏"),
 }
 
 
@@ -132,13 +133,14 @@ def has_price_mention(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike(PRICE)
 
 
-def category_scores(text: Column) -> Column:
-    """array<struct(category, score)>: min(1, 0.5 + 0.1 hits) of each category with a keyword in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def category_scores(texts: Column) -> Column:
+    """array<struct(category, score)>: min(1, 0.5 + 0.1 x the texts of the array that have a keyword of the category), for
+    each category that any text names. Null texts name none."""
+    low = F.transform(texts, lambda t: F.lower(F.coalesce(t, F.lit(""))))
     found = []
     for category, words in sorted(CATEGORY_WORDS.items()):
-        hits = reduce(Column.__add__, [F.contains(low, F.lit(w)).cast("int") for w in words])
-        found.append(F.struct(F.lit(category).alias("category"), hits.alias("hits")))
+        named = F.filter(low, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words]))  # noqa: B023
+        found.append(F.struct(F.lit(category).alias("category"), F.size(named).alias("hits")))
     kept = F.filter(F.array(*found), lambda x: x["hits"] > 0)
     return F.transform(kept, lambda x: F.struct(x["category"].alias("category"), F.round(F.least(F.lit(1.0), 0.5 + 0.1 * x["hits"]), 6).alias("score")))
 

@@ -96,15 +96,41 @@ def build_labels(rows: DataFrame) -> DataFrame:
     )
 
 
+def group_percentile(values: DataFrame, q: float, accuracy: int = 10_000) -> DataFrame:
+    """(bucket, n, clip): rows with a value and the exact q-quantile of each bucket of values(bucket, value), linear between ranks.
+
+    A sketch of bounded size brackets the rank; only distinct values inside the bracket, some 4 / accuracy of a bucket,
+    are put in order, so no task or buffer holds a bucket. What lies before is counted; a neighbour on either side covers rounding.
+    """
+    margin = 2 / accuracy
+    ends = F.percentile_approx("value", F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))), F.lit(accuracy))
+    bounds = values.groupBy("bucket").agg(ends.alias("ends")).select("bucket", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+    placed = _histogram(values).join(bounds, "bucket")
+    low, high = F.col("value") < F.col("low"), F.col("value") > F.col("high")
+    counts = placed.groupBy("bucket").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(low, F.col("k"))), F.lit(0)).alias("below"), F.max(F.when(low, F.col("value"))).alias("previous"), F.min(F.when(high, F.col("value"))).alias("next"))
+    upto = F.sum("k").over(Window.partitionBy("bucket").orderBy("value"))
+    ranked = placed.where(~low & ~high).select("bucket", "value", "k", upto.alias("upto")).join(counts, "bucket").withColumn("end", F.col("below") + F.col("upto"))
+    rank = q * (F.col("n") - 1)
+    at = lambda i: F.max(F.when((i >= F.col("end") - F.col("k")) & (i < F.col("end")), F.col("value")))
+    picked = ranked.groupBy("bucket").agg(*[F.first(c).alias(c) for c in ("n", "previous", "next")], F.first(rank).alias("rank"), at(F.floor(rank)).alias("one"), at(F.ceil(rank)).alias("two"))
+    one, two = F.coalesce("one", "previous"), F.coalesce("two", "next")
+    return picked.select("bucket", "n", (one + (two - one) * (F.col("rank") - F.floor("rank"))).alias("clip"))
+
+
+def _histogram(values: DataFrame) -> DataFrame:
+    return values.groupBy("bucket", "value").agg(F.count("*").alias("k"))
+
+
 def value_stats(values: DataFrame, least: int = 20) -> DataFrame:
     """(bucket, n, clip, mean, std): values clipped at the 99th percentile, then log1p, for each bucket with enough
-    rows and for all of them (bucket `*`)."""
-    clip = values.groupBy("bucket").agg(F.percentile("value", 0.99).alias("clip"), F.count("*").alias("n"))
-    whole = values.agg(F.percentile("value", 0.99).alias("clip"), F.count("*").alias("n")).select(F.lit("*").alias("bucket"), "clip", "n")
-    limits = clip.where(F.col("n") >= least).unionByName(whole)
-    both = values.select("bucket", "value").unionByName(values.select(F.lit("*").alias("bucket"), "value")).join(F.broadcast(limits), "bucket")  # a row a bucket
-    logged = F.log1p(F.least("value", "clip"))
-    return both.groupBy("bucket", "n").agg(F.round(F.max("clip"), 6).alias("clip"), F.round(F.avg(logged), 6).alias("mean"), F.round(F.stddev_pop(logged), 6).alias("std"))
+    rows and for all of them (bucket `*`). Null values don't count. Everything comes from counts of equal values."""
+    both = values.where("value is not null").select(F.explode(F.array("bucket", F.lit("*"))).alias("bucket"), F.col("value").cast("double").alias("value"))
+    limits = group_percentile(both, 0.99).where((F.col("n") >= least) | (F.col("bucket") == "*"))
+    apart = F.log1p(F.least("value", "clip")) - F.log1p("clip")  # from the clip, so that squares keep their digits
+    sums = _histogram(both).join(limits, "bucket").groupBy("bucket", "n", "clip").agg(F.sum(F.col("k") * apart).alias("s"), F.sum(F.col("k") * apart * apart).alias("t"))
+    mean = F.col("s") / F.col("n")
+    std = F.sqrt(F.greatest(F.col("t") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("bucket", "n", *[F.round(c, 6).alias(name) for c, name in ((F.col("clip"), "clip"), (mean + F.log1p("clip"), "mean"), (std, "std"))])
 
 
 def transform_values(values: DataFrame, stats: DataFrame) -> DataFrame:
@@ -112,7 +138,7 @@ def transform_values(values: DataFrame, stats: DataFrame) -> DataFrame:
     whole = stats.where("bucket = '*'").select(F.struct("clip", "mean", "std").alias("g"))
     own = stats.where("bucket <> '*'").select("bucket", F.struct("clip", "mean", "std").alias("s"))
     s = F.coalesce("s", "g")
-    out = values.join(F.broadcast(own), "bucket", "left").crossJoin(F.broadcast(whole))  # one row on the right
+    out = values.join(own, "bucket", "left").crossJoin(F.broadcast(whole))  # one row on the right
     z = (F.log1p(F.least(F.col("value"), s["clip"])) - s["mean"]) / F.when(s["std"] > 1e-6, s["std"]).otherwise(1.0)
     return out.select("row_id", "bucket", F.round(z, 6).alias("z"))
 
@@ -209,10 +235,11 @@ def assign_clusters(items: DataFrame, centroids: DataFrame, n: int = 1) -> DataF
     """The nearest n centroids of each item by dot product. Centroids are model-sized: their number is checked."""
     if centroids.count() > 10_000:
         raise ValueError("more centroids than may be broadcast")
-    pairs = items.crossJoin(F.broadcast(centroids.select(F.col("cluster"), F.col("vector").alias("c"))))
-    scored = pairs.select("id", "cluster", F.round(dot(F.col("vector"), F.col("c")), 6).alias("score"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "cluster")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    # one row of all centroids; an item's scores never leave its task
+    model = centroids.agg(F.collect_list(F.struct("cluster", F.col("vector").alias("c"))).alias("model"))
+    scores = F.transform("model", lambda m: F.struct((-F.round(dot(F.col("vector"), m["c"]), 6)).alias("score"), m["cluster"].alias("cluster")))
+    best = items.select("id", "vector").crossJoin(F.broadcast(model)).select("id", F.slice(F.sort_array(scores), 1, n).alias("best"))
+    return best.select("id", F.posexplode("best").alias("place", "b")).select("id", "b.cluster", (-F.col("b.score")).alias("score"), (F.col("place") + 1).alias("rank"))
 
 
 def mmr_slate(rows: DataFrame, keep: float = 0.8, k: int = 10) -> DataFrame:

@@ -20,10 +20,15 @@ def upsert_latest(target: DataFrame, new: DataFrame, keys: list[str], version: s
     return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
 
 
-def write_monthly(events: DataFrame, path: str, ts: str = "event_ts") -> None:
-    """Partitions by month of the event; repartitioned by month and a salt, so a month is several files and no task writes all months."""
-    month = F.date_format(ts, "yyyy-MM")
-    events.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("event_id"), F.lit(8))).write.mode("overwrite").partitionBy("month").parquet(path)
+def write_monthly(events: DataFrame, path: str, ts: str = "event_ts", rows_per_file: int = 5_000_000) -> None:
+    """Partitions by month of the event. A month has as many files as its counted rows need, so neither a task nor a file
+    grows with the table. Rows without a time go to the default partition."""
+    month = F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit(""))
+    files = events.groupBy(month.alias("month")).agg(F.ceil(F.count("*") / rows_per_file).alias("__files"))
+    rows = events.withColumn("month", month).join(F.broadcast(files), "month")  # a row a month
+    salt = F.pmod(F.xxhash64("event_id"), F.col("__files"))
+    total = files.agg(F.sum("__files")).first()[0] or 1
+    rows.repartition(int(total), "month", salt).drop("__files").withColumn("month", F.nullif("month", F.lit(""))).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def prune(df: DataFrame, ts: str, now: float, days: int) -> DataFrame:

@@ -1,9 +1,13 @@
 """Ranking vector blocks and two-tower inputs: hand cases."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fxlake.operators import features as X
+from fxlake.operators import learning as L
 from fxlake.operators import rankvector as V
 
 EVENT = "event_id string, user_id string, product_id string, action string, event_time double"
@@ -90,3 +94,48 @@ def test_history_block_of_an_empty_table(spark, n):
     rows, events = spark.createDataFrame([], ROW), spark.createDataFrame([], EVENT)
     vectors = spark.createDataFrame([], "product_id string, vector array<double>")
     assert V.history_block(rows, events, vectors, 4, n=n).count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
+def test_group_percentile_is_exact(spark, accuracy):
+    """Against numpy, with ties, for groups of any size, also where the sketch is coarse."""
+    rng = random.Random(5)
+    groups = {"one": [4.0], "two": [1.0, 9.0], "ties": [7.0] * 300, "mixed": [float(rng.randrange(40)) for _ in range(1000)], **{f"n{n}": [rng.random() for _ in range(n)] for n in (20, 99, 100, 101, 102, 200, 3000)}}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "bucket string, value double")
+    for q in (0.5, 0.99):
+        got = {r.bucket: (r.n, r.clip) for r in L.group_percentile(rows, q, accuracy).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            assert got[g][0] == len(vs) and abs(got[g][1] - np.quantile(vs, q)) < 1e-12, (g, q)
+
+
+def test_value_stats_of_few_and_null_values(spark):
+    rows = spark.createDataFrame([("a", 2.0)] * 20 + [("b", 5.0), ("b", None)], "bucket string, value double")
+    got = {r.bucket: (r.n, r.clip, r.std) for r in L.value_stats(rows).collect()}
+    assert got["a"] == (20, 2.0, 0.0) and got["*"][0] == 21 and "b" not in got
+
+
+def test_months_have_the_files_that_their_rows_need(spark, tmp_path):
+    from fxlake.sources import tables as T
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("event_id"), F.when(F.col("id") < 290, F.when(F.col("id") < 250, F.lit("2024-01-05")).otherwise("2024-02-05")).cast("timestamp").alias("event_ts"))
+    T.write_monthly(rows, str(tmp_path / "m"), rows_per_file=50)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "m").iterdir() if p.is_dir()}
+    assert files.keys() == {"month=2024-01", "month=2024-02", "month=__HIVE_DEFAULT_PARTITION__"} and 2 <= files["month=2024-01"] <= 5
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 300
+    T.write_monthly(rows.where("false"), str(tmp_path / "none"))
+
+
+def test_nearest_clusters_in_order(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "id long, vector array<double>")
+    centroids = spark.createDataFrame([(7, [1.0, 0.0]), (3, [0.0, 1.0]), (5, [1.0, 0.0])], "cluster int, vector array<double>")
+    got = sorted(map(tuple, L.assign_clusters(items, centroids, 2).select("id", "rank", "cluster", "score").collect()))
+    assert got == [(1, 1, 5, 1.0), (1, 2, 7, 1.0), (2, 1, 3, 0.8), (2, 2, 5, 0.6)]
+
+
+def test_categories_count_texts(spark):
+    from fxlake.functions import scalars as S
+
+    rows = [(1, ["A new PHONE and a laptop", "phone case", "a novel"]), (2, ["toy"] * 9), (3, [None, "nothing"]), (4, ["新款手機", "球鞋"]), (5, None)]
+    got = spark.createDataFrame(rows, "id long, texts array<string>").select("id", S.category_scores(F.col("texts")).alias("c")).collect()
+    assert {r.id: [tuple(x) for x in r.c or []] for r in got} == {1: [("books", 0.6), ("electronics", 0.7)], 2: [("toys", 1.0)], 3: [], 4: [("electronics", 0.6), ("fashion", 0.6)], 5: []}
