@@ -73,11 +73,16 @@ query(
 )
 _LINES = "string_split(lower(coalesce(text, '')), chr(10))"
 _HITS = " union all ".join(f"select doc_id, '{c}' as category, least(5, len(list_filter({_LINES}, lambda l: {' or '.join(f'contains(l, {chr(39)}{w}{chr(39)})' for w in words)}))) as hits from documents" for c, words in sorted(S.CATEGORY_WORDS.items()))
-_lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+
+def _lines():
+    return F.split(F.coalesce("text", F.lit("")), "\n")
+
+
 query(
     "category_scores",
     f"select doc_id, category, round(least(1.0::double, 0.5::double + 0.1::double * hits), 6) as score from ({_HITS}) where hits > 0",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.explode(S.category_scores(_lines)).alias("c")).select("doc_id", "c.category", "c.score"),
+    lambda s, d: table(s, d, "documents").select("doc_id", F.explode(S.category_scores(_lines())).alias("c")).select("doc_id", "c.category", "c.score"),
 )
 query(
     "commerce_score",
@@ -87,7 +92,7 @@ from documents join hits using (doc_id)""",
     lambda s, d: table(s, d, "documents").select(
         "doc_id",
         F.round(
-            0.4 * F.least(F.lit(1.0), F.aggregate(S.category_scores(_lines), F.lit(0.0), lambda a, x: a + F.round((x["score"] - 0.5) * 10, 0)) / 10)
+            0.4 * F.least(F.lit(1.0), F.aggregate(S.category_scores(_lines()), F.lit(0.0), lambda a, x: a + F.round((x["score"] - 0.5) * 10, 0)) / 10)
             + F.when(S.has_price_mention(F.col("text")), 0.1).otherwise(0.0), 6,
         ).alias("commerce"),
     ),

@@ -1,6 +1,9 @@
 """Hand-made cases of the core operators, and the SQL twins on the smallest tables."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -47,6 +50,12 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_without_a_session():
+    """The driver reads the registry before it starts a session."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__spark_entry__.__file__).parent, check=True, timeout=120)
+
+
 HISTORY = "k string, version string, event_time double, available_at double, source_event_id string, v int"
 
 
