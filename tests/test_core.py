@@ -1,11 +1,13 @@
 """Hand-made cases of the core operators, and the SQL twins on the smallest tables."""
 
 import math
+import random
 import subprocess
 import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,34 @@ def test_mmr(spark):
     assert order(0.5)[:2] == ["a", "c"]
 
 
+def _mmr_by_hand(rows, keep, k):
+    rows = sorted(rows, key=lambda r: (-r[2], r[1]))
+    low, high = rows[-1][2], rows[0][2]
+    base = [(r[2] - low) / (high - low) if high > low else 1.0 for r in rows]
+    unit = [None if r[3] is None else np.array(r[3]) / np.linalg.norm(r[3]) for r in rows]
+    chosen = []
+    while len(chosen) < min(k, len(rows)):
+        known = lambda i: [unit[i] @ unit[j] for j in chosen if unit[i] is not None and unit[j] is not None]
+        worst = lambda i: max([*known(i), *([0.0] if not chosen or unit[i] is None or unit[chosen[0]] is None else [])])
+        chosen.append(max((i for i in range(len(rows)) if i not in chosen), key=lambda i: (round(keep * base[i] - (1 - keep) * worst(i), 9), -i)))
+    return [rows[i][1] for i in chosen]
+
+
+def test_mmr_ranks_many_slates_in_batches(spark):
+    r = random.Random(5)
+    slates = {f"s{i}": [(f"s{i}", f"p{j}", r.randint(0, 4) / 4, None if r.random() < 0.3 else [r.uniform(-1, 1) for _ in range(3)]) for j in range(r.randint(1, 9))] for i in range(300)}
+    df = spark.createDataFrame([row for rows in slates.values() for row in rows], "slate_id string, product_id string, score double, vector array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # slates go on in the next batch
+    try:
+        out = L.mmr_slate(df, 0.6, 5)
+        got = out.groupBy("slate_id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("x")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {g["slate_id"]: [x["product_id"] for x in g["x"]] for g in got} == {s: _mmr_by_hand(rows, 0.6, 5) for s, rows in slates.items()}
+    assert "MapInArrow" in out._jdf.queryExecution().toString()  # a pandas call for each slate took most of the time
+
+
 def test_vector_topk_blocks(spark):
     rows = [(i, [float(i % 7) - 3, float(i % 5) - 2, 1.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
