@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from fxlake.operators.windows import WINDOWS, _count, entity_fanout
+from fxlake.operators.windows import WINDOWS, _count, entity_fanout, slide_counts
 
 EVENT = "event_id string, user_id string, product_id string, action string, product_category string, session_length double, event_ts timestamp, event_time double, available_at double"
 
@@ -48,6 +48,12 @@ def stream_windows(events: DataFrame, name: str, lateness: str = "15 minutes") -
     ).select("entity_type", "entity_id", F.unix_seconds("w.start").cast("double").alias("window_start"), "views", "clicks", "add_to_carts", "purchases", "total_events")
 
 
+def stream_slides(events: DataFrame, name: str, lateness: str = "15 minutes") -> DataFrame:
+    """Counts of each slide as a stream, in update mode: `windows_of_slides` adds the latest ones up. An event has one slide,
+    so the state is that of its slides and not of all windows that cover it (24 a day's window)."""
+    return slide_counts(events.withWatermark("event_ts", lateness), name)
+
+
 SNAPSHOT = "user_id string, source_event_id string, event_time double, total_interactions long, views long, clicks long, purchases long, last_active double"
 
 
