@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fxlake.operators import pit as P
 from fxlake.operators.candidates import dot
 from fxlake.operators.features import ACTION_SCALE, last_positive
-from fxlake.operators.windows import POSITIVE, WINDOWS
+from fxlake.operators.windows import POSITIVE, WINDOWS, safe_ratio, slide_counts, slide_seconds
 
 ENTITIES = ("user", "product", "category")
 COUNTS, RATIOS = ("views", "clicks", "add_to_carts", "purchases"), ("click_through_rate", "conversion_rate")
@@ -64,9 +64,41 @@ def window_block(rows: DataFrame, windows: DataFrame) -> DataFrame:
     past = windows.select(key("entity_type", "window", "entity_id").alias("key"), F.col("window_end").alias("event_time"), F.col("window_end").alias("available_at"), F.lit("").alias("source_event_id"), F.lit("").alias("version"), *COUNTS, *RATIOS)
     found = P.asof_latest(rows_by_key, past, "key", [*COUNTS, *RATIOS])
     numbers = _floats([*[F.col(c) / 1000 for c in COUNTS], *[F.col(r) for r in RATIOS]])
-    placed = found.groupBy("row_id").agg(*[F.max(F.when(F.col("slot") == i, numbers)).alias(f"s{i}") for i in range(len(slots))])
+    return _placed(rows, found, numbers, len(slots))
+
+
+def window_block_of_events(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """`window_block` of the events' windows, without making them: a row looks up the latest slide that had ended by its
+    time, with the slides of a window's length up to it (at most 24), and adds up those of the latest window that has some.
+    An event gives at most nine slides, where it lies in up to 123 windows."""
+    slots = [(e, w) for e in ENTITIES for w in WINDOWS]
+    ids = {"user": "user_id", "product": "product_id", "category": "category"}
+    key = lambda entity, window, name: F.concat_ws("|", entity, window, name)
+    asked = F.array(*[F.when(F.coalesce(F.col(ids[e]), F.lit("")) != "", F.struct(F.lit(i).alias("slot"), key(F.lit(e), F.lit(w), F.col(ids[e])).alias("key"))) for i, (e, w) in enumerate(slots)])
+    rows_by_key = rows.select("row_id", "as_of", F.explode(F.array_compact(asked)).alias("a")).select("row_id", "as_of", "a.slot", "a.key", F.lit("").alias("version"))
+
+    def slides_of(name: str) -> DataFrame:
+        seconds, length = slide_seconds(name)
+        near = Window.partitionBy("entity_type", "entity_id").orderBy("slide").rangeBetween(1 - length, 0)
+        end = ((F.col("slide") + 1) * seconds).cast("double")
+        own = F.struct("slide", *COUNTS)
+        return slide_counts(events, name).select(key(F.col("entity_type"), F.lit(name), F.col("entity_id")).alias("key"), end.alias("event_time"), end.alias("available_at"), F.lit("").alias("source_event_id"), F.lit("").alias("version"), "slide", F.collect_list(own).over(near).alias("near"))
+
+    found = P.asof_latest(rows_by_key, reduce(DataFrame.unionByName, map(slides_of, WINDOWS)), "key", ["slide", "near"])
+    of_slot = lambda i: F.element_at(F.array(*[F.lit(slide_seconds(w)[i]) for _, w in slots]), F.col("slot") + 1)
+    # the latest window ends by the row's time, and has the slide in it
+    begin = F.least(F.floor(F.floor("as_of") / of_slot(0)), F.col("slide") + of_slot(1)) - of_slot(1)
+    found = found.where("slide is not null").withColumn("inside", F.filter("near", lambda x: x["slide"] >= begin))
+    found = found.withColumns({c: F.aggregate("inside", F.lit(0).cast("long"), lambda s, x: s + x[c]) for c in COUNTS})  # noqa: B023
+    rate = lambda a, b: F.round(safe_ratio(F.col(a), F.col(b)), 6)
+    return _placed(rows, found, _floats([*[F.col(c) / 1000 for c in COUNTS], rate("clicks", "views"), rate("purchases", "clicks")]), len(slots))
+
+
+def _placed(rows: DataFrame, found: DataFrame, numbers: Column, slots: int) -> DataFrame:
+    """(row_id, windows): the numbers of each slot in order; zeros where there are none."""
+    placed = found.groupBy("row_id").agg(*[F.max(F.when(F.col("slot") == i, numbers)).alias(f"s{i}") for i in range(slots)])
     none = F.array_repeat(F.lit(0.0).cast("float"), len(COUNTS) + len(RATIOS))
-    whole = F.concat(*[F.coalesce(f"s{i}", none) for i in range(len(slots))])
+    whole = F.concat(*[F.coalesce(f"s{i}", none) for i in range(slots)])
     return rows.select("row_id").join(placed, "row_id", "left").select("row_id", whole.alias("windows"))
 
 

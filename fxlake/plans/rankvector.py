@@ -33,7 +33,7 @@ def _history(spark, sf_dir) -> DataFrame:
 
 
 def _windows(spark, sf_dir) -> DataFrame:
-    return V.window_block(_observed(spark, sf_dir), W.all_window_features(interactions(spark, sf_dir)))
+    return V.window_block_of_events(_observed(spark, sf_dir), interactions(spark, sf_dir))
 
 
 _TEXT = "array_to_string(list_transform({}, lambda x: round(x::float::double * 10000)::bigint), ',')"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fxlake.operators import features as X
 from fxlake.operators import learning as L
 from fxlake.operators import rankvector as V
+from fxlake.operators import windows as W
 
 EVENT = "event_id string, user_id string, product_id string, action string, event_time double"
 ROW = "row_id string, user_id string, product_id string, category string, as_of double"
@@ -58,6 +59,45 @@ def test_window_block(spark):
     _near(got["blank"], [0] * 54)
 
 
+def test_window_block_of_events(spark):
+    """Equal to the block of all windows, which it doesn't make: hot and rare entities, gaps, rows at slides' ends."""
+    events = spark.range(400).select(
+        F.col("id").cast("string").alias("event_id"), F.concat(F.lit("u"), (F.hash("id") % 3).cast("string")).alias("user_id"), F.concat(F.lit("p"), (F.hash("id", F.lit(1)) % 60).cast("string")).alias("product_id"),
+        F.element_at(F.array(*map(F.lit, ("view", "click", "add_to_cart", "purchase", "x"))), 1 + F.pmod(F.hash("id", F.lit(2)), F.lit(5))).alias("action"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("c"), (F.col("id") % 2).cast("string"))).alias("product_category"), (F.lit(1704067200.0) + F.pmod(F.hash("id", F.lit(3)), F.lit(400000)) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.02)).alias("event_time"))
+    events = events.withColumn("event_ts", F.timestamp_micros((F.col("event_time") * 1000000).cast("long")))
+    rows = events.select(F.col("event_id").alias("row_id"), "user_id", "product_id", F.col("product_category").alias("category"), F.when(F.col("event_id") % 5 == 0, F.floor(F.col("event_time") / 3600) * 3600.0).otherwise(F.col("event_time") + 300).alias("as_of"))
+    rows = rows.unionByName(spark.createDataFrame([("early", "u0", "p0", "c0", 1.0), ("blank", None, None, "", 1704400000.0), ("late", "u0", "p0", "c0", 1800000000.0)], ROW), allowMissingColumns=True)
+    out = V.window_block_of_events(rows, events)
+    got = {r.row_id: list(r.windows) for r in out.collect()}
+    assert got == {r.row_id: list(r.windows) for r in V.window_block(rows, W.all_window_features(events)).collect()}
+    assert len(got) == 403 and sum(map(any, got.values())) > 350 and not any(got["blank"] + got["early"])
+
+
+@pytest.mark.parametrize("name", list(W.WINDOWS))
+def test_windows_are_made_where_slides_lie(spark, name):
+    """Counts by hand; no shuffle moves a row for each window."""
+    seconds, length = W.slide_seconds(name)
+    r = random.Random(3)
+    seen = [(r.choice("ab"), r.choice("xyz"), r.choice([0, 1, 2, 3, 5, 40, 41, 90]) + r.randint(0, 30), r.randint(1, 9)) for _ in range(150)]
+    cells = {(t, e, s): n for t, e, s, n in seen}
+    slides = spark.createDataFrame([(t, e, s, n, 0, 1, 2, n + 3) for (t, e, s), n in cells.items()], "entity_type string, entity_id string, slide long, views long, clicks long, add_to_carts long, purchases long, total_events long")
+    want = {}
+    for (t, e, s), n in cells.items():
+        for k in range(length):
+            want[t, e, (s - k) * seconds] = want.get((t, e, (s - k) * seconds), 0) + n
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # entities go on in the next batch
+    try:
+        out = W.windows_of_slides(slides, name)
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(want) and {(x.entity_type, x.entity_id, x.window_start): x.views for x in got} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
+
+
 def test_blocks_go_behind_the_vector(spark):
     base = spark.createDataFrame([("r", [1.0])], "observation_id string, features array<float>")
     one, two = (spark.createDataFrame([("r", [x])], f"row_id string, {n} array<float>") for n, x in (("history", 2.0), ("windows", 3.0)))
