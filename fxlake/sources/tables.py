@@ -25,10 +25,14 @@ def write_monthly(events: DataFrame, path: str, ts: str = "event_ts", rows_per_f
     grows with the table. Rows without a time go to the default partition."""
     month = F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit(""))
     files = events.groupBy(month.alias("month")).agg(F.ceil(F.count("*") / rows_per_file).alias("__files"))
+    # files are numbered through, so that each is one task; hashed, several of them would meet in a task
+    first = F.coalesce(F.sum("__files").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("month", "__files", first.alias("__first"))
     rows = events.withColumn("month", month).join(F.broadcast(files), "month")  # a row a month
-    salt = F.pmod(F.xxhash64("event_id"), F.col("__files"))
+    number = (F.col("__first") + F.pmod(F.xxhash64("event_id"), F.col("__files"))).cast("int")
     total = files.agg(F.sum("__files")).first()[0] or 1
-    rows.repartition(int(total), "month", salt).drop("__files").withColumn("month", F.nullif("month", F.lit(""))).write.mode("overwrite").partitionBy("month").parquet(path)
+    rows = rows.repartitionById(int(total), number).drop("__files", "__first")
+    rows.withColumn("month", F.nullif("month", F.lit(""))).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def prune(df: DataFrame, ts: str, now: float, days: int) -> DataFrame:
