@@ -18,14 +18,16 @@ def read_recommendations(events: DataFrame, raw: str = "raw") -> tuple[DataFrame
     without impression, user or any item left give no row."""
     top, meta = (lambda n: F.get_json_object(raw, f"$.{n}")), (lambda n: F.get_json_object(raw, f"$.metadata.{n}"))
     own = lambda n: F.get_json_object("item", f"$.{n}")
-    parsed = events.select(
-        F.coalesce(meta("impression_id"), top("impression_id")).alias("impression_id"), F.coalesce(top("user_id"), meta("user_id")).alias("user_id"),
+    shown = F.filter(F.from_json(F.coalesce(meta("displayed_items"), top("displayed_items")), "array<string>"), lambda i: F.get_json_object(i, "$.product_id").isNotNull())
+    asked = F.struct(F.coalesce(meta("impression_id"), top("impression_id")).alias("impression_id"), F.coalesce(top("user_id"), meta("user_id")).alias("user_id"), shown.alias("shown"))
+    # what filters ask for comes out of an explode, so that they aren't pushed into the parsing and read each text again
+    parsed = events.select(raw, F.explode(F.array(asked)).alias("asked")).where("asked.impression_id is not null and asked.user_id is not null and size(asked.shown) > 0")
+    parsed = parsed.select(
+        "asked.impression_id", "asked.user_id",
         F.coalesce(top("request_id"), meta("request_id")).alias("request_id"), F.coalesce(meta("session_id"), meta("context.session_id")).alias("session_id"),
         meta("content_id").alias("content_id"), meta("model_version").alias("model_version"), F.coalesce(meta("context"), meta("request_context")).alias("context"),
-        F.from_json(F.coalesce(meta("displayed_items"), top("displayed_items")), "array<string>").alias("shown"),
+        "asked.shown",
     )
-    shown = F.filter("shown", lambda i: F.get_json_object(i, "$.product_id").isNotNull())
-    parsed = parsed.withColumn("shown", shown).where("impression_id is not null and user_id is not null and size(shown) > 0")
     items = parsed.select("impression_id", F.explode("shown").alias("item")).select(
         "impression_id", own("product_id").alias("product_id"), F.coalesce(own("position").try_cast("int"), F.lit(0)).alias("position"),
         F.coalesce(own("source"), own("candidate_source")).alias("source"), feature_snapshot(F.col("item")).alias("feature_snapshot"),

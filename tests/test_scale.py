@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fxlake.operators import features as X
 from fxlake.operators import learning as L
+from fxlake.operators import training as R
 from fxlake.plans import learning as P
 from fxlake.sources import tables as T
 from fxlake.sources.model import interactions
@@ -72,3 +73,13 @@ def test_graded_slates_have_the_relevance_of_ltr_samples(spark):
     a, b = L.graded_slates(slates, feedback).select(*cols), L.ltr_samples(slates, feedback).select(*cols)
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
     assert "SortAggregate" not in plan(L.graded_slates(slates, feedback)) and "ObjectHashAggregate" not in plan(L.graded_slates(slates, feedback))
+
+
+def test_recommendations_are_parsed_once_for_filters(spark):
+    text = '{"user_id":"u","impression_id":"i","metadata":{"impression_id":"m","displayed_items":["none",{"product_id":"p","position":2}]}}'
+    events = spark.createDataFrame([(text,), ('{"user_id":"u","impression_id":"i","displayed_items":[{}]}',), ("{broken",), (None,)], "raw string")
+    impressions, items = R.read_recommendations(events)
+    filters = [line for line in plan(items).splitlines() if re.match(r"[ :+-]*(\*\(\d+\) )?Filter", line)]
+    assert filters and not any("get_json_object" in line for line in filters)
+    assert [(r["impression_id"], r["user_id"], r["n_items"]) for r in impressions.collect()] == [("m", "u", 1)]
+    assert [(r["impression_id"], r["product_id"], r["position"]) for r in items.collect()] == [("m", "p", 2)]
