@@ -367,6 +367,43 @@ def test_interleaved_variants_of_a_group_meet(spark):
     assert got == {d: d % 2 for d in range(12)}
 
 
+def test_no_member_of_a_passage_group_hides_another(spark):
+    """Three unlike variants of 40 words beside one another's: all pairs of different texts with a passage are rows, or given by
+    two equal passages of one partner that have 50 words in common."""
+    rng = random.Random(19)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    whole, rows = text(140), []
+    for d in range(30):  # parts of 60 words, 20 words apart: neighbours have 40 words in common, those of one part all
+        k = d % 5
+        rows.append((d, " ".join(text(30) + whole[20 * k : 20 * k + 60] + text(30))))
+    rows += [(100 + d, rows[d][1]) for d in range(4)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    direct = {(r["doc_a"], r["doc_b"]) for r in got}
+    spans = {}
+    for r in got:
+        if r["similarity"] == 1:
+            spans.setdefault(r["doc_a"], []).append((r["doc_b"], r["start_a"], r["n_words"]))
+            spans.setdefault(r["doc_b"], []).append((r["doc_a"], r["start_b"], r["n_words"]))
+    given = {tuple(sorted((x, y))) for each in spans.values() for x, s, n in each for y, t, m in each if x != y and min(s + n, t + m) - max(s, t) >= 50}
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 5 == b % 5} | {(d, 100 + d) for d in range(4)}
+    assert want <= direct | given and {(a, b) for a, b in direct if b < 100} <= want
+
+
+def test_edited_members_of_a_group_meet(spark):
+    """Members of a group that are like each other, but not like the first one and not neighbours: equal on one side of the minimum."""
+    rows = [(7, d, 100 - (5 if d % 3 == 0 else 50 if d % 3 == 1 else 30), 100, 100 + (50 if d % 3 == 0 else 5 if d % 3 == 1 else 30)) for d in range(30)]
+    windows = spark.createDataFrame(rows, "key bigint, doc bigint, l int, c int, r int")
+    first = {(r["a"], r["b"]) for r in passages._paired(windows.coalesce(1)).collect()}
+    links = spark.createDataFrame(sorted(first), "a bigint, b bigint")
+    rest = {(r["a"], r["b"]) for r in passages._bridging(windows, links).collect()}
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3}
+    assert first | rest == want
+    # what has the first one's stretch word for word is its core, and given by it
+    equal = spark.createDataFrame([(0, d, 60, 120) for d in range(3, 30, 3)], "leader bigint, doc bigint, start bigint, stop bigint")
+    fewer = {(r["a"], r["b"]) for r in passages._bridging(windows, links, equal).collect()}
+    assert first | fewer >= {(a, b) for a, b in want if a % 3} and all(a % 3 for a, b in fewer)
+
+
 # ---------------------------------------------------------------- 7
 
 
