@@ -311,3 +311,12 @@ def test_run_once_after_a_broken_run(spark, tmp_path):
     (tmp_path / "run_id=r").mkdir()  # a run that ended before its rows
     build = lambda n: lambda: spark.range(n)
     assert tables.run_once(spark, path, "r", build(3)).count() == 3 and tables.run_once(spark, path, "r", build(5)).count() == 3
+
+
+def test_candidates_make_their_users_once(spark, monkeypatch):
+    from fxlake.plans import generation as plans
+
+    made, users = [], plans._users
+    monkeypatch.setattr(plans, "_users", lambda *a: made.append(a) or users(*a))
+    plans._generated(spark, "/root/testdata/sf0.001", caps={"random": 0}, diversity=None)
+    assert len(made) == 1
