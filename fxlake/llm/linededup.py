@@ -42,12 +42,19 @@ SKETCH, SHARED = 5, 3
 MAX_BITS, SHORT = 22, 40
 #: Characters of a piece of a word (its end counts as one), and the share of pieces that candidates may differ in.
 PIECE, MAX_PIECES = 8, 0.35
+#: Characters of a fine piece, and the pieces up to which common ends aren't worth seeking.
+FINE, FEW_PIECES = 4, 96
 #: Nodes on either side of a cell of the second round.
 BLOCK = 512
 #: What a side of a join may have in bytes to be broadcast; it is measured, and shuffled beyond.
 BROADCAST_BYTES = 32 << 20
 
+#: Words of so many characters are looked at first: where a line has SKETCH of them, they make its sketch.
+LONG = 8
+
 BREAKS = r"[^\p{L}\p{N}]+"
+#: Runs of them within lines, but for single spaces. (Naming a-z saves looking up what kind of character each is.)
+RUNS = r" [^a-z0-9\p{L}\p{N}\n]+|[^a-z0-9\p{L}\p{N}\n ][^a-z0-9\p{L}\p{N}\n]*"
 
 
 def words_of(lowered: Column) -> Column:
@@ -69,14 +76,16 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hash of its words, length, sketch."""
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     # rows that repeat an id and a text give the same lines twice, and the same places
-    lines = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    words = lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "row", "line_no", words_of(F.col("line")).alias("words"))
-    norm = words.select("*", F.array_join("words", " ").alias("norm"))
+    clean = F.regexp_replace(F.lower("text"), RUNS, " ")
+    lines = rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(clean, "\n")).alias("line_no", "line"))
+    norm = lines.select("doc_id", "row", "line_no", F.trim("line").alias("norm")).where("norm <> ''")
+    words = norm.select("*", F.split("norm", " ").alias("words"))
+    words = words.select("*", F.array_distinct(F.filter("words", lambda w: F.char_length(w) >= LONG)).alias("long"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("norm") - 2, F.lit(1))), lambda i: _feature(F.substring(F.col("norm"), i, F.lit(3))))
-    features = F.transform("words", _feature)
+    features = F.transform(F.when(F.size("long") >= SKETCH, F.col("long")).otherwise(F.col("words")), _feature)
     features = F.when(F.size("words") < 4, F.concat(features, runs)).otherwise(features)
     sketch = F.slice(F.sort_array(F.array_distinct(features)), 1, SKETCH)
-    out = norm.select("doc_id", "row", "line_no", F.xxhash64("words").alias("id"), F.char_length("norm").alias("n"), sketch.alias("sketch"))
+    out = words.select("doc_id", "row", "line_no", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("n"), sketch.alias("sketch"))
     return out.select("doc_id", "row", "line_no", "id", "n", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
 
 
@@ -119,40 +128,74 @@ def _common_ends(a: Column, b: Column, shorter: Column) -> Column:
     return _let(F.least(starts, shorter), lambda p: F.struct(p.alias("p"), F.least(ends, shorter - p).alias("s")))
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """The words of a text and the spaces after them, cut into pieces of up to `size` characters: a hash of 15 bits and
+    a half each, as characters of a string (those from U+1000 to U+D7FF), so that Spark's edit distance applies to them."""
+    cut = F.regexp_extract_all(F.concat(text, F.lit(" ")), F.lit(f"[^ ]{{0,{size - 1}}} |[^ ]{{{size}}}"), F.lit(0))
+    symbols = F.transform(cut, lambda piece: F.hex(F.pmod(F.xxhash64(piece), F.lit(0xC800)) + 0x1000))
+    return F.decode(F.unhex(F.array_join(symbols, "")), "UTF-16BE")
+
+
 def comparable(norm: Column) -> list[Column]:
-    """What edit similarity needs of a line: its length, its characters, and its pieces, a hash of 15 bits and a half
-    each, as characters of a string (those from U+0100 to U+D7FF), so that Spark's edit distance applies to them too."""
-    places = lambda w: F.sequence(F.lit(1), F.char_length(w) + 1, F.lit(PIECE))
-    symbol = lambda piece: F.lpad(F.hex(F.pmod(F.xxhash64(piece), F.lit(0xD700)) + 0x100), 4, "0")
-    pieces = F.transform(F.split(norm, " "), lambda w: F.array_join(F.transform(places(w), lambda i: symbol(F.substring(F.concat(w, F.lit(" ")), i, F.lit(PIECE)))), ""))
-    return [F.char_length(norm).alias("n"), norm.alias("norm"), F.decode(F.unhex(F.array_join(pieces, "")), "UTF-16BE").alias("pieces")]
+    """What edit similarity needs of a line: its length, its characters, and its pieces."""
+    return [F.char_length(norm).alias("n"), norm.alias("norm"), _pieces(norm, PIECE).alias("pieces")]
 
 
-def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """1 - distance / longer length >= similarity of two structs of `comparable`.
+def _unlike(a: Column, b: Column, then) -> Column:
+    """then(struct of one, two, longest): the parts of two texts between their common ends."""
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    between = lambda side, ends: F.substring(side, ends["p"] + 1, F.char_length(side) - ends["p"] - ends["s"])
+    longest = lambda ends: F.greatest(F.char_length(a), F.char_length(b)) - ends["p"] - ends["s"]
+    parts = _let(_common_ends(a, b, shorter), lambda ends: F.struct(between(a, ends).alias("one"), between(b, ends).alias("two"), longest(ends).alias("longest")))
+    return _let(parts, then)
 
-    Edit distance is dear, so what bounds it is tried first: what lies between the common start and the common end,
-    then the distance in pieces, each of which is worth PIECE characters at most. The distance in characters is that of
-    the parts between the common ends.
-    """
+
+def _piece_distance(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance of pieces, -1 beyond `most`. It is that of the parts between common ends; these are sought in long lines."""
+    distance = lambda x, y: F.call_function("levenshtein", x, y, most)
+    return F.when(F.greatest(F.char_length(a), F.char_length(b)) <= FEW_PIECES, distance(a, b)).otherwise(_unlike(a, b, lambda parts: distance(parts["one"], parts["two"])))
+
+
+def _edits_within(a: Column, b: Column, most: Column) -> Column:
+    """Whether the edit distance of two texts is `most` at most, by what bounds it first: the length of what lies between
+    the common start and the common end, then the distance of that in fine pieces, each of which is worth FINE characters."""
+    fine = lambda parts: F.call_function("levenshtein", _pieces(parts["one"], FINE), _pieces(parts["two"], FINE), _few(most, FINE)) >= 0
+    exact = lambda parts: F.call_function("levenshtein", parts["one"], parts["two"], most) >= 0  # noqa: E731  -1 beyond `most`
+    return _unlike(a, b, lambda parts: (parts["longest"] <= most) | ((parts["longest"] > SHORT) & (_few(most, FINE) >= 0) & fine(parts)) | exact(parts))
+
+
+def _few(most: Column, size: int) -> Column:
+    """Pieces whose edits come to `most` characters, less one, for two unlike pieces with one hash."""
+    return F.floor(most / size).cast("int") - 1
+
+
+def _most_edits(a: Column, b: Column, similarity: float) -> Column:
+    return F.floor(F.greatest(a["n"], b["n"]) * (1 - similarity) + 1e-9).cast("int")
+
+
+def edit_similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
+    """1 - distance / longer length >= similarity of two structs of `comparable`."""
     longer, shorter = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
-    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    between = lambda side, ends: F.substring(side["norm"], ends["p"] + 1, side["n"] - ends["p"] - ends["s"])
-    exact = lambda ends: F.call_function("levenshtein", between(a, ends), between(b, ends), most) >= 0  # noqa: E731  -1 beyond `most`
-    # one piece more, for two unlike pieces with one hash
-    few = F.floor(most / PIECE).cast("int") - 1
-    pieces = F.when((longer > SHORT) & (few >= 0), F.call_function("levenshtein", a["pieces"], b["pieces"], few) >= 0).otherwise(F.lit(False))
-    within = _let(_common_ends(a["norm"], b["norm"], shorter), lambda ends: (longer - ends["p"] - ends["s"] <= most) | pieces | exact(ends))
+    within = _edits_within(a["norm"], b["norm"], _most_edits(a, b, similarity))
     return F.when((shorter < longer * similarity - 1e-9) | (shorter < 1), F.lit(False)).otherwise(within)
 
 
 def candidates(a: Column, b: Column) -> Column:
-    """Whether two nodes that share a key, structs of `comparable` and simhash, may be similar."""
-    most = F.floor(F.greatest(F.char_length(a["pieces"]), F.char_length(b["pieces"])) * MAX_PIECES).cast("int")
-    near = (F.bit_count(a["simhash"].bitwiseXOR(b["simhash"])) <= MAX_BITS) & (F.call_function("levenshtein", a["pieces"], b["pieces"], most) >= 0)
+    """Whether two nodes that share a key, structs of `comparable` and simhash, may be similar by lengths and SimHashes."""
+    near = F.bit_count(a["simhash"].bitwiseXOR(b["simhash"])) <= MAX_BITS
     return _lengths_fit(a["n"], b["n"]) & ((F.greatest(a["n"], b["n"]) <= SHORT) | near)
 
 
+def linked(a: Column, b: Column) -> Column:
+    """Whether two candidates differ in few pieces, or are short, and are similar. Edit distance of characters is dear:
+    the distance in pieces, each worth PIECE characters at most, settles most pairs."""
+    most = _most_edits(a, b, SIMILARITY)
+    within = _edits_within(a["norm"], b["norm"], most)
+    pieces = F.floor(F.greatest(F.char_length(a["pieces"]), F.char_length(b["pieces"])) * MAX_PIECES).cast("int")
+    near = _let(_piece_distance(a["pieces"], b["pieces"], pieces), lambda d: (d >= 0) & ((d <= _few(most, PIECE)) | within))
+    return F.when(F.greatest(a["n"], b["n"]) <= SHORT, within).otherwise(near)
+
+
 def _broadcast_if_small(df: DataFrame, bytes_a_row: Column) -> DataFrame:
     return F.broadcast(df) if small_enough(df, bytes_a_row, BROADCAST_BYTES) else df
 
@@ -185,7 +228,7 @@ def _first_links(met: DataFrame, texts: DataFrame) -> DataFrame:
     tasks = _tasks(met)
     pairs = some[0].union(some[1]).where("a <> b").distinct().join(one, "a").repartition(tasks, "b").join(two.repartition(tasks, "b"), "b")
     a, b = F.col("line_a"), F.col("line_b")
-    return pairs.where(candidates(a, b)).where(edit_similar(a, b)).select("a", "b")
+    return pairs.where(candidates(a, b)).where(linked(a, b)).select("a", "b")
 
 
 def _bridges(met: DataFrame, texts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,14 +249,14 @@ def _bridges(met: DataFrame, texts: DataFrame, nodes: DataFrame, labels: DataFra
     few = few.select("key", "row", "main", "few", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
     every = members.select("key", place("columns").alias("column"), node.alias("node")).groupBy("key", "column").agg(F.collect_list("node").alias("every"))
 
-    def linked(a: Column, b: Column) -> Column:
+    def bridge(a: Column, b: Column) -> Column:
         # two of the few meet once; a node of the main component is only ever on the right
         apart = (a["component"] != b["component"]) & ((b["component"] == F.col("main")) | (a["id"] < b["id"]))
         # of the keys that they share, they meet in the first
         both = lambda shared: F.xxhash64(*[F.get(shared, i) for i in range(SHARED)]) == F.col("key")
-        return apart & candidates(a, b) & _let(F.array_intersect(a["sketch"], b["sketch"]), both) & edit_similar(a, b)
+        return apart & candidates(a, b) & _let(F.array_intersect(a["sketch"], b["sketch"]), both) & linked(a, b)
 
-    found = F.flatten(F.transform("few", lambda a: F.array_distinct(F.transform(F.filter("every", lambda b: linked(a, b)), lambda b: F.struct(F.least(a["component"], b["component"]).alias("a"), F.greatest(a["component"], b["component"]).alias("b"))))))
+    found = F.flatten(F.transform("few", lambda a: F.array_distinct(F.transform(F.filter("every", lambda b: bridge(a, b)), lambda b: F.struct(F.least(a["component"], b["component"]).alias("a"), F.greatest(a["component"], b["component"]).alias("b"))))))
     cells = few.repartition(_tasks(met), "key", "column").join(every.repartition(_tasks(met), "key", "column"), ["key", "column"])
     return cells.select(F.explode(found).alias("pair")).select("pair.*").distinct()
 

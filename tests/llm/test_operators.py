@@ -679,6 +679,35 @@ def test_one_letter_is_found_at_every_length(spark):
         assert sum(out[2 * k + 1] for k in range(n, 240, 6)) >= 39 and not any(out[2 * k] for k in range(n, 240, 6))
 
 
+def test_lines_are_linked_by_pieces_as_by_characters(spark):
+    """The distances in pieces that come first decide as the distances in characters would, among lines with few pieces edited."""
+    rng = random.Random(29)
+    pairs = []
+    for k in range(60):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 14))) for _ in range(40)]
+        other = list(words)
+        for at in rng.sample(range(40), 2 + k % 16):
+            other[at] = "".join(rng.choices("klmnop", k=len(other[at]))) if rng.random() < 0.6 else other[at][:-1] + "z"
+        pairs.append((k, " ".join(words), " ".join(other)))
+    cut = lambda text: [(w + " ")[i : i + linededup.PIECE] for w in text.split(" ") for i in range(0, len(w) + 1, linededup.PIECE)]
+    few = lambda a, b: distance(cut(a), cut(b)) <= int(max(len(cut(a)), len(cut(b))) * linededup.MAX_PIECES)
+    want = {k: few(a, b) and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for k, a, b in pairs}
+    df = spark.createDataFrame(pairs, "k int, a string, b string").select("k", *(comparable(c).alias(c) for c in "ab"))
+    assert {r["k"]: r["got"] for r in df.select("k", linededup.linked(F.col("a"), F.col("b")).alias("got")).collect()} == want
+    assert set(want.values()) == {True, False}
+
+
+def test_long_words_alone_give_the_same_sketches(spark, docs, monkeypatch):
+    odd = spark.createDataFrame([(-1, "-- A  b.\tC\n \n\n,x,\r\nÉté, ΣΑΣ \U00010400 9  "), (-2, None), (-3, "")], docs.schema)
+    rows = {}
+    for long in (1, linededup.LONG, 99):
+        monkeypatch.setattr(linededup, "LONG", long)
+        rows[long] = sorted(map(tuple, linededup.occurrences(docs.union(odd), "doc_id", "text").collect()), key=str)
+    assert rows[1] == rows[8] == rows[99]
+    lines = {(r[0], r[2]): r[4] for r in rows[8] if r[0] < 0}
+    assert lines == {(-1, 0): 5, (-1, 3): 1, (-1, 4): 11}
+
+
 def test_line_components_are_those_of_brute_force(spark, docs, monkeypatch):
     """Every pair of lines of at least four words, one key or more in common, against the components of the operator."""
     monkeypatch.setattr(linededup, "BLOCK", 3)
