@@ -13,16 +13,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     each node hands its smaller neighbours and itself to the smallest of them.
 
     Smallest neighbours come from a grouping with partial sums, so a node with very many edges is one row a task
-    before the shuffle; joining them back is a sort-merge join whose large partitions Spark can split.
+    before the shuffle; joining them back is a sort-merge join whose large partitions Spark can split. It is asked for,
+    as Spark would broadcast small tables instead: the driver builds each of these, and steps are many.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        out = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
     return out.where("a <> b").distinct()
 
 

@@ -196,13 +196,18 @@ def linked(a: Column, b: Column) -> Column:
     return F.when(F.greatest(a["n"], b["n"]) <= SHORT, within).otherwise(near)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """To be joined by sorting. Spark would broadcast small tables, which the driver builds; the joins here are many."""
+    return df.hint("merge")
+
+
 def _broadcast_if_small(df: DataFrame, bytes_a_row: Column) -> DataFrame:
     return F.broadcast(df) if small_enough(df, bytes_a_row, BROADCAST_BYTES) else df
 
 
 def _lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, line: struct of n, norm, simhash) of the nodes wanted(id), from the documents of their first occurrences."""
-    first = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("p"))
+    first = lines.join(_merged(wanted), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("p"))
     places = first.groupBy("p.doc_id", "p.row").agg(F.collect_list(F.struct("p.line_no", "id")).alias("places"))
     places = materialize(places.toDF("doc_id", "row", "places"), "line-places")
     own = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("row", F.xxhash64("text"))
@@ -210,7 +215,7 @@ def _lines(wanted: DataFrame, lines: DataFrame, docs: DataFrame, doc_id: str, te
     own = own.select(F.split("text", "\n").alias("lines"), "places").select("lines", F.explode("places").alias("p"))
     texts = own.select("p.id", normalized(F.get("lines", F.col("p.line_no"))).alias("norm")).dropDuplicates(["id"])
     texts = materialize(texts, "line-texts")
-    both = texts.join(simhashes(texts), "id").select("id", F.struct(*comparable(F.col("norm")), "simhash").alias("line"))
+    both = texts.join(_merged(simhashes(texts)), "id").select("id", F.struct(*comparable(F.col("norm")), "simhash").alias("line"))
     out = materialize(both, "line-candidates")
     release(places, texts)
     return out
@@ -226,7 +231,7 @@ def _first_links(met: DataFrame, texts: DataFrame) -> DataFrame:
     some = [met.where(_lengths_fit(F.col(f"{other}.n"), F.col("n"))).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b")) for other in ("leader", "previous")]
     one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     tasks = _tasks(met)
-    pairs = some[0].union(some[1]).where("a <> b").distinct().join(one, "a").repartition(tasks, "b").join(two.repartition(tasks, "b"), "b")
+    pairs = some[0].union(some[1]).where("a <> b").distinct().join(_merged(one), "a").repartition(tasks, "b").join(_merged(two.repartition(tasks, "b")), "b")
     a, b = F.col("line_a"), F.col("line_b")
     return pairs.where(candidates(a, b)).where(linked(a, b)).select("a", "b")
 
@@ -234,15 +239,15 @@ def _first_links(met: DataFrame, texts: DataFrame) -> DataFrame:
 def _bridges(met: DataFrame, texts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b): linked components, of nodes that share a key."""
     large = met.where("place > 3").select("key").distinct()  # in smaller keys all have met
-    crowd = met.join(large, "key", "left_semi")
+    crowd = met.join(_merged(large), "key", "left_semi")
     members = crowd.select("key", "id").union(crowd.where("place = 2").select("key", "leader.id"))
-    members = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = members.join(_merged(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     shape = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all")).where("all > top.size")
     shape = shape.select("key", F.col("top.component").alias("main"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("top.size")).alias("rows"))
     sketches = nodes.select("id", F.array_compact(F.array(*[f"s{i}" for i in range(SKETCH)])).alias("sketch"))
-    members = members.join(shape, "key").join(texts, "id").join(sketches, "id")
+    members = members.join(_merged(shape), "key").join(_merged(texts), "id").join(_merged(sketches), "id")
     place = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
     node = F.struct("id", "component", "line.n", "line.norm", "line.pieces", "line.simhash", "sketch")
     few = members.where("component <> main").select("key", place("rows").alias("row"), "columns", "main", node.alias("node")).groupBy("key", "row").agg(F.first("columns").alias("columns"), F.first("main").alias("main"), F.collect_list("node").alias("few"))
@@ -257,7 +262,7 @@ def _bridges(met: DataFrame, texts: DataFrame, nodes: DataFrame, labels: DataFra
         return apart & candidates(a, b) & _let(F.array_intersect(a["sketch"], b["sketch"]), both) & linked(a, b)
 
     found = F.flatten(F.transform("few", lambda a: F.array_distinct(F.transform(F.filter("every", lambda b: bridge(a, b)), lambda b: F.struct(F.least(a["component"], b["component"]).alias("a"), F.greatest(a["component"], b["component"]).alias("b"))))))
-    cells = few.repartition(_tasks(met), "key", "column").join(every.repartition(_tasks(met), "key", "column"), ["key", "column"])
+    cells = few.repartition(_tasks(met), "key", "column").join(_merged(every.repartition(_tasks(met), "key", "column")), ["key", "column"])
     return cells.select(F.explode(found).alias("pair")).select("pair.*").distinct()
 
 
@@ -270,7 +275,7 @@ def line_components(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", t
     met = materialize(keyed.select("key", "id", "n", *named, F.row_number().over(order).alias("place")).where("previous is not null"), "line-met")
     wanted = met.select("id").union(met.where("place = 2").select("leader.id")).distinct()
     texts = _lines(wanted, lines, docs, doc_id, text)
-    nodes = lines.join(wanted, "id", "left_semi").select("id", *sketch).dropDuplicates(["id"])
+    nodes = lines.join(_merged(wanted), "id", "left_semi").select("id", *sketch).dropDuplicates(["id"])
     links = materialize(_first_links(met, texts), "line-links")
     labels = materialize(connected_components(links, "line-components").select(F.col("node").alias("id"), "component"), "line-labels")
     bridges = materialize(_bridges(met, texts, nodes, labels), "line-bridges")
@@ -279,8 +284,8 @@ def line_components(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", t
         return labels
     # an end of a bridge is a component, or a node that had no link yet
     joined = connected_components(bridges, "line-components").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    known = labels.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
-    alone = joined.join(labels.select("component"), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    known = labels.join(_merged(joined), "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(_merged(labels.select("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
     return known.union(alone)
 
 
@@ -288,9 +293,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     """docs with `text` less its repeated lines, and the numbers of its lines and of those dropped. Every row stays."""
     lines = materialize(occurrences(docs, doc_id, text), "line-occurrences")
     labels = line_components(docs, lines, doc_id, text)
-    placed = lines.select("id", F.struct("doc_id", "row", "line_no").alias("place")).join(labels, "id", "left").select("place", F.coalesce("component", "id").alias("component"))
+    placed = lines.select("id", F.struct("doc_id", "row", "line_no").alias("place")).join(_merged(labels), "id", "left").select("place", F.coalesce("component", "id").alias("component"))
     keep = placed.groupBy("component").agg(F.min("place").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    repeated = placed.join(keep, "component").where("place <> keep").select("place.*")
+    repeated = placed.join(_merged(keep), "component").where("place <> keep").select("place.*")
     drops = repeated.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("__drops"))
     drops = materialize(drops.toDF("__doc", "__row", "__drops"), "line-drops")
     release(lines)

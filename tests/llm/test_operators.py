@@ -708,6 +708,13 @@ def test_long_words_alone_give_the_same_sketches(spark, docs, monkeypatch):
     assert lines == {(-1, 0): 5, (-1, 3): 1, (-1, 4): 11}
 
 
+def test_steps_over_small_tables_broadcast_nothing(spark):
+    """The driver would build each broadcast table, and its memory holds them: `pipeline` came to 1,523 MB on 0.00 GB."""
+    edges = linededup.materialize(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a bigint, b bigint"), "test-edges")
+    for large in (True, False):
+        assert "Broadcast" not in components._star(edges, large)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_components_are_those_of_brute_force(spark, docs, monkeypatch):
     """Every pair of lines of at least four words, one key or more in common, against the components of the operator."""
     monkeypatch.setattr(linededup, "BLOCK", 3)
