@@ -345,6 +345,27 @@ def test_long_texts_of_repeated_tokens_keep_their_equal_run():
         assert any(f[1] - f[0] >= 56 and f[0] <= n and f[1] >= n + 56 for f in passages.passages_between(one, two, [(0, 50, 2)]))
 
 
+def test_passages_leave_no_copies_of_the_texts_behind(spark, docs, monkeypatch):
+    """Of the tables that are written on the way, only the links and the classes are still there when the result is read."""
+    left = {}
+    write, drop = passages.materialize, passages.release
+
+    def materialize(df, name):
+        out = write(df, name)
+        left[out.stored_at] = name
+        return out
+
+    def release(*tables, **options):
+        for table in tables:
+            left.pop(table.stored_at)
+        drop(*tables, **options)
+
+    monkeypatch.setattr(passages, "materialize", materialize)
+    monkeypatch.setattr(passages, "release", release)
+    assert passages.repeated_passages(docs.limit(60)).count() >= 0
+    assert sorted(left.values()) == ["passage-classes", "passage-links", "passage-links"]
+
+
 def test_passages_of_repeated_ids(spark):
     rng = random.Random(15)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
