@@ -83,3 +83,27 @@ def test_recommendations_are_parsed_once_for_filters(spark):
     assert filters and not any("get_json_object" in line for line in filters)
     assert [(r["impression_id"], r["user_id"], r["n_items"]) for r in impressions.collect()] == [("m", "u", 1)]
     assert [(r["impression_id"], r["product_id"], r["position"]) for r in items.collect()] == [("m", "p", 2)]
+
+
+def test_negatives_of_all_four_sources(spark):
+    pairs = "user_id string, product_id string"
+    liked = spark.createDataFrame([("u", "p0"), ("u", "p1"), ("w", "p0")], pairs)
+    found = spark.createDataFrame([("u", f"p{i}", "x") for i in (0, 2, 3)] + [("u", f"p{i}", "y") for i in (2, 3)] + [("w", "p1", "x")], f"{pairs}, source string")
+    catalog = spark.createDataFrame([(f"p{i}",) for i in range(10)], "product_id string")
+    items = spark.createDataFrame([(f"p{i}", [1.0, i / 10]) for i in range(6)], "id string, vector array<double>")
+    users = spark.createDataFrame([("u",), ("w",), ("new",)], "user_id string")
+
+    def sample(total, hard):
+        rows = X.sample_negatives(liked, found, {"x": 1, "y": 2}, 7, users, catalog, items, X.user_vectors(liked, items), total, hard).collect()
+        return {u: sorted((r["source"], r["product_id"] or "", r["weight"]) for r in rows if r["user_id"] == u) for u in ("u", "w", "new")}
+
+    out = sample(6, 2)
+    kept = lambda u, source: [p for s, p, _ in out[u] if s == source]
+    assert sorted(kept("u", "x") + kept("u", "y")) == ["p2", "p3"] and len(kept("u", "x")) == 1  # what the first source leaves, the second may take
+    assert kept("u", "ann_hard") == ["p4", "p5"] and kept("w", "ann_hard") == ["p2", "p3"] and not kept("new", "ann_hard")  # nearest first, without positives and what is taken
+    assert [len(out[u]) for u in out] == [6, 6, 6] and all(len({p for _, p, _ in out[u]}) == 6 for u in out)
+    assert not {"p0", "p1"} & {p for _, p, _ in out["u"]} and {w for s, _, w in out["new"]} == {1.0} and {w for s, _, w in out["u"] if s == "ann_hard"} == {0.35}
+    full = sample(12, 2)  # the catalog has too few
+    assert [len(full[u]) for u in full] == [12, 12, 12] and [sum(p == "" for _, p, _ in full[u]) for u in full] == [4, 3, 2] and all(w == 0.0 for u in full for _, p, w in full[u] if p == "")
+    assert [len(rows) for rows in sample(3, 2).values()] == [3, 3, 3]
+    assert [X.hard_quota(15, e, 5) for e in range(5)] == [1, 3, 3, 3, 3] and X.hard_quota(15) == 3 and X.hard_quota(15, cap=1.0) == 7
