@@ -13,6 +13,8 @@ from fxlake.operators.features import ACTION_SCALE, last_positive
 from fxlake.operators.windows import POSITIVE, WINDOWS, safe_ratio, slide_counts, slide_seconds
 
 ENTITIES = ("user", "product", "category")
+#: Vectors are broadcast up to this many numbers, and joined by a shuffle above.
+BROADCAST_NUMBERS = 4 << 20
 COUNTS, RATIOS = ("views", "clicks", "add_to_carts", "purchases"), ("click_through_rate", "conversion_rate")
 
 
@@ -27,14 +29,19 @@ def history_block(rows: DataFrame, events: DataFrame, embeddings: DataFrame, dim
     (at most `most_days`, also where there is none), whether there is a vector, and the mean's dot product with the row's product.
 
     rows: row_id, user_id, product_id, as_of. Every row has a block. Vectors of another length don't count; NaN is 0.
-    A row and action gathers at most n vectors.
+    A row and action gathers at most n vectors, where the row is: what is shuffled are the products' ids and not their
+    vectors, or, with more than BROADCAST_NUMBERS numbers, each vector once.
     """
     vectors = embeddings.where(F.size("vector") == dim).select(F.col("product_id").alias("past"), F.transform("vector", lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("v"))
-    near = last_positive(rows, events, n).join(vectors, "past", "left")
+    small, near = vectors.count() * dim <= BROADCAST_NUMBERS, last_positive(rows, events, n)
+    # both groupings find their rows together then
+    near = near.repartition("row_id").join(F.broadcast(vectors), "past", "left") if small else near.join(vectors, "past", "left").repartition("row_id")
     kept = near.groupBy("row_id", "action").agg(F.count("*").alias("k"), F.max("event_time").alias("latest"), F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("i", "v")))).alias("vs"))
     blocks = kept.groupBy("row_id").agg(*[F.first(F.when(F.col("action") == a, F.struct("k", "latest", "vs")), ignorenulls=True).alias(a) for a in POSITIVE])
     zeros = F.array_repeat(F.lit(0.0), dim)
-    out = rows.select("row_id", "as_of", F.col("product_id").alias("past")).join(vectors, "past", "left").withColumnRenamed("v", "__own").join(blocks, "row_id", "left")
+    own = vectors.withColumnRenamed("v", "__own")
+    out = rows.select("row_id", "as_of", F.col("product_id").alias("past"))
+    out = out.join(blocks, "row_id", "left").join(F.broadcast(own), "past", "left") if small else out.join(own, "past", "left").join(blocks, "row_id", "left")
     for a in POSITIVE:
         total = F.aggregate(F.col(a)["vs"], zeros, lambda s, x: F.zip_with(s, x["v"], lambda p, q: p + q))
         covered = F.array_size(F.col(a)["vs"])

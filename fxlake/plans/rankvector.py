@@ -9,6 +9,7 @@ from fxlake.operators import rankvector as V
 from fxlake.operators import training as T
 from fxlake.operators import windows as W
 from fxlake.plans.core import _ELIGIBLE, _FANOUT, _RUNNING, POSITIVE, _asof, _window_sql
+from fxlake.plans.streams import scratch
 from fxlake.plans.training import _rows, _vector
 from fxlake.sources.model import catalog, interactions, observations, oracle, table
 
@@ -27,13 +28,25 @@ def _observed(spark, sf_dir) -> DataFrame:
     return observations(spark, sf_dir).join(facts, "product_id", "left").select(F.col("observation_id").alias("row_id"), "user_id", "product_id", "category", "as_of")
 
 
-def _history(spark, sf_dir) -> DataFrame:
+def _history(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("product_id"), F.col("embedding").alias("vector"))
-    return V.history_block(_observed(spark, sf_dir), interactions(spark, sf_dir), vectors, DIM)
+    return V.history_block(_observed(spark, sf_dir) if rows is None else rows, interactions(spark, sf_dir), vectors, DIM)
 
 
-def _windows(spark, sf_dir) -> DataFrame:
-    return V.window_block_of_events(_observed(spark, sf_dir), interactions(spark, sf_dir))
+def _windows(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    return V.window_block_of_events(_observed(spark, sf_dir) if rows is None else rows, interactions(spark, sf_dir))
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    """The base vector with both blocks. Rows with a base vector are joined once and written, and blocks are made of these
+    only: those of other observations would be shuffled for the last join to drop them."""
+    path = scratch(spark, "ranking-rows")
+    facts = catalog(spark, sf_dir).select("product_id", "category")
+    base = T.assemble_features(_rows(spark, sf_dir)).join(facts, "product_id", "left").select("observation_id", "user_id", "product_id", "category", "as_of", "features")
+    base.write.parquet(path)
+    base = spark.read.schema(base.schema).parquet(path)
+    rows = base.select(F.col("observation_id").alias("row_id"), "user_id", "product_id", "category", "as_of")
+    return V.with_blocks(base.select("observation_id", "features"), _history(spark, sf_dir, rows), _windows(spark, sf_dir, rows))
 
 
 _TEXT = "array_to_string(list_transform({}, lambda x: round(x::float::double * 10000)::bigint), ',')"
@@ -63,5 +76,5 @@ query(
 select e.observation_id, 481 - 3 * (128 - {DIM}) as n, {_vector()} || ',' || h.history || ',' || w.windows as features
 from eligible e join bu u using (observation_id) join bi i using (observation_id) join catalog c on c.product_id = e.product_id join history_text h on h.row_id = e.observation_id join window_text w on w.row_id = e.observation_id
 where u.source_event_id is not null and i.source_event_id is not null"""),
-    lambda s, d: V.with_blocks(T.assemble_features(_rows(s, d)).select("observation_id", "features"), _history(s, d), _windows(s, d)).select("observation_id", F.size("features").alias("n"), T.as_text("features").alias("features")),
+    lambda s, d: _whole(s, d).select("observation_id", F.size("features").alias("n"), T.as_text("features").alias("features")),
 )

@@ -179,3 +179,26 @@ def test_categories_count_texts(spark):
     rows = [(1, ["A new PHONE and a laptop", "phone case", "a novel"]), (2, ["toy"] * 9), (3, [None, "nothing"]), (4, ["新款手機", "球鞋"]), (5, None)]
     got = spark.createDataFrame(rows, "id long, texts array<string>").select("id", S.category_scores(F.col("texts")).alias("c")).collect()
     assert {r.id: [tuple(x) for x in r.c or []] for r in got} == {1: [("books", 0.6), ("electronics", 0.7)], 2: [("toys", 1.0)], 3: [], 4: [("electronics", 0.6), ("fashion", 0.6)], 5: []}
+
+
+def test_vectors_are_gathered_where_the_rows_are(spark, monkeypatch):
+    """Two shuffles carried each of the last n vectors; small tables of vectors are in none now, large ones in one."""
+    rows = spark.createDataFrame([("r1", "u", "p1", 100.0), ("r2", "u", "p9", 50.0)], "row_id string, user_id string, product_id string, as_of double")
+    events = spark.createDataFrame([("e1", "u", "click", "p1", 10.0), ("e2", "u", "click", "p2", 60.0), ("e3", "u", "purchase", "p3", 70.0)], "event_id string, user_id string, action string, product_id string, event_time double")
+    vectors = spark.createDataFrame([("p1", [1.0, 0.0]), ("p2", [0.0, 1.0])], "product_id string, vector array<double>")
+    block = lambda: V.history_block(rows, events, vectors, 2)
+    read = lambda df: {r["row_id"]: [round(x, 6) for x in r["history"]] for r in df.collect()}
+    small = read(block())
+    assert small["r1"][:2] == [0.5, 0.5] and small["r2"][:2] == [1.0, 0.0] and small["r1"][6] == 0.5
+    repartitioned = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+    assert repartitioned(block()) == 1
+    monkeypatch.setattr(V, "BROADCAST_NUMBERS", 0)
+    assert read(block()) == small and repartitioned(block()) == 1
+
+
+def test_blocks_are_made_of_rows_with_a_base_vector(spark, monkeypatch):
+    from fxlake.plans import rankvector as plans
+
+    asked, own = [], V.history_block
+    monkeypatch.setattr(plans.V, "history_block", lambda rows, *a: asked.append(rows.count()) or own(rows, *a))
+    assert asked == [] and asked.append(plans._whole(spark, "/root/testdata/sf0.001").count()) is None and asked[0] == asked[1] > 0
