@@ -845,3 +845,20 @@ def test_pipeline_drops_copies_at_four_fifths(spark):
     changed = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles in common
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, "another text of its own")], "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()} == {1, 3}
+
+
+def test_passages_shuffle_texts_once_and_drop_shuffles_before_each_step(spark, monkeypatch):
+    """All texts went through two shuffles, which were still there when the windows were shuffled."""
+    from fxlake.llm import passages
+
+    plans, dropped, write, drop = {}, [], passages.materialize, passages.drop_shuffles
+    monkeypatch.setattr(passages, "materialize", lambda df, name: plans.setdefault(name, (df._jdf.queryExecution().executedPlan().toString(), len(dropped))) and write(df, name))
+    monkeypatch.setattr(passages, "drop_shuffles", lambda s: dropped.append(1) or drop(s))
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, text), (2, text), (2, text), (3, f"other {text}"), (3, "x"), (4, None), (None, text)]
+    links = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_a"], r["doc_b"]) for r in links) == [(1, 2), (1, 3)]
+    import re
+
+    assert not re.search(r"Exchange hashpartitioning\(doc#\d+L, \d+\)", plans["passage-texts-once"][0]) and "hashpartitioning(doc#" in plans["passage-texts-once"][0]
+    assert plans["passage-texts-once"][1] < plans["passage-windows"][1] < plans["passage-pairs"][1] < plans["passage-bridging"][1]
